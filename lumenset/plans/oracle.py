@@ -2,6 +2,44 @@
 
 from __future__ import annotations
 
+#: Where the drifting fields stand in the test files.
+_PLACES = {
+    "attention_head": ["attention_head", "attentionHead", "attn_head", "head.attention", "attention"],
+    "use_fft": ["use_fft", "useFFT", "enable_fft", "fft", "preprocessing.fft"],
+    "backbone": ["backbone", "backbone_name", "arch", "network", "net.backbone"],
+}
+
+
+def _drift_sql() -> dict[str, str]:
+    legs = "\n UNION ALL ".join(
+        f"SELECT file_id, series, run_no, '{f}' AS field_name, '{p}' AS place, json_type(summary_json, '$.config.{p}') AS jt, json_extract(summary_json, '$.config.{p}') AS jv FROM good"
+        for f, ps in _PLACES.items()
+        for p in ps
+    )
+    base = f"""
+      files AS (SELECT file_id, series, run_no, summary_json FROM training_summary),
+      good AS (SELECT * FROM files WHERE json_valid(summary_json)),
+      spots AS ({legs}),
+      held AS (SELECT file_id, field_name, place, jv, CASE WHEN jt IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') THEN 'number' ELSE lower(jt) END AS kind FROM spots WHERE jt IS NOT NULL AND jt <> 'NULL'),
+      every AS (SELECT file_id, series, run_no, field_name FROM good, (SELECT DISTINCT field_name FROM spots)),
+      lined AS (SELECT e.*, h.place, h.kind, h.jv FROM every e LEFT JOIN held h USING (file_id, field_name))
+    """
+    found = f"""WITH {base}, steps AS (
+        SELECT file_id, field_name, place, kind, lag(place) OVER w AS p0, lag(kind) OVER w AS k0, row_number() OVER w AS nth FROM lined
+        WINDOW w AS (PARTITION BY series, field_name ORDER BY run_no, file_id))
+      SELECT file_id, field_name, 'added' AS change_kind FROM steps WHERE nth > 1 AND p0 IS NULL AND place IS NOT NULL
+      UNION ALL SELECT file_id, field_name, 'removed' FROM steps WHERE nth > 1 AND p0 IS NOT NULL AND place IS NULL
+      UNION ALL SELECT file_id, field_name, 'renamed' FROM steps WHERE nth > 1 AND p0 <> place
+      UNION ALL SELECT file_id, field_name, 'retyped' FROM steps WHERE nth > 1 AND k0 <> kind"""
+    text = "CASE WHEN kind = 'array' THEN array_to_string(from_json(jv, '[\"VARCHAR\"]'), '_') WHEN kind = 'varchar' THEN jv->>'$' ELSE jv::VARCHAR END"
+    unified = f"""WITH {base}, vals AS (SELECT file_id, series, run_no, field_name, {text} AS v FROM lined)
+      SELECT file_id, series, run_no,
+        max(v) FILTER (field_name = 'attention_head') AS attention_head,
+        bool_or(CASE WHEN lower(trim(v)) IN ('true', 'on', 'yes', '1') THEN true WHEN lower(trim(v)) IN ('false', 'off', 'no', '0') THEN false END) FILTER (field_name = 'use_fft') AS use_fft,
+        max(v) FILTER (field_name = 'backbone') AS backbone
+      FROM vals GROUP BY file_id, series, run_no"""
+    return {"p7_found": found, "p7_unified": unified}
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _drift_sql()

@@ -6,6 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenset.operators.drift import drift
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift(_t(spark, d, "training_summary"))[1]
+
+
+def p7_unified(spark: SparkSession, d: str) -> DataFrame:
+    return drift(_t(spark, d, "training_summary"))[0]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (p7_found, p7_unified)}
