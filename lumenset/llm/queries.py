@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenset.functions.text import valid_phash
-from lumenset.llm import capping, matches, mixing, overlap, packing, splits, stratified
+from lumenset.llm import capping, content, matches, mixing, overlap, packing, splits, stratified
 from lumenset.llm.ballhash import image_pairs
 from lumenset.llm.matches import link_groups
 from lumenset.scratch import Scratch
@@ -111,6 +111,23 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(_t(spark, d, "documents"), _t(spark, d, "mix_targets")).report
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents")
+    return content.score_texts(docs, content.train_scorer(docs, _t(spark, d, "content_labels")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("score >= 0.5").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return content.rates_by_source(_scored(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_image_groups, p2_found, p2_new_splits, p3_found, p3_overlap_by_record, p3_overlap_report, p4_found, p4_kept_by_output_share, p5_found, p5_sample, p5_report, p6_found, p6_groups, p8_found, p8_containers, p8_fill, p9_found, p9_mixture, p9_report]
+    named = [p1_found, p1_image_groups, p2_found, p2_new_splits, p3_found, p3_overlap_by_record, p3_overlap_report, p4_found, p4_kept_by_output_share, p5_found, p5_sample, p5_report, p6_found, p6_groups, p8_found, p8_containers, p8_fill, p9_found, p9_mixture, p9_report, p10_found, p10_scores, p10_rates]
     return {f.__name__: f for f in named}
