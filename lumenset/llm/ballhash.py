@@ -153,11 +153,11 @@ def _routes(h: Column, bits: int) -> Column:
     return F.array(*out)
 
 
-def near_pairs(hashes: DataFrame, radius: int = RADIUS, rows_per_task: int = 250_000, route_bits: int | None = None) -> DataFrame:
+def near_pairs(hashes: DataFrame, radius: int = RADIUS, side: str | None = None, rows_per_task: int = 250_000, route_bits: int | None = None) -> DataFrame:
     """(``h1``, ``h2``, ``distance``), h1 before h2 as unsigned numbers, for all pairs of different fingerprints at most ``radius`` bits apart.
 
     ``hashes``: ``h`` (64 bits as a signed long) and, if only pairs across two sides are
-    wanted, ``side``: 1, 2 or 3 for both. Repeated fingerprints count once (with the union of
+    wanted, the column that ``side`` names: 1, 2 or 3 for both. Other columns are ignored. Repeated fingerprints count once (with the union of
     their sides), NULL ones not at all; no rows give no rows. ``radius`` may be 0 to 8.
 
     A route is a task's work, and the number of route bits grows with the number of
@@ -170,8 +170,8 @@ def near_pairs(hashes: DataFrame, radius: int = RADIUS, rows_per_task: int = 250
     spark = hashes.sparkSession
     scratch = Scratch(spark, "near-pairs")
     seen = Observation()
-    side = F.bit_or("side").cast("int") if "side" in hashes.columns else F.lit(0)
-    once = hashes.where("h is not null").groupBy("h").agg(side.alias("side"))
+    sides = F.bit_or(side).cast("int") if side else F.lit(0)
+    once = hashes.where("h is not null").groupBy("h").agg(sides.alias("side"))
     once = scratch.write(once.observe(seen, F.count(F.lit(1)).alias("n")), "once")
     n = seen.get["n"]
     bits = 4
@@ -200,18 +200,18 @@ def near_pairs(hashes: DataFrame, radius: int = RADIUS, rows_per_task: int = 250
     return sent.groupBy("route", "duty").applyInArrow(solve, "h1 long, h2 long, distance int")
 
 
-def image_pairs(images: DataFrame, radius: int = RADIUS) -> DataFrame:
+def image_pairs(images: DataFrame, radius: int = RADIUS, side: str | None = None) -> DataFrame:
     """(``path_a``, ``path_b``, ``distance``), smaller path first, for all pairs of different images with near hashes.
 
-    ``images``: ``path``, ``h`` (NULL where there is no valid hash) and optionally ``side``.
+    ``images``: ``path``, ``h`` (NULL where there is no valid hash) and, if ``side`` names it, a column as in ``near_pairs``.
     Pairs are searched among distinct hashes and carried over to the images by joins.
     With several hashes of one image the smallest distance counts.
     """
     spark = images.sparkSession
     scratch = Scratch(spark, "image-pairs")
-    sided = "side" in images.columns
-    images = images.where("path is not null and h is not null").select("path", "h", *(["side"] if sided else []))
-    pairs = near_pairs(images.drop("path"), radius)
+    sided = side is not None
+    images = images.where("path is not null and h is not null").select("path", "h", *([F.col(side).alias("side")] if sided else []))
+    pairs = near_pairs(images, radius, "side" if sided else None)
     shared = images.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("h1"), F.col("h").alias("h2"), F.lit(0).alias("distance"))
     pairs = scratch.write(pairs.unionByName(shared), "pairs")
     a = images.select(F.col("h").alias("h1"), F.col("path").alias("pa"), *([F.col("side").alias("sa")] if sided else []))

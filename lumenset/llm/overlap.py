@@ -7,6 +7,11 @@ are matched by ball hashing instead; the alignment is then that of equal bit pos
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,17 +20,75 @@ from lumenset.llm.ballhash import RADIUS, image_pairs
 from lumenset.scratch import Scratch
 
 
-def winnowed(text: Column, k: int, window: int) -> Column:
-    """array<struct<hash, pos>>: of each ``window`` consecutive k-gram hashes the smallest, the last one if equal; each once.
+def _codes(texts: list[str]) -> np.ndarray:
+    """Code points of texts of one length, a row each."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), -1)
+
+
+def winnow(codes: np.ndarray, k: int, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, positions) for each row: of each ``window`` consecutive rolling hashes of k characters the smallest, the last one if equal; each once.
 
-    Every common substring of ``window + k - 1`` characters shares a selected seed. A text
-    of fewer than k characters gives one seed for the whole text, NULL or '' gives NULL.
+    Every common substring of ``window + k - 1`` characters shares a selected hash. A hash that a row repeats is kept
+    at its first and last place only, so a monotonous text does not meet another one at every pair of places. Rows
+    shorter than k have one seed, the hash of all they hold.
     """
-    last = F.length(text) - k + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda p: F.struct(F.xxhash64(F.substring(text, p, F.lit(k))).alias("hash"), (-p).alias("neg")))
-    spans = F.sequence(F.lit(1), F.greatest(F.size(grams) - window + 1, F.lit(1)))
-    picked = F.array_distinct(F.transform(spans, lambda s: F.array_min(F.slice(grams, s, window))))
-    return F.when(F.length(text) > 0, F.transform(picked, lambda x: F.struct(x["hash"].alias("hash"), (-x["neg"]).alias("pos"))))
+    n = codes.shape[1]
+    k = min(k, n)
+    grams = np.zeros((len(codes), n - k + 1), np.uint64)
+    for i in range(k):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + codes[:, i : i + n - k + 1] + np.uint64(1)
+    grams ^= grams >> np.uint64(29)
+    grams *= np.uint64(0xBF58476D1CE4E5B9)
+    grams ^= grams >> np.uint64(32)
+    w = min(window, grams.shape[1])
+    spans = np.lib.stride_tricks.sliding_window_view(grams, w, axis=1)
+    out = []
+    for row, view in zip(grams, spans):
+        at = np.unique(np.arange(len(view)) + w - 1 - view[:, ::-1].argmin(1))
+        h = row[at]
+        at = np.unique(np.concatenate([at[np.unique(h, return_index=True)[1]], at[len(h) - 1 - np.unique(h[::-1], return_index=True)[1]]]))
+        out.append((row[at], at))
+    return out
+
+
+def text_seeds(texts: DataFrame, k: int, window: int) -> DataFrame:
+    """(``text``, ``side``, ``hash``, ``pos``) of (``text``, ``side``); texts of one length are hashed together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, sides = b.column("text").to_pylist(), b.column("side").to_pylist()
+            order = sorted(range(len(held)), key=lambda i: len(held[i]))
+            at = 0
+            while at < len(order):
+                n = len(held[order[at]])
+                end = at
+                while end < len(order) and len(held[order[end]]) == n and (end - at) * n < 1 << 20:
+                    end += 1
+                part = order[at : max(end, at + 1)]
+                at += len(part)
+                seeds = winnow(_codes([held[i] for i in part]), k, window)
+                size = [len(h) for h, _ in seeds]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(np.array([held[i] for i in part], object), size)), pa.array(np.repeat([sides[i] for i in part], size), pa.int32()), pa.array(np.concatenate([h for h, _ in seeds]).view(np.int64)), pa.array(np.concatenate([p for _, p in seeds]).astype(np.int32))],
+                    names=["text", "side", "hash", "pos"],
+                )
+
+    return texts.select("text", F.col("side").cast("int").alias("side")).mapInArrow(run, "text string, side int, hash long, pos int")
+
+
+def coverage(a: Column, b: Column, shift: Column) -> Column:
+    """Part of the longer text that agrees when ``b`` is laid ``shift`` characters behind ``a``."""
+
+    @F.pandas_udf("double")
+    def agree(a: pd.Series, b: pd.Series, shift: pd.Series) -> pd.Series:
+        out = []
+        for x, y, s in zip(a, b, shift):
+            u, v = _codes([x])[0], _codes([y])[0]
+            start, end = max(0, s), min(len(u), len(v) + s)
+            out.append(float((u[start:end] == v[start - s : end - s]).sum()) / max(len(u), len(v)) if end > start else 0.0)
+        return pd.Series(out, dtype=float)
+
+    return agree(a, b, shift)
 
 
 def text_overlaps(texts: DataFrame, min_coverage: float = 1.0, k: int = 16, window: int = 17, max_gap: int = 64) -> DataFrame:
@@ -41,8 +104,7 @@ def text_overlaps(texts: DataFrame, min_coverage: float = 1.0, k: int = 16, wind
     spark = texts.sparkSession
     scratch = Scratch(spark, "overlaps")
     once = texts.where("text is not null and text <> ''").groupBy("text").agg(F.bit_or("side").alias("side"))
-    once = scratch.write(once, "texts")
-    seeds = scratch.write(once.select("text", "side", F.explode(winnowed(F.col("text"), k, window)).alias("s")).select("text", "side", "s.hash", "s.pos"), "seeds")
+    seeds = scratch.write(text_seeds(once, k, window), "seeds")
     a = seeds.where("side & 1 > 0").select("hash", F.col("text").alias("text_a"), F.col("pos").alias("pos_a"))
     b = seeds.where("side & 2 > 0").select("hash", F.col("text").alias("text_b"), F.col("pos").alias("pos_b"))
     hits = a.join(b, "hash").select("text_a", "text_b", (F.col("pos_a") - F.col("pos_b")).alias("shift"), F.col("pos_a").alias("at"))
@@ -56,12 +118,7 @@ def text_overlaps(texts: DataFrame, min_coverage: float = 1.0, k: int = 16, wind
 
     scored = chains.select("text_a", "text_b", "shift", F.aggregate("ats", zero, grow, lambda acc: acc["best"]).alias("seeds"))
     best = scored.groupBy("text_a", "text_b").agg(F.min(F.struct((-F.col("seeds")).alias("n"), F.abs("shift").alias("d"), "shift")).alias("m"))
-    shift = F.col("m.shift")
-    start = F.greatest(F.lit(1), shift + 1)
-    end = F.least(F.length("text_a"), F.length("text_b") + shift)
-    same = F.size(F.filter(F.sequence(start, F.greatest(start, end)), lambda p: (p <= end) & (F.substring(F.col("text_a"), p, F.lit(1)) == F.substring(F.col("text_b"), p - shift, F.lit(1)))))
-    coverage = same / F.greatest(F.length("text_a"), F.length("text_b"))
-    return best.select("text_a", "text_b", coverage.alias("coverage")).where(F.col("coverage") >= min_coverage)
+    return best.select("text_a", "text_b", coverage(F.col("text_a"), F.col("text_b"), F.col("m.shift")).alias("coverage")).where(F.col("coverage") >= min_coverage)
 
 
 def sided_images(rows: DataFrame) -> DataFrame:
@@ -82,7 +139,7 @@ def cross_split_pairs(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     spark = rows.sparkSession
     scratch = Scratch(spark, "cross-split")
     images = scratch.write(sided_images(rows), "images")
-    near = image_pairs(images.select("path", "h", "side").distinct(), radius).select("path_a", "path_b", (1 - F.col("distance") / 64).alias("coverage"))
+    near = image_pairs(images.select("path", "h", "side").distinct(), radius, "side").select("path_a", "path_b", (1 - F.col("distance") / 64).alias("coverage"))
     digests = images.where("md5 is not null").select("path", "md5", "side").distinct()
     same = text_overlaps(digests.select(F.col("md5").alias("text"), "side"))
     a = digests.where("side & 1 > 0").select(F.col("md5").alias("text_a"), F.col("path").alias("pa"))
