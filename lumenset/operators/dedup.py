@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenset.functions.text import valid_phash
 from lumenset.operators.components import components
+from lumenset.operators.ranking import grouped_rank
 from lumenset.scratch import Scratch
 
 
@@ -99,8 +100,7 @@ def dedup_summary(rows: DataFrame, bucket_chars: int = 12, threshold: int = 8) -
 
 def numbered_clusters(rows: DataFrame, key: str = "cluster_key") -> DataFrame:
     """Adds ``cluster_id`` as ``cluster_00000`` and on, in the order of the smallest path of each cluster."""
-    from lumenset.operators.ranking import grouped_rank
-
+    rows = rows.drop("cluster_id")
     heads = rows.groupBy(key).agg(F.min("path").alias("head"))
     ids = grouped_rank(heads, [], [F.col("head"), F.col(key)], "nth")
     return rows.join(ids.select(key, F.format_string("cluster_%05d", F.col("nth") - 1).alias("cluster_id")), key)

@@ -24,6 +24,8 @@ from lumenset.scratch import Scratch
 
 #: Short or alternative words in field names.
 SYNONYMS = {"attn": "attention", "att": "attention", "arch": "backbone", "architecture": "backbone", "net": "backbone", "network": "backbone", "encoder": "backbone", "fourier": "fft", "spectrum": "fft", "enable": "use", "enabled": "use", "with": "use", "is": "use", "has": "use"}
+#: Words that say little about what a field is, and what they weigh.
+WEAK_WORDS = {"use": 0.3, "name": 0.3}
 #: How well a value of one JSON type converts to another.
 TYPE_AFFINITY = {("boolean", "number"): 0.6, ("boolean", "string"): 0.5, ("string", "number"): 0.5, ("array", "string"): 0.6}
 TRUE_WORDS, FALSE_WORDS = ("true", "on", "yes", "1"), ("false", "off", "no", "0")
@@ -185,7 +187,8 @@ def match_fields(fields: dict[str, set[str]], together: dict[tuple[str, str], in
                 s = word_similarity(nx, ny) ** 2
             elif kx == ky == "field":
                 wx, wy = name_words(nx), name_words(ny)
-                s = sum(max((word_similarity(u, v) for u in wx), default=0) for v in wy) / len(wy) if wy else 0.0
+                heavy = [WEAK_WORDS.get(v, 1.0) for v in wy]
+                s = sum(h * max((word_similarity(u, v) for u in wx), default=0) for h, v in zip(heavy, wy)) / sum(heavy) if wy else 0.0
                 s = 0.5 * s + 0.2 * (len(set(wx) & set(wy)) / max(1, len(set(wx) | set(wy)))) + 0.3 * overlap.get((nx, ny), 0.0)
             else:
                 continue

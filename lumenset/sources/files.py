@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,7 @@ from pyspark.sql import types as T
 from lumenset.operators.manifest import EXTENSIONS, base_name, is_image, parent_name, relative_source, stem, with_labels
 from lumenset.operators.quality import aspect_ratio
 from lumenset.operators.ranking import grouped_rank
+from lumenset.sources.headers import read_header
 
 _GLOB = "*.{" + ",".join([*EXTENSIONS, *[e.upper() for e in EXTENSIONS]]) + "}"
 
@@ -41,10 +44,6 @@ def image_files(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 def _header(content: Column) -> Column:
     """Format, width and height from the first bytes of PNG, JPEG, BMP, GIF-free formats; NULL where they can't be read."""
-    import pandas as pd
-
-    from lumenset.sources.headers import read_header
-
     @F.pandas_udf("format string, width int, height int")
     def read(c: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([read_header(x) for x in c], columns=["format", "width", "height"]).astype({"width": "Int32", "height": "Int32"})
@@ -93,12 +92,8 @@ def pixels(spark: SparkSession, path: str) -> DataFrame:
     """(``path``, ``height``, ``width``, ``channels``, ``data``): bytes in red, green, blue order; files that can't be decoded are left out."""
     img = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select("image.*").where("width > 0 and height > 0")
 
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def ordered(data: pd.Series, channels: pd.Series) -> pd.Series:
-        import numpy as np
-
         out = []
         for d, c in zip(data, channels):
             a = np.frombuffer(d, np.uint8).reshape(-1, max(1, int(c))).astype(float)
