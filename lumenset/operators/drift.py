@@ -168,6 +168,14 @@ def flood(a: _Graph, b: _Graph, start: dict[tuple[str, str], float], rounds: int
     return {p: float(score[i]) for p, i in pairs.items()}
 
 
+def name_score(path: str, target: str, overlap: float = 0.0) -> float:
+    """How well a path's words cover a target's, how many they share, and the share of values that are the target's."""
+    wx, wy = name_words(path), name_words(target)
+    heavy = [WEAK_WORDS.get(v, 1.0) for v in wy]
+    s = sum(h * max((word_similarity(u, v) for u in wx), default=0) for h, v in zip(heavy, wy)) / sum(heavy) if wy else 0.0
+    return 0.5 * s + 0.2 * (len(set(wx) & set(wy)) / max(1, len(set(wx) | set(wy)))) + 0.3 * overlap
+
+
 def match_fields(fields: dict[str, set[str]], together: dict[tuple[str, str], int], count: dict[str, int], overlap: dict[tuple[str, str], float], targets: tuple[Target, ...], least: float = 0.2, tolerance: float = 0.02) -> dict[str, list[tuple[str, float]]]:
     """The paths that stand for each target, best first, with scores relative to the target's best one.
 
@@ -186,10 +194,7 @@ def match_fields(fields: dict[str, set[str]], together: dict[tuple[str, str], in
             elif kx == ky == "word":
                 s = word_similarity(nx, ny) ** 2
             elif kx == ky == "field":
-                wx, wy = name_words(nx), name_words(ny)
-                heavy = [WEAK_WORDS.get(v, 1.0) for v in wy]
-                s = sum(h * max((word_similarity(u, v) for u in wx), default=0) for h, v in zip(heavy, wy)) / sum(heavy) if wy else 0.0
-                s = 0.5 * s + 0.2 * (len(set(wx) & set(wy)) / max(1, len(set(wx) | set(wy)))) + 0.3 * overlap.get((nx, ny), 0.0)
+                s = name_score(nx, ny, overlap.get((nx, ny), 0.0))
             else:
                 continue
             if s > 0:
@@ -214,7 +219,7 @@ def match_fields(fields: dict[str, set[str]], together: dict[tuple[str, str], in
 def learn_matches(parsed: DataFrame, targets: tuple[Target, ...] = TRAINING_FIELDS, most_fields: int = 100_000) -> dict[str, list[tuple[str, float]]]:
     """``match_fields`` with the statistics of all files. More than ``most_fields`` different paths raise ValueError.
 
-    What reaches the driver has a row for each path and type, for each two paths and for each path and target.
+    What reaches the driver has a row for each path and type, for each two paths with names or values like a target's, and for each path and target.
     """
     leaf = parsed.select(F.explode("leaves").alias("l")).select("l.*")
     kinds = leaf.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n")).limit(6 * most_fields + 1).collect()
@@ -226,15 +231,18 @@ def learn_matches(parsed: DataFrame, targets: tuple[Target, ...] = TRAINING_FIEL
     count: dict[str, int] = defaultdict(int)
     for r in kinds:
         count[r["path"]] += r["n"] * (r["kind"] != "null")
-    # Files of one shape are counted first, so pairs are made once for each shape.
-    shapes = parsed.select(F.array_sort(F.transform(F.filter("leaves", lambda x: x["kind"] != "null"), lambda x: x["path"])).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    pair = shapes.select("n", F.explode("s").alias("a"), "s").select("n", "a", F.explode("s").alias("b")).where("a < b").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    together = {(r["a"], r["b"]): r["n"] for r in pair.toLocalIterator()}
     values = leaf.where("kind in ('string', 'array') and value is not null").groupBy("path", "value").agg(F.count(F.lit(1)).alias("n"))
     named = values.where(F.col("path").isin([t.name for t in targets])).select(F.col("path").alias("target"), "value")
     shared = values.join(named, "value").groupBy("path", "target").agg(F.sum("n").alias("n"))
     texts = {r["path"]: r["n"] for r in values.groupBy("path").agg(F.sum("n").alias("n")).collect()}
     overlap = {(r["path"], r["target"]): r["n"] / texts[r["path"]] for r in shared.collect()}
+    # A path whose name and values tell next to nothing of any target is never its field, so only the others need partners.
+    near = [p for p in fields if max((name_score(p, t.name, overlap.get((p, t.name), 0.0)) for t in targets), default=0) > 0.05]
+    # Files of one shape are counted first, so pairs are made once for each shape.
+    held = F.filter("leaves", lambda x: (x["kind"] != "null") & x["path"].isin(near))
+    shapes = parsed.select(F.array_sort(F.transform(held, lambda x: x["path"])).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    pair = shapes.select("n", F.explode("s").alias("a"), "s").select("n", "a", F.explode("s").alias("b")).where("a < b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    together = {(r["a"], r["b"]): r["n"] for r in pair.toLocalIterator()}
     return match_fields(fields, together, count, overlap, targets)
 
 

@@ -2,7 +2,8 @@
 
 Iterative operators cut their lineage by writing a Parquet table under
 ``spark.checkpoint.dir`` and reading it back, so that a lost executor costs a
-re-read and never a re-computation of all rounds.
+re-read and never a re-computation of all rounds. A returned table may still be
+read from there, so the last ones stay until ``clear`` or the end of the folder.
 """
 
 from __future__ import annotations
@@ -31,12 +32,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/lumenset-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that operators of this application left. Call it once their results are written."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Named tables of one operator run. ``drop`` removes those no longer read."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
