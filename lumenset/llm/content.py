@@ -24,37 +24,39 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_00
     return held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
 
-def train_scorer(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, width: int = 40, stride: int = 20, epochs: int = 8, seed: int = 7) -> bytes | None:
-    """Trains the network in one task on the bounded sample of ``labelled_texts`` and returns its weights (1.2 MB whatever the data).
+def train_scorer(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, width: int = 40, stride: int = 20, epochs: int = 8, seeds: tuple[int, ...] = (7, 8, 9)) -> list[bytes] | None:
+    """Trains a network for each seed, a task for each, on the bounded sample of ``labelled_texts``; returns their weights (1.2 MB each whatever the data).
 
     None if the labels hold no flagged or no other text: then nothing can be learnt.
     """
 
-    def fit(table: pa.Table) -> pa.Table:
+    def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         y = table.column("flagged").to_numpy()
         if not (y >= 0.5).any() or not (y < 0.5).any():
-            return pa.table({"weights": pa.array([], pa.binary())})
-        net = train(table.column("text").to_pylist(), y, width, stride, epochs, seed)
-        return pa.table({"weights": pa.array([net.dump()], pa.binary())})
+            return pa.table({"seed": pa.array([], pa.int32()), "weights": pa.array([], pa.binary())})
+        net = train(table.column("text").to_pylist(), y, width, stride, epochs, key[0].as_py())
+        return pa.table({"seed": pa.array([key[0].as_py()], pa.int32()), "weights": pa.array([net.dump()], pa.binary())})
 
-    sample = labelled_texts(docs, labels, max_labelled).withColumn("one", F.lit(1))
-    row = sample.groupBy("one").applyInArrow(lambda t: fit(t), "weights binary").first()
-    return bytes(row["weights"]) if row else None
+    sample = labelled_texts(docs, labels, max_labelled).withColumn("seed", F.explode(F.lit(list(seeds))))
+    sample = sample.repartitionByRange(len(seeds), "seed")  # so that each has a task of its own, however small the sample
+    rows = sample.groupBy("seed").applyInArrow(fit, "seed int, weights binary").collect()  # a row for each seed
+    return [bytes(r["weights"]) for r in sorted(rows, key=lambda r: seeds.index(r["seed"]))] or None
 
 
-def score_texts(docs: DataFrame, weights: bytes | None, width: int = 40, stride: int = 20, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
+def score_texts(docs: DataFrame, weights: list[bytes] | None, width: int = 40, stride: int = 20, keep: tuple[str, ...] = ("doc_id", "source"), doubtful: float = 0.02) -> DataFrame:
     """The columns ``keep``, ``score`` and ``windows``: the highest probability of any of the overlapping windows that cover the text, and their number.
 
-    NULL, empty and blank texts, and all texts without ``weights``, score 0. Every token is in a window, and every stretch
+    The first network scores all windows; those it gives ``doubtful`` or more get the mean of all networks instead, which removes what one network
+    alone took from a wrong label. NULL, empty and blank texts, and all texts without ``weights``, score 0. Every token is in a window, and every stretch
     of ``width - stride`` tokens is whole in one, however long the text.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network.load(shared.value) if shared.value else None
-        vocab = Words(net.buckets if net else 1)
+        nets = [Network.load(w) for w in shared.value or []]
+        vocab = Words(nets[0].buckets if nets else 1)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
@@ -62,18 +64,27 @@ def score_texts(docs: DataFrame, weights: bytes | None, width: int = 40, stride:
                     vocab = Words(vocab.buckets)
                 spans, owner = [], []
                 for i, t in enumerate(b.column("text").to_pylist()):
-                    ids = vocab.ids(words(t)) if net and t else []
+                    ids = vocab.ids(words(t)) if nets and t else []
                     for lo, hi in windows(len(ids), width, stride):
                         spans.append(ids[lo:hi])
                         owner.append(i)
                 score = np.zeros(b.num_rows, np.float64)
                 if spans:
-                    np.maximum.at(score, owner, score_windows(net, vocab, spans).astype(np.float64))
+                    each = score_windows(nets[0], vocab, spans).astype(np.float64)
+                    again = np.flatnonzero(each >= doubtful)
+                    for net in nets[1:] if len(again) else []:
+                        each[again] += score_windows(net, vocab, [spans[i] for i in again])
+                    each[again] /= len(nets)
+                    np.maximum.at(score, owner, each)
                 count = np.bincount(np.array(owner, int), minlength=b.num_rows) if owner else np.zeros(b.num_rows, int)
                 yield pa.RecordBatch.from_arrays([*b.select(list(keep)).columns, pa.array(score), pa.array(count.astype(np.int32))], names=[*keep, "score", "windows"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, score double, windows int")
+    read = docs.select(*keep, "text")
+    cores = spark.sparkContext.defaultParallelism
+    if read.rdd.getNumPartitions() < cores:  # few splits hold little text, so dealing them to all cores costs little
+        read = read.repartition(cores)
+    return read.mapInArrow(run, f"{kinds}, score double, windows int")
 
 
 def rates_by_source(scored: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -239,7 +239,7 @@ def score_windows(net: Network, vocab: Words, spans: list[list[int]], batch: int
     return out
 
 
-def train(texts: list[str], target: np.ndarray, width: int = 40, stride: int = 20, epochs: int = 8, seed: int = 7, batch: int = 256, rate: float = 0.004, positive_weight: float = 2.0, least_steps: int = 600) -> Network:
+def train(texts: list[str], target: np.ndarray, width: int = 40, stride: int = 20, epochs: int = 8, seed: int = 7, batch: int = 256, rate: float = 0.004, positive_weight: float = 2.0, least_steps: int = 600, word_dropout: float = 0.1, decay: float = 1e-4) -> Network:
     """Learns from labels of whole texts, some of which are wrong.
 
     A flagged text has at least one window with such content, an unflagged one none. In the first two
@@ -292,10 +292,10 @@ def train(texts: list[str], target: np.ndarray, width: int = 40, stride: int = 2
         for at in range(0, len(chosen), batch):
             part = chosen[at : at + batch]
             table, parts, idx, mask = _batch(net, vocab, [spans[i] for i in part])
-            keep = (rng.random(len(table)) > 0.1).astype(np.float32)  # a word is now and then known by its characters alone
+            keep = (rng.random(len(table)) > word_dropout).astype(np.float32)  # a word is now and then known by its characters alone
             table[:, : net.dim] *= keep[:, None]
             logit, state = net.forward(table, idx, mask, keep=True)
             d = (_sig(logit) - wanted[owner[part]]) * weight[at : at + batch] / len(part)
             g = net.backward(table, parts, state, d.astype(np.float32))
-            adam.step(g, 1e-4)
+            adam.step(g, decay)
     return net
