@@ -12,6 +12,7 @@ def local_session(app: str = "lumenset", cpus: int | None = None, shuffle_partit
 
     On a cluster, build the session there; no operator depends on this function.
     """
+    os.environ.setdefault("OMP_NUM_THREADS", "1")  # tasks share the cores already
     n = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     return (
         SparkSession.builder.master(f"local[{n}]")
