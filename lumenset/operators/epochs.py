@@ -59,6 +59,12 @@ def top_runs(runs: DataFrame, score: str, n: int = 2) -> DataFrame:
     return runs.orderBy(F.coalesce(F.col(score), F.lit(0.0)).desc(), "run").limit(n)
 
 
+def select_runs(runs: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Runs whose name is included (all, without any) and not excluded."""
+    out = runs.where(F.col("run").isin(*include)) if include else runs
+    return out.where(~F.col("run").isin(*exclude)) if exclude else out
+
+
 def with_summary(log: DataFrame, summary: DataFrame) -> DataFrame:
     """(``run``, ``best_val_acc``, ``epochs_trained``): from the summary where it has them, else from the log."""
     own = log.groupBy("run").agg(F.max("val_acc").alias("__best"), F.count(F.lit(1)).alias("__n"))

@@ -17,18 +17,20 @@ def capped(rows: DataFrame, most: int | None, compat: bool = False) -> DataFrame
     if not most:
         return rows
     quality = F.col("quality_score").cast("string").asc_nulls_first() if compat else F.col("quality_score").desc_nulls_last()
-    ranked = grouped_rank(rows, ["split"], [F.col("class_label"), F.col("dataset_source"), quality, F.col("path"), F.col("row_idx")], "__n")
-    return ranked.where(F.col("__n") <= most).drop("__n")
+    keys = rows.select("split", "class_label", "dataset_source", "quality_score", "path", "row_idx")
+    ranked = grouped_rank(keys, ["split"], [F.col("class_label"), F.col("dataset_source"), quality, F.col("path"), F.col("row_idx")], "__n")
+    return rows.join(ranked.where(F.col("__n") <= most).select("row_idx"), "row_idx", "left_semi").select(*rows.columns)
 
 
 def with_destination(rows: DataFrame, root: str = "export") -> DataFrame:
     """Adds ``destination``: root/split/class/name, and ``_1``, ``_2`` ... before the extension where a name is taken, in the order of path."""
-    named = rows.withColumn("__name", base_name(F.col("path"))).withColumn("__s", F.coalesce("split", F.lit("none"))).withColumn("__c", F.coalesce("class_label", F.lit("unknown")))
-    ranked = grouped_rank(named, ["__s", "__c", "__name"], [F.col("path"), F.col("row_idx")], "__n")
+    keys = rows.select(F.col("row_idx").alias("__row"), "path", base_name(F.col("path")).alias("__name"), F.coalesce("split", F.lit("none")).alias("__s"), F.coalesce("class_label", F.lit("unknown")).alias("__c"))
+    ranked = grouped_rank(keys, ["__s", "__c", "__name"], [F.col("path"), F.col("__row")], "__n")
     cut = F.regexp_extract("__name", r"^(.*?)(\.[^.]*)?$", 1)
     tail = F.regexp_extract("__name", r"^(.*?)(\.[^.]*)?$", 2)
     name = F.when(F.col("__n") == 1, F.col("__name")).otherwise(F.concat(cut, F.lit("_"), (F.col("__n") - 1).cast("string"), tail))
-    return ranked.select(*rows.columns, F.concat_ws("/", F.lit(root), "__s", "__c", name).alias("destination"))
+    placed = ranked.select("__row", F.concat_ws("/", F.lit(root), "__s", "__c", name).alias("destination"))
+    return rows.join(placed, rows["row_idx"] == placed["__row"]).select(*rows.columns, "destination")
 
 
 def split_counts(rows: DataFrame) -> DataFrame:

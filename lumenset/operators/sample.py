@@ -10,10 +10,17 @@ from lumenset.operators.ranking import grouped_rank
 from lumenset.scratch import Scratch
 
 
-def _ranked(rows: DataFrame, group: list[str], name: str, before: tuple[str, ...] = ()) -> DataFrame:
-    """Rank by preference within the group, after the columns ``before``."""
-    keys = preference()
-    return grouped_rank(rows.withColumns(keys), group, [F.col(c) for c in (*before, *keys)], name).drop(*keys)
+def _keys(rows: DataFrame) -> DataFrame:
+    """What the ranks need: few narrow columns instead of whole rows."""
+    return rows.select(F.col("row_idx").alias("__row"), "class_label", "dataset_source", *[c.alias(k) for k, c in preference().items()])
+
+
+def _rank(keys: DataFrame, group: list[str], name: str, before: tuple[str, ...] = ()) -> DataFrame:
+    return grouped_rank(keys, group, [F.col(c) for c in (*before, "k1", "k2", "k3", "k4", "k5")], name)
+
+
+def _only(rows: DataFrame, picked: DataFrame) -> DataFrame:
+    return rows.join(picked.select(F.col("__row").alias("row_idx")), "row_idx", "left_semi").select(*rows.columns)
 
 
 def class_sample(rows: DataFrame, targets: dict[str, int], source_fraction: float | None = None) -> DataFrame:
@@ -21,15 +28,15 @@ def class_sample(rows: DataFrame, targets: dict[str, int], source_fraction: floa
 
     The cap of a source in a class is floor(fraction * target); what exceeds it is taken only
     while the class falls short, so the cap is soft. A fraction of 0 or None caps nothing. Classes
-    without a target, also NULL, are dropped. Rows without a source share one cap.
+    without a target, also NULL, are dropped. Rows without a source share one cap. ``row_idx`` must be unique.
     """
     goal = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]) if targets else F.create_map().cast("map<string,int>")
-    held = rows.withColumn("__target", F.try_element_at(goal, F.coalesce("class_label", F.lit("")))).where("__target is not null")
-    held = _ranked(held, ["class_label", "dataset_source"], "__in_source")
-    over = F.col("__in_source") > F.floor(F.col("__target") * F.lit(source_fraction)) if source_fraction else F.lit(False)
-    held = held.withColumn("__over", over.cast("int"))
-    picked = _ranked(held, ["class_label"], "__in_class", ("__over",)).where("__in_class <= __target")
-    return picked.select(*rows.columns)
+    held = _keys(rows).withColumn("__target", F.try_element_at(goal, F.coalesce("class_label", F.lit("")))).where("__target is not null")
+    over = F.lit(0)
+    if source_fraction:
+        held = _rank(held, ["class_label", "dataset_source"], "__in_source")
+        over = (F.col("__in_source") > F.floor(F.col("__target") * F.lit(source_fraction))).cast("int")
+    return _only(rows, _rank(held.withColumn("__over", over), ["class_label"], "__in_class", ("__over",)).where("__in_class <= __target"))
 
 
 def global_cap(rows: DataFrame, most: int | None) -> DataFrame:
@@ -40,10 +47,10 @@ def global_cap(rows: DataFrame, most: int | None) -> DataFrame:
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     if total <= most:
         return rows
-    ranked = _ranked(rows, ["class_label"], "__r")
+    ranked = _rank(_keys(rows), ["class_label"], "__r")
     quota = F.greatest(F.lit(1), F.floor(F.lit(most) * F.col("n") / F.lit(total)))
-    within = ranked.join(counts.withColumnRenamed("class_label", "__c"), F.col("class_label").eqNullSafe(F.col("__c"))).where(F.col("__r") <= quota).select(*rows.columns)
-    return _ranked(within, [], "__all").where(F.col("__all") <= most).select(*rows.columns)
+    within = ranked.join(counts.withColumnRenamed("class_label", "__c"), F.col("class_label").eqNullSafe(F.col("__c"))).where(F.col("__r") <= quota).select("__row", "k1", "k2", "k3", "k4", "k5")
+    return _only(rows, _rank(within, [], "__all").where(F.col("__all") <= most))
 
 
 def arrival_quota(rows: DataFrame, label: str, order: str, per_label: int, most: int | None = None) -> DataFrame:

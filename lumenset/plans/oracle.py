@@ -280,6 +280,7 @@ def _epoch_sql() -> dict[str, str]:
             SELECT run, coalesce(min(epoch) FILTER (wait >= 5), max(epoch)) AS stop_epoch, count(*) FILTER (wait >= 5) > 0 AS stopped FROM s GROUP BY 1""",
         "overfit_gap": f"WITH {_LOG} SELECT run, round(arg_max(train_acc - val_acc, epoch), 6) AS gap FROM log GROUP BY 1",
         "run_comparison": f"WITH {_LOG} SELECT run, max(val_acc) AS best_val_acc, CASE WHEN run <> 'click' THEN 12 ELSE count(*) END::BIGINT AS epochs_trained FROM log GROUP BY run",
+        "run_filter": f"WITH {_LOG} SELECT run, epoch, val_acc FROM log WHERE run IN ('click', 'purchase', 'view') AND run <> 'view'",
         "curves": f"WITH {_LOG} SELECT run, epoch, metric, value FROM log UNPIVOT (value FOR metric IN (train_loss, val_loss, train_acc, val_acc))",
         "leaderboard": f"WITH {_RUNS}, r AS (SELECT run, row_number() OVER (ORDER BY coalesce(best_val_acc, 0) DESC, position) AS rank FROM runs) SELECT run, rank, CASE WHEN rank = 1 THEN '*' ELSE '' END || run AS shown FROM r",
         "top2_runs": f"WITH {_RUNS} SELECT run, best_val_acc FROM runs ORDER BY coalesce(best_val_acc, 0) DESC, run LIMIT 2",

@@ -358,6 +358,10 @@ def run_comparison(spark: SparkSession, d: str) -> DataFrame:
     return epochs.with_summary(log, some)
 
 
+def run_filter(spark: SparkSession, d: str) -> DataFrame:
+    return epochs.select_runs(_log(spark, d), ("click", "purchase", "view"), ("view",)).select("run", "epoch", "val_acc")
+
+
 def curves(spark: SparkSession, d: str) -> DataFrame:
     return epochs.long_form(_log(spark, d))
 
@@ -515,7 +519,7 @@ _NAMED = (
     export_plan, export_cap_compat, split_counts, copy_rates, copy_plan, merge_manifests, manifest_patch, pending_outputs,
     split_class_matrix, split_source_matrix, imbalance_warnings, hash_leakage, leakage_pairs, quality_stats, quality_histogram, anomalies, audit_verdict, duplicate_paths,
     confusion_matrix, confusion_row_pct, class_report, accuracy_macro_f1, boundary_errors, positional_pairs, present_labels,
-    epoch_weighted_metrics, best_epoch, running_best, early_stop, overfit_gap, run_comparison, curves, leaderboard, top2_runs, palette, latest_run, run_dir_from_path, summary_defaults, arch_inference, name_conflicts, lr_schedule, lr_plateau,
+    epoch_weighted_metrics, best_epoch, running_best, early_stop, overfit_gap, run_comparison, run_filter, curves, leaderboard, top2_runs, palette, latest_run, run_dir_from_path, summary_defaults, arch_inference, name_conflicts, lr_schedule, lr_plateau,
     softmax_argmax, cross_entropy, focal_loss, gem_pool, channel_concat_pad, cam_from_arrays, overlay_blend, normalize_vector, minmax_group, flip_and_brighten, brightness_predictor, srm_row, srm_residual, fft_magnitude, blur_score,
     p7_found, p7_unified,
 )
