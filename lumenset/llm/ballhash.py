@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from lumenset.llm.components import connected_components
 from lumenset.scratch import Scratch
 
 #: Lowest bit and width of the blocks.
@@ -220,3 +221,29 @@ def image_pairs(images: DataFrame, radius: int = RADIUS, side: str | None = None
     if sided:
         joined = joined.where("(sa & 1 > 0 and sb & 2 > 0) or (sa & 2 > 0 and sb & 1 > 0)")
     return joined.groupBy(F.least("pa", "pb").alias("path_a"), F.greatest("pa", "pb").alias("path_b")).agg(F.min("distance").alias("distance"))
+
+
+def near_groups(images: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(``path``, ``group_path``, ``links``): for every image the smallest path it is near to, directly or over others, and how many images are near it.
+
+    ``images``: ``path``, ``h`` as in ``image_pairs``. The work is done on distinct hashes, so copies are counted and never paired,
+    however many there are. An image without a hash is a group of its own. An image with several hashes joins their groups, and one that is
+    near by two of them counts once for each. NULL paths are left out.
+    """
+    scratch = Scratch(images.sparkSession, "near-groups")
+    images = scratch.write(images.where("path is not null").select("path", "h").distinct(), "images")
+    held = images.where("h is not null")
+    pairs = scratch.write(near_pairs(held.select("h"), radius).select("h1", "h2"), "pairs")
+    several = held.groupBy("path").agg(F.min("h").alias("h1"), F.max("h").alias("top")).where("h1 <> top").select("path", "h1")
+    same = held.join(several, "path").where("h <> h1").select("h1", F.col("h").alias("h2"))
+    named = connected_components(pairs.unionByName(same), "h1", "h2").select(F.col("node").alias("h"), "component")
+    copies = scratch.write(held.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("least")), "copies")
+    ways = pairs.unionByName(pairs.select(F.col("h2").alias("h1"), F.col("h1").alias("h2")))
+    beside = ways.join(copies.select(F.col("h").alias("h2"), "n"), "h2").groupBy(F.col("h1").alias("h")).agg(F.sum("n").alias("beside"))
+    kinds = copies.join(named, "h", "left").join(beside, "h", "left").select("h", F.coalesce("component", "h").alias("component"), "least", (F.col("n") - 1 + F.coalesce("beside", F.lit(0))).alias("links"))
+    kinds = scratch.write(kinds, "kinds")
+    heads = kinds.groupBy("component").agg(F.min("least").alias("group_path"))
+    each = held.join(kinds.join(heads, "component").select("h", "group_path", "links"), "h")
+    each = each.groupBy("path").agg(F.min("group_path").alias("group_path"), F.sum("links").alias("links"))
+    alone = images.where("h is null").select("path").join(held.select("path"), "path", "left_anti").select("path", F.col("path").alias("group_path"), F.lit(0).cast("long").alias("links"))
+    return each.unionByName(alone)

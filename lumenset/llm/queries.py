@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenset.functions.text import valid_phash
 from lumenset.llm import capping, content, matches, mixing, overlap, packing, splits, stratified
-from lumenset.llm.ballhash import image_pairs
-from lumenset.llm.matches import link_groups
+from lumenset.llm.ballhash import image_pairs, near_groups
 from lumenset.scratch import Scratch
 
 
@@ -80,11 +79,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every image with its near-duplicate group and its number of near images."""
-    images = _t(spark, d, "deduped_index").where("path is not null").select("path").distinct()
-    pairs = Scratch(spark, "p6").write(image_pairs(_hashed_images(spark, d)), "pairs")
-    links = pairs.select(F.explode(F.array("path_a", "path_b")).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("links"))
-    groups = link_groups(pairs, "path_a", "path_b")
-    return images.join(groups, "path", "left").join(links, "path", "left").select("path", F.coalesce("group_path", "path").alias("group_path"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return near_groups(_hashed_images(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from lumenset.llm.ballhash import image_pairs, near_pairs
+from lumenset.llm.ballhash import image_pairs, near_groups, near_pairs
 from lumenset.llm.components import connected_components
 from lumenset.llm.matches import grouped_images, match_groups
 from lumenset.llm.overlap import cross_split_pairs, overlap_report, text_overlaps
@@ -180,6 +180,18 @@ def test_image_pairs(spark):
     assert rows(image_pairs(t, side="side")) == [("a", "b", 0), ("a", "c", 1)]
 
 
+def test_near_groups_count_copies_without_pairing_them(spark):
+    h = some_hashes(40, 7)
+    data = [(f"p{i:04}", x - 2**64 if x >= 2**63 else x, 1) for i, x in enumerate(h + h[:15])] + [(f"copy{i:05}", 1, 1) for i in range(3000)] + [("none", None, 1), ("none", None, 1), (None, 1, 1), ("both", 3, 1), ("both", None, 1)]
+    t = spark.createDataFrame(data, "path string, h long, component int")
+    named = sorted({(p, x) for p, x, _ in data if p and x is not None})
+    want = union_find([(a, b) for i, (a, x) in enumerate(named) for b, y in named[i + 1 :] if ((x ^ y) & (2**64 - 1)).bit_count() <= 8 and not (a.startswith("copy") and b.startswith("copy") and a != "copy00000")])
+    got = {r["path"]: (r["group_path"], r["links"]) for r in near_groups(t).collect()}
+    assert {p: g for p, (g, _) in got.items()} == {p: want.get(p, p) for p in got} and len(got) == len({p for p, _ in named}) + 1
+    assert got["copy00007"][1] == sum(((x ^ 1) & (2**64 - 1)).bit_count() <= 8 for _, x in named) - 1 and got["none"] == ("none", 0)
+    assert near_groups(t.where("false")).collect() == []
+
+
 EXPORT = "path string, md5_hash string, phash string, split string, dataset_source string, hash string"
 
 
