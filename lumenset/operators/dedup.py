@@ -71,11 +71,14 @@ def near_clusters(rows: DataFrame, bucket_chars: int = 12, threshold: int = 8, s
     """``rows`` with ``cluster_key``: the smallest hash linked to the row's hash within its bucket, directly or over others.
 
     Rows whose hash is missing or shorter than the bucket have NULL; with ``singles`` each of them is a cluster of its own,
-    named by its path. Longer malformed hashes are clusters by equality.
+    named by its path. So do rows that share a text which is no hexadecimal number (a marker such as 'hash_error'): it says nothing
+    about the image. Such a text on one row alone names that row. Hexadecimal hashes of other lengths are clusters by equality.
     """
     pairs = Scratch(rows.sparkSession, "bucket-pairs").write(bucket_pairs(rows, bucket_chars, threshold), "pairs")
-    named = components(pairs, "h1", "h2").select(F.col("node").alias("phash"), "component")
-    usable = F.length("phash") >= bucket_chars
+    named = components(pairs, "h1", "h2").select(F.col("node").alias("phash"), "component", F.lit(False).alias("marker"))
+    markers = rows.where(~F.lower(F.trim("phash")).rlike("^[0-9a-f]+$")).groupBy("phash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    named = named.unionByName(markers.select("phash", F.lit(None).cast("string").alias("component"), F.lit(True).alias("marker")))
+    usable = (F.length("phash") >= bucket_chars) & ~F.coalesce("marker", F.lit(False))
     out = rows.join(named, "phash", "left")
     alone = F.concat(F.lit("path:"), F.col("path")) if singles else F.lit(None).cast("string")
     return out.select(*rows.columns, F.when(usable, F.coalesce("component", "phash")).otherwise(alone).alias("cluster_key"))

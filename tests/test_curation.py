@@ -85,6 +85,15 @@ def test_near_clusters_are_transitive_within_buckets(spark):
     assert numbers[0] == numbers[6] == "cluster_00000" and sorted(set(numbers.values())) == [f"cluster_{i:05}" for i in range(5)]
 
 
+def test_markers_are_no_near_copies(spark):
+    t = table(spark, *[dict(phash="hash_error", md5_hash=f"m{i}") for i in range(3)], dict(phash="12345678"), dict(phash="12345678"), dict(phash="ab" * 8), dict(phash="ab" * 8))
+    assert ids(dedup.near_kept(t, 4)) == [0, 1, 2, 3, 5]
+    got = {r["row_idx"]: r["cluster_key"] for r in dedup.near_clusters(t, 4, singles=True).collect()}
+    assert [got[i] for i in range(3)] == ["path:p0", "path:p1", "path:p2"] and got[3] == got[4] == "12345678" and got[5] == got[6]
+    summary = dedup.dedup_summary(t, 4).first()
+    assert (summary["kept"], summary["near_removed"]) == (5, 2)
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(40)], [(9, i) for i in range(20)] + [(100, 101), (None, 3)]])
 def test_components(spark, edges):
     up = {}
