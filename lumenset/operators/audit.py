@@ -116,8 +116,9 @@ def escapes(path: Column, root: str) -> Column:
 def verdict(rows: DataFrame, config: Config = Config(), missing: int = 0, unreadable: int = 0) -> DataFrame:
     """One row with the counts behind it and ``verdict``: PASS, WARN or FAIL.
 
-    FAIL: no valid rows, or missing files (of valid rows), malformed rows (of all rows) or pairs of splits with leaked hashes beyond their limits.
-    WARN: any imbalance, anomaly, malformed row, missing, unreadable or repeated file, or too many rows of low quality.
+    FAIL: no valid rows, or missing files (of valid rows), malformed rows (of all rows) or hashes in several splits (``leaked``) beyond their limits.
+    WARN: any imbalance, anomaly, malformed row, missing, unreadable or repeated file, any hash, file name or path in several splits,
+    or too many rows of low quality. ``warnings`` counts imbalances and the kinds of keys that leak.
     All malformed rows count, not just listed ones.
     """
     good = is_complete(REQUIRED)
@@ -125,7 +126,9 @@ def verdict(rows: DataFrame, config: Config = Config(), missing: int = 0, unread
     least = config.min_quality_score or 0.0
     base = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~good).alias("malformed"), F.count_if(good & (F.col("quality_score") < least)).alias("low_quality"))
     count = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
-    facts = base.crossJoin(count(leakage_pairs(valid), "leaked")).crossJoin(count(imbalance(valid), "warnings"))  # single rows, all of them
+    leaks = leakage(valid).agg(F.coalesce(F.max(F.when(F.col("kind") == "hash", F.col("keys"))), F.lit(0)).cast("long").alias("leaked"), F.count_if(F.col("keys") > 0).alias("leaks"))
+    facts = base.crossJoin(leaks).crossJoin(count(imbalance(valid), "imbalances"))  # single rows, all of them
+    facts = facts.select("rows", "malformed", "low_quality", "leaked", (F.col("imbalances") + F.col("leaks")).alias("warnings"))
     facts = facts.crossJoin(count(anomalies(valid, config.known_sources, tuple(config.split_ratios)), "anomalies")).crossJoin(count(repeated(valid, "export_path").select("n").unionAll(repeated(valid, "path").select("n")), "repeated"))
     ok_rows = F.col("rows") - F.col("malformed")
     pct = lambda a, b: F.coalesce(F.try_divide(a * 100.0, b), F.lit(0.0))

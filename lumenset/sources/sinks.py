@@ -142,6 +142,7 @@ def audit_report(rows: DataFrame, config, missing: int = 0, unreadable: int = 0)
 
     facts = audit.verdict(rows, config, missing, unreadable).first().asDict()
     valid = rows.where(audit.is_complete(audit.REQUIRED))
+    leaks = [f"{r['kind']} leakage: {r['keys']} in several splits" for r in audit.leakage(valid).where("keys > 0").orderBy("kind").collect()]
     return {
         "summary": facts,
         "verdict": facts["verdict"],
@@ -149,6 +150,6 @@ def audit_report(rows: DataFrame, config, missing: int = 0, unreadable: int = 0)
         "leakage": {k: {r["pair"]: r["n"] for r in audit.leakage_pairs(valid, k).collect()} for k in ("hash", "filename", "path")},
         "quality": audit.quality_stats(valid, config.min_quality_score or 0.0).first().asDict() | {"histogram": [r["n"] for r in audit.histogram(valid, "quality_score", config.quality_hist_bins).orderBy("bin").collect()]},
         "anomalies": [r.asDict() for r in audit.first_anomalies(audit.anomalies(valid, config.known_sources, tuple(config.split_ratios)), config.anomaly_cap).collect()],
-        "warnings": [f"{r['kind']} {r['name']}: {r['share']:.4f}" for r in audit.imbalance(valid).orderBy("kind", "name").limit(config.anomaly_cap).collect()],
+        "warnings": [f"{r['kind']} {r['name']}: {r['share']:.4f}" for r in audit.imbalance(valid).orderBy("kind", "name").limit(config.anomaly_cap).collect()] + leaks,
         "thresholds_used": {k: getattr(config, k) for k in ("max_missing_pct", "max_leakage_allowed", "max_malformed_pct", "max_low_quality_pct", "min_quality_score", "quality_hist_bins", "anomaly_cap")},
     }

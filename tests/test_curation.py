@@ -230,6 +230,19 @@ def test_verdict_table(spark):
     assert len(audit.first_anomalies(audit.anomalies(table(spark, *[dict(split="bad")] * 30)), 7).collect()) == 7
 
 
+def test_verdict_counts_leaked_keys(spark):
+    good = [dict(md5_hash=f"h{i}", sha256=f"s{i}", split=s, export_path=f"e/{i}") for i, s in enumerate(["train"] * 8 + ["val", "test"])]
+    leak = [*good, *[dict(md5_hash=f"h{i}", sha256=f"t{i}", split="val", export_path=f"e/9{i}") for i in range(5)]]
+    assert verdict(table(spark, *leak), max_leakage_allowed=4) == "FAIL" and verdict(table(spark, *leak), max_leakage_allowed=5) == "WARN"
+    facts = audit.verdict(table(spark, *leak), conf.Config()).first()
+    assert (facts["leaked"], facts["warnings"]) == (5, 1)
+    name = [{**g, "path": f"d{i}/same.png" if i > 7 else f"d{i}/n{i}.png"} for i, g in enumerate(good)]
+    assert verdict(table(spark, *name)) == "WARN"
+    low = [{**g, "quality_score": 0.1} for g in good]
+    assert verdict(table(spark, *low), min_quality_score=0.5) == "WARN" and verdict(table(spark, *low)) == "PASS"
+    assert verdict(table(spark, *good)) == "PASS" and audit.verdict(table(spark, *good), conf.Config(), missing=5).first()["verdict"] == "FAIL"
+
+
 def test_config(tmp_path):
     p = tmp_path / "c.json"
     p.write_text('{"source_dirs": ["a"], "artifacts_dir": "x", "export_root": "y", "image_rules": {"min_width": 5, "target_resolution": 9}, "split_ratios": {"train": 1.0}, "other": 1}')
