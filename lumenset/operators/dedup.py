@@ -90,15 +90,37 @@ def near_kept(rows: DataFrame, bucket_chars: int = 12, threshold: int = 8) -> Da
     return exact_kept(clustered, "cluster_key")
 
 
+def all_conflicts(rows: DataFrame, bucket_chars: int = 12, threshold: int = 8) -> DataFrame:
+    """``conflicts`` of equal digests, and of the near clusters of the rows these leave (``near``, with the removed row's own hash)."""
+    scratch = Scratch(rows.sparkSession, "conflicts")
+    rows = rows.select("row_idx", "path", "class_label", "width", "height", "file_size_bytes", "quality_score", "md5_hash", "phash")
+    once = scratch.write(exact_kept(rows).drop("md5_hash"), "exact")
+    clustered = scratch.write(near_clusters(once, bucket_chars, threshold), "rows")
+    scratch.drop("exact")
+    return conflicts(rows).unionByName(near_conflicts(clustered))
+
+
+def near_conflicts(clustered: DataFrame) -> DataFrame:
+    """``conflicts`` of rows with ``cluster_key``."""
+    near = conflicts(clustered, "cluster_key", "near")
+    return near.join(clustered.select("row_idx", "phash"), "row_idx").withColumn("conflict_hash", F.col("phash")).drop("phash")
+
+
+def removed_counts(rows: DataFrame, key: str, removed: str, mixed: str) -> DataFrame:
+    """One row: all rows but one of each non-NULL key, and how many of them are in groups of more than one class (the rows of ``conflicts``)."""
+    label = F.coalesce("class_label", F.lit(""))
+    groups = rows.where(F.col(key).isNotNull()).groupBy(key).agg((F.count(F.lit(1)) - 1).alias("n"), (F.min(label) != F.max(label)).alias("several"))
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(removed), F.coalesce(F.sum(F.when(F.col("several"), F.col("n"))), F.lit(0)).alias(mixed))
+
+
 def dedup_summary(rows: DataFrame, bucket_chars: int = 12, threshold: int = 8) -> DataFrame:
-    """One row: (``total``, ``kept``, ``exact_removed``, ``near_removed``, ``cross_class``)."""
-    scratch = Scratch(rows.sparkSession, "dedup")
-    once = scratch.write(exact_kept(rows), "exact")
-    kept = near_kept(once, bucket_chars, threshold)
-    count = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
-    # Four single rows.
-    joined = count(rows, "total").crossJoin(count(once, "a")).crossJoin(count(kept, "kept")).crossJoin(count(conflicts(rows), "cross_class"))
-    return joined.select("total", "kept", (F.col("total") - F.col("a")).alias("exact_removed"), (F.col("a") - F.col("kept")).alias("near_removed"), "cross_class")
+    """One row: (``total``, ``kept``, ``exact_removed``, ``near_removed``, ``cross_class``); the last counts removed rows of both kinds of mixed groups."""
+    once = Scratch(rows.sparkSession, "dedup").write(exact_kept(rows).select("path", "class_label", "phash"), "exact")
+    near = removed_counts(near_clusters(once, bucket_chars, threshold), "cluster_key", "near_removed", "near_mixed")
+    # Three single rows.
+    joined = rows.agg(F.count(F.lit(1)).alias("total")).crossJoin(removed_counts(rows, "md5_hash", "exact_removed", "exact_mixed")).crossJoin(near)
+    kept = F.col("total") - F.col("exact_removed") - F.col("near_removed")
+    return joined.select("total", kept.alias("kept"), "exact_removed", "near_removed", (F.col("exact_mixed") + F.col("near_mixed")).alias("cross_class"))
 
 
 def numbered_clusters(rows: DataFrame, key: str = "cluster_key") -> DataFrame:

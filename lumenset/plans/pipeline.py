@@ -65,6 +65,7 @@ def run(spark: SparkSession, config: Config, artifacts: str, copy: bool = True,
     rows = keep("index", lambda: files.index(spark, roots, config.project_root, config.class_map or None))
     manifest.check_artifact(rows, ("path", "class_label", "dataset_source"), 0 if dry_run else 1, "index")
     rows = keep("validated", lambda: validate(with_pixels(spark, rows, roots, config.project_root), config))
+    keep("conflicts", lambda: dedup.all_conflicts(normal_form(rows), config.phash_bucket_chars, config.phash_hamming_threshold))
     kept = keep("deduped", lambda: deduplicate(normal_form(rows), config))
     drawn = keep("sampled", lambda: draw(kept, config))
     placed = keep("split", lambda: divide(drawn, config, split_mode))

@@ -100,7 +100,7 @@ def exact_dedup_removed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedup_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.conflicts(_m(spark, d))
+    return dedup.all_conflicts(_m(spark, d), BUCKET, THRESHOLD)
 
 
 def dedup_summary(spark: SparkSession, d: str) -> DataFrame:

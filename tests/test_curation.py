@@ -85,6 +85,16 @@ def test_near_clusters_are_transitive_within_buckets(spark):
     assert numbers[0] == numbers[6] == "cluster_00000" and sorted(set(numbers.values())) == [f"cluster_{i:05}" for i in range(5)]
 
 
+def test_conflicts_of_near_copies(spark):
+    a, b = "abcdabcdabcd0000", "abcdabcdabcd000f"
+    t = table(spark, dict(md5_hash="m", phash=a), dict(md5_hash="m", class_label="fake", phash=a), dict(md5_hash="n", class_label="fake", phash=b, quality_score=0.5), dict(md5_hash="o", phash="hash_error"), dict(md5_hash="q", class_label="fake", phash="hash_error"))
+    got = {(r["row_idx"], r["conflict_type"]): r for r in dedup.all_conflicts(t, 4).collect()}
+    assert set(got) == {(1, "exact"), (2, "near")}
+    near = got[2, "near"]
+    assert (near["conflict_hash"], near["conflict_paths"], near["conflict_labels"], near["winner_path"]) == (b, "p0|p2", "fake|real", "p0")
+    assert dedup.dedup_summary(t, 4).first()["cross_class"] == 2
+
+
 def test_markers_are_no_near_copies(spark):
     t = table(spark, *[dict(phash="hash_error", md5_hash=f"m{i}") for i in range(3)], dict(phash="12345678"), dict(phash="12345678"), dict(phash="ab" * 8), dict(phash="ab" * 8))
     assert ids(dedup.near_kept(t, 4)) == [0, 1, 2, 3, 5]
