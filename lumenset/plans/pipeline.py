@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenset.config import Config
 from lumenset.functions import images
-from lumenset.operators import dedup, export, manifest, quality, sample, split
+from lumenset.operators import audit, dedup, export, manifest, quality, sample, split
 from lumenset.schema import normal_form
 from lumenset.sources import files, sinks
 
@@ -56,7 +56,8 @@ def plan_export(rows: DataFrame, config: Config) -> DataFrame:
 
 
 def run(spark: SparkSession, config: Config, artifacts: str, copy: bool = True, split_mode: str = "hash", dry_run: bool = False) -> dict:
-    """Runs all stages and returns the audit report. A stage whose table is in ``artifacts`` is read, not made again.
+    """Runs all stages and returns the audit report. A stage whose table is in ``artifacts`` is read, not made again; the audit
+    looks up every exported file anew, also without ``copy``.
 
     ``dry_run`` builds every plan and writes nothing. In strict mode a FAIL raises RuntimeError, and so does a missing file while copying.
     """
@@ -74,14 +75,16 @@ def run(spark: SparkSession, config: Config, artifacts: str, copy: bool = True,
         return {"stages": [len(df.columns) for df in (rows, kept, drawn, placed, planned)]}
     if split.leaking_clusters(planned).limit(1).count():
         raise RuntimeError("a cluster stands in two splits")
-    missing = 0
     if copy:
         plan = planned.select(F.concat(F.lit(config.project_root.rstrip("/") + "/"), "path").alias("source"), F.col("export_path").alias("target"))
         copied = sinks.stage(spark, f"{artifacts}/copied", lambda: sinks.copy_files(plan, config.overwrite_existing, verify=config.verify_hashes))
         if config.strict_mode:
             sinks.require_all(copied)
-        missing = copied.where("state = 'missing'").count()
-    report = sinks.audit_report(planned, config, missing)
+    # Looked up on each run: copies may have failed, and files may have changed since.
+    found = {r["state"]: r["n"] for r in files.export_states(planned.where(manifest.is_complete(audit.REQUIRED))).groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
+    damaged = {k: found.get(k, 0) for k in ("zero_byte", "unreadable", "changed")}
+    report = sinks.audit_report(planned, config, found.get("missing", 0), sum(damaged.values()))
+    report["integrity"] = {"missing": found.get("missing", 0), **damaged}
     sinks.write_json(report, f"{artifacts}/audit_report.json")
     about = sinks.manifest_report(planned, asdict(config), config.dataset_version)
     sinks.write_json(about, f"{artifacts}/manifest.json")

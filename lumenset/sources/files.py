@@ -123,6 +123,37 @@ def file_health(rows: DataFrame, files: DataFrame, key: str = "export_path") ->
     return joined.select(key, F.when(F.col("size").isNull(), "missing").when(F.col("size") == 0, "zero_byte").alias("state")).where("state is not null")
 
 
+def export_states(rows: DataFrame) -> DataFrame:
+    """(``export_path``, ``state``) of each row with an export path, looked up now in tasks (local or mounted paths).
+
+    States: ok, missing, zero_byte, unreadable (it cannot be read to its end), changed (its length or, where the manifest has one,
+    its SHA-256 is another).
+    """
+
+    def one(path: str, length: int | None, digest: str | None) -> str:
+        import hashlib
+        import os
+
+        if not os.path.isfile(path):
+            return "missing"
+        try:
+            if (size := os.path.getsize(path)) == 0:
+                return "zero_byte"
+            with open(path, "rb") as f:
+                got = hashlib.file_digest(f, "sha256").hexdigest()
+        except OSError:
+            return "unreadable"
+        return "changed" if length not in (None, size) or digest not in (None, got) else "ok"
+
+    def run(frames):
+        for pdf in frames:
+            length = [None if pd.isna(x) else int(x) for x in pdf["file_size_bytes"]]
+            yield pd.DataFrame({"export_path": pdf["export_path"], "state": [one(p, n, d or None) for p, n, d in zip(pdf["export_path"], length, pdf["digest"])]})
+
+    wanted = rows.where("trim(export_path) <> ''").select("export_path", "file_size_bytes", F.lower(F.trim("sha256")).alias("digest"))
+    return wanted.mapInPandas(run, "export_path string, state string")
+
+
 def frame_names(videos: DataFrame, per_video: int) -> DataFrame:
     """(``video``, ``frame``, ``name``) of evenly spaced frames; ``videos`` has ``video`` and ``total``."""
     from lumenset.operators.sample import even_indices

@@ -203,6 +203,24 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert px["data"][:3] == [float(int(v)) for v in picture(50, 20)[0, 0]]
 
 
+def test_audit_looks_up_exported_files(spark, tmp_path):
+    root = str(tmp_path)
+    for i in range(8):
+        png(f"{root}/data/real/img{i}.png", picture(i, 100))
+    c = Config(source_dirs=("data/real",), class_map={"data/real": "real"}, project_root=root, export_root=f"{root}/out", image_rules=ImageRules(min_width=50, min_height=50), split_ratios={"train": 0.5, "test": 0.5})
+    first = pipeline.run(spark, c, f"{root}/artifacts")
+    assert first["integrity"] == {"missing": 0, "zero_byte": 0, "unreadable": 0, "changed": 0}
+    assert spark.read.parquet(f"{root}/artifacts/conflicts").count() == 0
+    paths = sorted(r["export_path"] for r in spark.read.parquet(f"{root}/artifacts/export").collect())
+    os.remove(paths[0])
+    open(paths[1], "w").close()
+    with open(paths[2], "r+b") as f:
+        f.write(b"x")
+    again = pipeline.run(spark, c, f"{root}/artifacts")
+    assert again["integrity"] == {"missing": 1, "zero_byte": 1, "unreadable": 0, "changed": 1} and again["verdict"] == "FAIL"
+    assert pipeline.run(spark, c, f"{root}/artifacts", copy=False)["integrity"]["missing"] == 1
+
+
 def test_headers():
     assert read_header(b"BM" + bytes(16) + struct.pack("<ii", 7, -9)) == ("BMP", 7, 9)
     jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"ab" + b"\xff\xc0" + struct.pack(">HBHH", 8, 8, 30, 40)
