@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenset.config import ImageRules
 
 #: What each flag costs; any other flag costs OTHER_PENALTY.
-PENALTIES = {"corrupt": 1.0, "low_resolution": 0.3, "blurry": 0.4, "aspect_ratio_extreme": 0.2, "compressed": 0.1, "opencv_read_failed": 0.5}
+PENALTIES = {"corrupt": 1.0, "low_resolution": 0.3, "blurry": 0.4, "aspect_ratio_extreme": 0.2, "compressed": 0.1, "opencv_read_failed": 0.5, "not_decoded": 0.0}
 OTHER_PENALTY = 0.2
 
 
@@ -32,10 +32,13 @@ def is_compressed(fmt: Column, size: Column, width: Column, height: Column, rule
     return F.coalesce((F.lower(fmt) == "jpeg") & thin, F.lit(False))
 
 
-def quality_flags(rules: ImageRules, blur: Column, corrupt: Column | None = None) -> Column:
-    """Flags of a manifest row in fixed order; a missing blur score is a failed read, and ``corrupt`` replaces all others."""
+def quality_flags(rules: ImageRules, blur: Column, corrupt: Column | None = None, undecoded: Column | None = None) -> Column:
+    """Flags of a manifest row in fixed order; a missing blur score is a failed read, and ``corrupt`` replaces all others.
+
+    ``undecoded`` are images of a format that cannot be read here; their blur is not known and costs nothing.
+    """
     found = [
-        F.when(blur.isNull(), "opencv_read_failed").when(blur < rules.blur_threshold, "blurry"),
+        F.when(F.lit(False) if undecoded is None else undecoded, "not_decoded").when(blur.isNull(), "opencv_read_failed").when(blur < rules.blur_threshold, "blurry"),
         F.when(~resolution_ok(F.col("width"), F.col("height"), rules), "low_resolution"),
         F.when(~aspect_ok(F.col("aspect_ratio"), rules), "aspect_ratio_extreme"),
     ]
@@ -52,9 +55,9 @@ def quality_score(flags: Column) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - F.least(total, F.lit(1.0)))
 
 
-def validated(rows: DataFrame, rules: ImageRules = ImageRules(), corrupt: Column | None = None) -> DataFrame:
+def validated(rows: DataFrame, rules: ImageRules = ImageRules(), corrupt: Column | None = None, undecoded: Column | None = None) -> DataFrame:
     """Adds ``quality_flag``, ``quality_score``, ``resolution_ok`` and ``aspect_ratio_ok``, each once, from sizes and ``blur_score``."""
-    flags = quality_flags(rules, F.col("blur_score"), corrupt)
+    flags = quality_flags(rules, F.col("blur_score"), corrupt, undecoded)
     rows = rows.withColumns({"quality_flag": flags, "resolution_ok": resolution_ok(F.col("width"), F.col("height"), rules), "aspect_ratio_ok": aspect_ok(F.col("aspect_ratio"), rules)})
     return rows.withColumn("quality_score", quality_score(F.col("quality_flag")))
 

@@ -15,19 +15,21 @@ from lumenset.sources import files, sinks
 
 
 def with_pixels(spark: SparkSession, rows: DataFrame, roots: list[str], project_root: str) -> DataFrame:
-    """Adds blur score, perceptual hash and whether the image can't be decoded."""
+    """Adds blur score, perceptual hash and whether the image is corrupt, or of a format that the JVM has no reader for (``undecoded``)."""
     px = files.pixels(spark, roots[0]) if len(roots) == 1 else None
     for r in roots if px is None else []:
         px = files.pixels(spark, r) if px is None else px.unionByName(files.pixels(spark, r))
     plane = px.select(manifest.relative_source(F.col("path"), project_root).alias("path"), files.grey(F.col("data"), F.col("channels")).alias("plane"), F.col("height").alias("h"), F.col("width").alias("w"))
     seen = plane.select("path", images.blur_score("plane", "h", "w").alias("blur_score"), images.phash("plane", "h", "w").alias("seen_hash"))
     out = rows.drop("blur_score").join(seen.dropDuplicates(["path"]), "path", "left")
-    return out.withColumn("corrupt", F.col("blur_score").isNull()).withColumn("phash", F.coalesce("phash", "seen_hash")).drop("seen_hash")
+    unread = F.col("blur_score").isNull()
+    readable = F.coalesce(F.upper("format").isin(*files.readable_formats(spark)), F.lit(True))
+    return out.withColumn("corrupt", unread & readable).withColumn("undecoded", unread & ~readable).withColumn("phash", F.coalesce("phash", "seen_hash")).drop("seen_hash")
 
 
 def validate(rows: DataFrame, config: Config) -> DataFrame:
-    corrupt = F.col("corrupt") if "corrupt" in rows.columns else None
-    return quality.validated(rows, config.image_rules, corrupt).drop("corrupt")
+    corrupt, undecoded = (F.col(c) if c in rows.columns else None for c in ("corrupt", "undecoded"))
+    return quality.validated(rows, config.image_rules, corrupt, undecoded).drop("corrupt", "undecoded")
 
 
 def deduplicate(rows: DataFrame, config: Config) -> DataFrame:
@@ -84,6 +86,7 @@ def run(spark: SparkSession, config: Config, artifacts: str, copy: bool = True,
     found = {r["state"]: r["n"] for r in files.export_states(planned.where(manifest.is_complete(audit.REQUIRED))).groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
     damaged = {k: found.get(k, 0) for k in ("zero_byte", "unreadable", "changed")}
     report = sinks.audit_report(planned, config, found.get("missing", 0), sum(damaged.values()))
+    report["not_decoded"] = rows.where(F.array_contains("quality_flag", "not_decoded")).count()
     report["integrity"] = {"missing": found.get("missing", 0), **damaged}
     sinks.write_json(report, f"{artifacts}/audit_report.json")
     about = sinks.manifest_report(planned, asdict(config), config.dataset_version)

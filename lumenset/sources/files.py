@@ -103,6 +103,11 @@ def pixels(spark: SparkSession, path: str) -> DataFrame:
     return img.select(F.regexp_replace("origin", "^file:/*", "/").alias("path"), "height", "width", F.col("nChannels").alias("channels"), ordered("data", "nChannels").alias("data"))
 
 
+def readable_formats(spark: SparkSession) -> list[str]:
+    """Upper-case names of the formats that ``pixels`` can decode: those the JVM's ImageIO has readers for (a stock one has none for WEBP)."""
+    return sorted({str(x).upper() for x in spark._jvm.javax.imageio.ImageIO.getReaderFormatNames()})
+
+
 def grey(data: Column, channels: Column) -> Column:
     """Luma plane of interleaved pixels."""
     n = (F.size(data) / channels).cast("int")

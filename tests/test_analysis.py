@@ -221,6 +221,19 @@ def test_audit_looks_up_exported_files(spark, tmp_path):
     assert pipeline.run(spark, c, f"{root}/artifacts", copy=False)["integrity"]["missing"] == 1
 
 
+def test_formats_without_a_reader_are_not_corrupt(spark, tmp_path):
+    root = str(tmp_path)
+    data = png(f"{root}/data/good.png", picture(1))
+    with open(f"{root}/data/cut.png", "wb") as f:
+        f.write(data[:60])
+    with open(f"{root}/data/other.webp", "wb") as f:
+        f.write(b"RIFF" + struct.pack("<I", 22) + b"WEBPVP8X" + struct.pack("<I", 10) + bytes(4) + (299).to_bytes(3, "little") * 2)
+    rows = pipeline.with_pixels(spark, files.index(spark, [f"{root}/data"], root), [f"{root}/data"], root)
+    got = {r["path"]: (r["quality_flag"], r["quality_score"]) for r in pipeline.validate(rows, Config()).collect()}
+    assert "WEBP" not in files.readable_formats(spark) and {"PNG", "JPEG", "BMP"} <= set(files.readable_formats(spark))
+    assert got == {"data/good.png": ([], 1.0), "data/cut.png": (["corrupt"], 0.0), "data/other.webp": (["not_decoded"], 1.0)}
+
+
 def test_headers():
     assert read_header(b"BM" + bytes(16) + struct.pack("<ii", 7, -9)) == ("BMP", 7, 9)
     jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"ab" + b"\xff\xc0" + struct.pack(">HBHH", 8, 8, 30, 40)
