@@ -42,8 +42,9 @@ def draw(rows: DataFrame, config: Config) -> DataFrame:
     return sample.global_cap(picked, config.max_total_images)
 
 
-def divide(rows: DataFrame, config: Config, mode: str = "hash") -> DataFrame:
-    """Adds ``cluster_id`` and ``split``; ``mode``: ``hash`` by cluster, or the greedy ``delta`` or ``compat``."""
+def divide(rows: DataFrame, config: Config, mode: str = "delta") -> DataFrame:
+    """Adds ``cluster_id`` and ``split``; ``mode``: the greedy ``delta`` or ``compat``, which balance size, class and source and
+    raise ValueError beyond their largest number of clusters, or ``hash`` by cluster, which has no such bound and balances nothing."""
     clustered = dedup.near_clusters(split.usable_rows(rows), config.phash_bucket_chars, config.phash_cluster_threshold, singles=True)
     clustered = dedup.numbered_clusters(clustered)
     if mode == "hash":
@@ -57,7 +58,7 @@ def plan_export(rows: DataFrame, config: Config) -> DataFrame:
     return export.with_destination(export.capped(rows, config.max_images_per_split), config.export_root).withColumnRenamed("destination", "export_path")
 
 
-def run(spark: SparkSession, config: Config, artifacts: str, copy: bool = True, split_mode: str = "hash", dry_run: bool = False) -> dict:
+def run(spark: SparkSession, config: Config, artifacts: str, copy: bool = True, split_mode: str = "delta", dry_run: bool = False) -> dict:
     """Runs all stages and returns the audit report. A stage whose table is in ``artifacts`` is read, not made again; the audit
     looks up every exported file anew, also without ``copy``.
 

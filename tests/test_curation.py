@@ -11,6 +11,7 @@ from lumenset import config as conf
 from lumenset.operators import audit, dedup, export, manifest, quality, sample, split
 from lumenset.operators.components import components
 from lumenset.operators.ranking import grouped_rank
+from lumenset.plans import pipeline
 from lumenset.schema import normal_form
 
 ROWS = "row_idx long, path string, dataset_source string, class_label string, width int, height int, aspect_ratio double, format string, file_size_bytes long, md5_hash string, sha256 string, quality_score double, phash string, quality_flag array<string>, blur_score double, split string, cluster_id string, export_path string"
@@ -170,6 +171,16 @@ def test_splits_keep_clusters(spark):
         split.greedy_split(out.drop("split"), {"train": 1.0}, max_clusters=3)
 
 
+def test_pipeline_balances_splits(spark):
+    rows = [dict(phash="ab" * 8, class_label="fake")] * 10 + [dict(class_label="rare")] * 4 + [dict(class_label="real")] * 26
+    c = conf.Config(split_ratios={"train": 0.5, "val": 0.25, "test": 0.25})
+    placed = pipeline.divide(table(spark, *[{**r, "path": f"p{i:02}"} for i, r in enumerate(rows)]), c).collect()
+    n = lambda s, k=None: sum(r["split"] == s and k in (None, r["class_label"]) for r in placed)
+    assert all(abs(n(s) - 40 * r) <= 3 for s, r in c.split_ratios.items()), [n(s) for s in c.split_ratios]
+    assert [n(s, "rare") for s in ("train", "val", "test")] == [2, 1, 1]
+    assert len({r["split"] for r in placed if r["class_label"] == "fake"}) == 1
+
+
 def test_export(spark):
     t = table(spark, dict(path="a/x.jpg", split="train"), dict(path="b/x.jpg", split="train"), dict(path="c/x", split="val"), dict(path="d/x", split="val"), dict(path="e/x.jpg", split=None, class_label=None))
     got = {r["row_idx"]: r["destination"] for r in export.with_destination(t).collect()}
