@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Letters of other scripts that look like Latin ones, and signs that stand for letters.
 LOOKALIKES = {
@@ -22,14 +25,21 @@ _SPACED = re.compile(r"(?<![\w])(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?![\w])")
 _LONG = re.compile(r"([^\W\d_])\1{2,}")
 _WORD = re.compile(r"[^\W_]+(?:[*@$'’][\w*@$]*)*|[.!?:;\"«»„“”,()\n]")
 _NUMBER = re.compile(r"[\d.,]+$")
+#: A single letter at the end or start of a run, and two of them with a sign between.
+_LAST, _FIRST = re.compile(r"(?:^|[\W_])[^\W\d_]$"), re.compile(r"[^\W\d_](?:$|[\W_])")
+_LAST_TWO, _FIRST_TWO = re.compile(r"[^\W\d_][ .\-_*][^\W\d_]$"), re.compile(r"[^\W\d_][ .\-_*][^\W\d_](?:$|[\W_])")
 
 
-def words(text: str) -> list[str]:
-    """Tokens for the network: names and numbers as classes, disguised spellings led back to letters."""
+def _folded(text: str) -> str:
+    """Names as one class, other scripts' lookalikes and accents led back to plain lower-case letters."""
     text = _NAME.sub(" xname ", text)
     text = unicodedata.normalize("NFKC", text).lower().translate(_LOOK)
-    text = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) not in ("Mn", "Cf"))
-    text = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), text)
+    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) not in ("Mn", "Cf"))
+
+
+def words(text: str) -> list[str]:
+    """Tokens for the network: names and numbers as classes, disguised spellings led back to letters."""
+    text = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), _folded(text))
     text = _LONG.sub(r"\1", text)
     out = []
     for w in _WORD.findall(text):
@@ -47,14 +57,24 @@ def windows(n: int, width: int, stride: int) -> list[tuple[int, int]]:
     return [(i, min(n, i + width)) for i in range(0, max(1, n - (width - stride)), stride)] if n else []
 
 
+def all_windows(size: np.ndarray, width: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first token, length, text) of the windows of texts with ``size`` tokens each that lie one behind the other."""
+    count = np.where(size > 0, -(-np.maximum(1, size - (width - stride)) // stride), 0)
+    owner = np.repeat(np.arange(len(size)), count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    first = np.repeat(np.cumsum(size) - size, count) + nth * stride
+    return first, np.minimum(width, size[owner] - nth * stride), owner
+
+
 class Words:
-    """Word and character-n-gram bucket ids of each distinct word, kept while a task runs."""
+    """Word and character-n-gram bucket ids of each distinct word, and the words of each distinct run of non-blanks, kept while a task runs."""
 
     def __init__(self, buckets: int):
         self.buckets = buckets
         self.at: dict[str, int] = {}
         self.word: list[int] = []
         self.grams: list[list[int]] = []
+        self.runs: dict[str, tuple[list[int], int]] = {"": ([], 0)}
 
     def ids(self, tokens: list[str]) -> list[int]:
         out = []
@@ -68,6 +88,51 @@ class Words:
             out.append(i)
         return out
 
+    def _run(self, text: str) -> tuple[list[int], int]:
+        """Ids of a run without blanks, and as bits how its ends could belong to letters that are spaced out over several runs."""
+        f = _folded(text)
+        ends, starts = _LAST.search(f), _FIRST.match(f)
+        bits = bool(ends) | bool(starts) << 1 | (len(f) == 1 and bool(ends)) << 2 | bool(_LAST_TWO.search(f)) << 3 | bool(_FIRST_TWO.match(f)) << 4
+        got = self.runs[text] = (self.ids(words(text)), bits)
+        return got
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one behind the other, number of ids of each text): what ``ids(words(text))`` gives for each; NULL has none.
+
+        Texts fall into runs at blanks and line ends, and each distinct run is looked at once. Only letters spaced out over
+        several runs are not to be seen in one; texts that may hold such go through ``words`` as a whole.
+        """
+        if len(self.runs) > 500_000:
+            self.runs = {"": ([], 0)}
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        known = [self.runs.get(r) or self._run(r) for r in coded.dictionary.to_pylist()]
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        length = np.fromiter((len(k[0]) for k in known), np.int64, len(known))
+        pool = np.fromiter(chain.from_iterable(k[0] for k in known), np.int32, int(length.sum()))
+        start = np.cumsum(length) - length
+        each = length[at]
+        before = np.cumsum(each) - each
+        flat = pool[np.repeat(start[at] - before, each) + np.arange(int(each.sum()))]
+        ends = np.r_[before, each.sum()][offsets]
+        bits = np.fromiter((k[1] for k in known), np.uint8, len(known))[at]
+        pad = np.r_[np.uint8(0), bits, np.uint8(0), np.uint8(0)]
+        last, here, nxt, after = pad[:-3], pad[1:-2], pad[2:-1], pad[3:]
+        meets = (here & 1 > 0) & (nxt & 2 > 0)
+        spaced = meets & ((here & 8 > 0) | (nxt & 16 > 0) | ((nxt & 4 > 0) & (after & 2 > 0)) | ((here & 4 > 0) & (last & 1 > 0)))
+        size = np.diff(ends)
+        whole = np.unique(np.searchsorted(offsets, np.flatnonzero(spaced), "right") - 1) if spaced.any() else []
+        if len(whole):
+            parts, done = [], 0
+            for i in whole:
+                own = self.ids(words(texts[int(i)].as_py()))
+                parts += [flat[ends[done] : ends[i]], np.array(own, np.int32)]
+                size[i], done = len(own), i + 1
+            flat = np.concatenate([*parts, flat[ends[done] :]])
+        return flat, size
+
 
 def _sig(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
@@ -174,9 +239,9 @@ class Network:
             g[f"w{d}"], g[f"a{d}"] = table.T @ per_word, per_word.sum(0)
             dtable += per_word @ self.p[f"w{d}"].T
         wid, grams, size = parts
-        g["word"], g["gram"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["gram"])
-        np.add.at(g["word"], wid, dtable[:, : self.dim])
-        np.add.at(g["gram"], grams, np.repeat(dtable[:, self.dim :] / np.sqrt(size)[:, None], size, axis=0))
+        added = lambda at, rows: np.stack([np.bincount(at, c, self.buckets) for c in rows.T], 1).astype(np.float32)
+        g["word"] = added(wid, dtable[:, : self.dim])
+        g["gram"] = added(grams, np.repeat(dtable[:, self.dim :] / np.sqrt(size)[:, None], size, axis=0))
         return g
 
     def dump(self) -> bytes:
@@ -228,15 +293,96 @@ def _batch(net: Network, vocab: Words, spans: list[list[int]]) -> tuple[np.ndarr
     return table, parts, inverse.reshape(idx.shape), mask
 
 
+class Scorer:
+    """Forward passes only, over windows of one length at a time, so that nothing is masked.
+
+    Each word is projected once for both directions, and the halves that turn ``tanh`` into the gates' sigmoid are part of the weights.
+    All arrays are whole blocks of windows x units, one for each gate, which keeps the elementwise work in the cache.
+    """
+
+    def __init__(self, net: Network, vocab: Words):
+        self.net, self.vocab, k = net, vocab, net.hidden
+        self.known = 0
+        self.rows = np.zeros((2, 3, 0, k), np.float32)
+        half = np.array([0.5, 0.5, 0.5], np.float32)[:, None, None]
+        gates = lambda a: a.reshape(-1, 3, k).transpose(1, 0, 2)
+        self.u = np.stack([np.ascontiguousarray(gates(net.p[f"u{d}"]) * half) for d in "fb"])
+        self.late = np.stack([net.p[f"c{d}"][2 * k :] * np.float32(0.5) for d in "fb"])[:, None, :]
+        self.wa = np.stack([net.p["wa"][:k], net.p["wa"][k:]])
+
+    def _project(self) -> None:
+        """Adds the words that are new to the vocabulary."""
+        n, k, p = len(self.vocab.word), self.net.hidden, self.net.p
+        if n == self.known:
+            return
+        if n > self.rows.shape[2]:
+            grown = np.zeros((2, 3, max(1024, 2 * n), k), np.float32)
+            grown[:, :, : self.known] = self.rows[:, :, : self.known]
+            self.rows = grown
+        table, _ = self.net.table(self.vocab, np.arange(self.known, n))
+        for j, d in enumerate("fb"):
+            full = table @ p[f"w{d}"] + p[f"a{d}"]
+            full[:, : 2 * k] = (full[:, : 2 * k] + p[f"c{d}"][: 2 * k]) * 0.5
+            self.rows[j, :, self.known : n] = full.reshape(-1, 3, k).transpose(1, 0, 2)
+        self.known = n
+
+    def _scores(self, idx: np.ndarray) -> np.ndarray:
+        """``idx``: steps x windows."""
+        t, b = idx.shape
+        k, p = self.net.hidden, self.net.p
+        h = np.zeros((2, b, k), np.float32)
+        hx, x, u = np.empty((2, 3, b, k), np.float32), np.empty((2, 3, b, k), np.float32), np.empty((2, b, k), np.float32)
+        zr, z, r, n, xzr, xn = hx[:, :2], hx[:, 0], hx[:, 1], hx[:, 2], x[:, :2], x[:, 2]
+        late = np.ascontiguousarray(np.broadcast_to(self.late, (2, b, k)))
+        one, half = np.float32(1), np.float32(0.5)
+        out = np.empty((2, t, b, k), np.float32)
+        for i in range(t):
+            np.take(self.rows[0], idx[i], axis=1, out=x[0], mode="clip")
+            np.take(self.rows[1], idx[t - 1 - i], axis=1, out=x[1], mode="clip")
+            np.matmul(h[:, None], self.u, out=hx)
+            zr += xzr
+            np.tanh(zr, out=zr)
+            zr += one
+            np.add(n, late, out=u)
+            u *= r
+            u += xn
+            np.tanh(u, out=u)
+            z *= half
+            h -= u
+            h *= z
+            h += u
+            out[0, i], out[1, t - 1 - i] = h[0], h[1]
+        flat = out.reshape(2, t * b, k)
+        a = flat[0] @ self.wa[0]
+        a += flat[1] @ self.wa[1]
+        a += p["ba"]
+        np.tanh(a, out=a)
+        e = (a @ p["va"]).reshape(t, b)
+        e = np.exp(e - e.max(0))
+        # What the pooled state gives is the pooled sum of what each state gives.
+        said = (flat[0] @ p["wo"][:k] + flat[1] @ p["wo"][k:]).reshape(t, b)
+        return _sig((e * said).sum(0) / e.sum(0) + p["bo"][0])
+
+    def windows(self, flat: np.ndarray, first: np.ndarray, length: np.ndarray, batch: int = 512) -> np.ndarray:
+        """Probability of each window of ``flat``, the ids of all texts."""
+        self._project()
+        out = np.empty(len(first), np.float32)
+        order = np.argsort(length, kind="stable")
+        edge = np.flatnonzero(np.diff(length[order])) + 1
+        for part in np.split(order, edge):
+            if len(part):
+                steps = np.arange(length[part[0]])[:, None]
+                for at in range(0, len(part), batch):
+                    own = part[at : at + batch]
+                    out[own] = self._scores(flat[first[own][None, :] + steps])
+        return out
+
+
 def score_windows(net: Network, vocab: Words, spans: list[list[int]], batch: int = 512) -> np.ndarray:
     """Probability of each window."""
-    out = np.empty(len(spans), np.float32)
-    order = sorted(range(len(spans)), key=lambda i: len(spans[i]))
-    for at in range(0, len(order), batch):
-        part = order[at : at + batch]
-        table, _, idx, mask = _batch(net, vocab, [spans[i] for i in part])
-        out[part] = _sig(net.forward(table, idx, mask)[0])
-    return out
+    size = np.fromiter(map(len, spans), np.int64, len(spans))
+    flat = np.fromiter(chain.from_iterable(spans), np.int64, int(size.sum()))
+    return Scorer(net, vocab).windows(flat, np.cumsum(size) - size, size, batch)
 
 
 def train(texts: list[str], target: np.ndarray, width: int = 40, stride: int = 20, epochs: int = 8, seed: int = 7, batch: int = 256, rate: float = 0.004, positive_weight: float = 2.0, least_steps: int = 600, word_dropout: float = 0.1, decay: float = 1e-4) -> Network:
@@ -251,15 +397,11 @@ def train(texts: list[str], target: np.ndarray, width: int = 40, stride: int = 2
     rng = np.random.default_rng(seed)
     net = Network(seed=seed)
     vocab = Words(net.buckets)
-    spans, owner = [], []
-    for i, t in enumerate(texts):
-        ids = vocab.ids(words(t))
-        for a, b in windows(len(ids), width, stride):
-            spans.append(ids[a:b])
-            owner.append(i)
-    owner = np.array(owner, dtype=np.int64)
+    flat, size = vocab.encode(pa.array(texts, pa.large_string()))
+    first, length, owner = all_windows(size, width, stride)
     if not len(owner):
         return net
+    spans = [flat[a : a + n].tolist() for a, n in zip(first, length)]
     target = target.astype(np.float32)
     count = np.bincount(owner, minlength=len(texts))
     batch = int(np.clip(3 * len(texts) // 60, 16, batch))
@@ -269,7 +411,7 @@ def train(texts: list[str], target: np.ndarray, width: int = 40, stride: int = 2
     for epoch in range(epochs):
         wanted = target.copy()
         if epoch >= 2:
-            score = score_windows(net, vocab, spans)
+            score = Scorer(net, vocab).windows(flat, first, length)
             order = np.lexsort((score, owner))
             last = np.flatnonzero(np.r_[np.diff(owner[order]) > 0, True])
             top[owner[order][last]] = order[last]
@@ -291,11 +433,45 @@ def train(texts: list[str], target: np.ndarray, width: int = 40, stride: int = 2
         adam.rate = rate * (1 - 0.8 * epoch / max(1, epochs - 1))
         for at in range(0, len(chosen), batch):
             part = chosen[at : at + batch]
-            table, parts, idx, mask = _batch(net, vocab, [spans[i] for i in part])
-            keep = (rng.random(len(table)) > word_dropout).astype(np.float32)  # a word is now and then known by its characters alone
-            table[:, : net.dim] *= keep[:, None]
-            logit, state = net.forward(table, idx, mask, keep=True)
-            d = (_sig(logit) - wanted[owner[part]]) * weight[at : at + batch] / len(part)
-            g = net.backward(table, parts, state, d.astype(np.float32))
-            adam.step(g, decay)
+            _step(net, adam, vocab, [spans[i] for i in part], wanted[owner[part]], weight[at : at + batch], rng, word_dropout, decay)
+    return net
+
+
+def _step(net: Network, adam: Adam, vocab: Words, spans: list[list[int]], wanted: np.ndarray, weight: np.ndarray, rng: np.random.Generator, word_dropout: float, decay: float) -> None:
+    table, parts, idx, mask = _batch(net, vocab, spans)
+    keep = (rng.random(len(table)) > word_dropout).astype(np.float32)  # a word is now and then known by its characters alone
+    table[:, : net.dim] *= keep[:, None]
+    logit, state = net.forward(table, idx, mask, keep=True)
+    d = (_sig(logit) - wanted) * weight / len(spans)
+    adam.step(net.backward(table, parts, state, d.astype(np.float32)), decay)
+
+
+def distil(texts: list[str], teachers: list[Network], width: int = 40, stride: int = 20, epochs: int = 4, seed: int = 17, batch: int = 256, rate: float = 0.004, least_steps: int = 600, word_dropout: float = 0.1, decay: float = 1e-5) -> Network:
+    """One network that gives what the teachers give on average, window by window, at the cost of one.
+
+    It starts from the first teacher. Each epoch takes the windows on which the teachers say 0.02 or more, or on which they and
+    it were apart by 0.02 or more, and as many others, one for each text at least, drawn anew.
+    """
+    rng = np.random.default_rng(seed)
+    net = Network.load(teachers[0].dump())
+    vocab = Words(net.buckets)
+    flat, size = vocab.encode(pa.array(texts, pa.large_string()))
+    first, length, owner = all_windows(size, width, stride)
+    if not len(owner):
+        return net
+    wanted = np.mean([Scorer(t, vocab).windows(flat, first, length) for t in teachers], axis=0)
+    spans = [flat[a : a + n].tolist() for a, n in zip(first, length)]
+    batch = int(np.clip(3 * len(texts) // 60, 16, batch))
+    epochs = max(epochs, min(40, least_steps * batch // (3 * len(texts))))
+    adam = Adam(net, rate)
+    for epoch in range(epochs):
+        apart = np.abs(Scorer(net, vocab).windows(flat, first, length) - wanted) >= 0.02
+        told = np.flatnonzero((wanted >= 0.02) | apart)
+        rest = np.setdiff1d(np.arange(len(owner)), told)
+        chosen = np.concatenate([told, rng.choice(rest, min(len(rest), max(len(told), len(texts))), replace=False)])
+        rng.shuffle(chosen)
+        adam.rate = rate * (1 - 0.9 * epoch / max(1, epochs - 1))
+        for at in range(0, len(chosen), batch):
+            part = chosen[at : at + batch]
+            _step(net, adam, vocab, [spans[i] for i in part], wanted[part], np.ones(len(part), np.float32), rng, word_dropout, decay)
     return net

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from lumenset.llm.capping import cap_contributors, capped_images, ranked_records, water_level
 from lumenset.llm.content import rates_by_source, score_texts, train_scorer
-from lumenset.llm.gru import Network, Words, train, windows, words
+from lumenset.llm.gru import Network, Scorer, Words, all_windows, distil, score_windows, train, windows, words
 from lumenset.llm.mixing import flight, mix_sources
 from lumenset.llm.packing import container_fill, cut_documents, pack, pack_documents
 from lumenset.llm.stratified import draw_sample
@@ -168,6 +168,70 @@ def test_words_lead_disguises_back():
     assert words("") == [] and words("​") == []
 
 
+def test_encode_is_words_of_whole_texts():
+    import pyarrow as pa
+
+    texts = [None, "", " ", "plain words, twice plain", "i m b é c i l", "a b c", "x.y z", "il y a d'autres", "l'y a b", "s_t u", "Ｉ Ｄ Ｉ Ｏ Ｔ", "a  b c", "a\nb c d", "(a b c)", "b-a r", "´ a b c", "PebbleDiff 26\n\nnak3d", "a*b*c d", "😀 x y z"]
+    r = random.Random(3)
+    texts += ["".join(r.choice("ab .-_*1A\n'é") for _ in range(30)) for _ in range(3000)]
+    vocab = Words(64)
+    flat, size = vocab.encode(pa.array(texts))
+    at = 0
+    for t, n in zip(texts, size):
+        assert vocab.ids(words(t)) == flat[at : at + n].tolist() if t else n == 0, t
+        at += n
+    assert at == len(flat)
+    sliced, some = vocab.encode(pa.array(texts).slice(4, 100))
+    assert some.tolist() == size[4:104].tolist() and sliced.tolist() == flat[size[:4].sum() : size[:104].sum()].tolist()
+    none = vocab.encode(pa.array([], pa.string()))
+    assert len(none[0]) == len(none[1]) == 0
+
+
+def test_scorer_gives_what_forward_gives():
+    from lumenset.llm import gru
+
+    net, vocab = Network(buckets=64, dim=3, hidden=4, seed=2), Words(64)
+    r = random.Random(1)
+    spans = [vocab.ids([r.choice("abcdefghijk") * r.randrange(1, 4) for _ in range(r.randrange(1, 41))]) for _ in range(300)]
+    table, _, idx, mask = gru._batch(net, vocab, spans)
+    assert np.abs(gru._sig(net.forward(table, idx, mask)[0]) - score_windows(net, vocab, spans, 16)).max() < 1e-5
+    scorer = Scorer(net, vocab)
+    for n in (3, 200):  # words that come later are added
+        more = vocab.ids([f"new{i}" for i in range(n)])
+        p = scorer.windows(np.array(more), np.array([0]), np.array([n]))
+        table, _, idx, mask = gru._batch(net, vocab, [more])
+        assert abs(gru._sig(net.forward(table, idx, mask)[0])[0] - p[0]) < 1e-5
+    size = np.array([0, 1, 39, 40, 41, 0, 100])
+    first, length, owner = all_windows(size, 40, 20)
+    want = [(int(size[:i].sum()) + a, b - a, i) for i, n in enumerate(size) for a, b in windows(int(n), 40, 20)]
+    assert list(zip(first.tolist(), length.tolist(), owner.tolist())) == want
+
+
+def test_distilled_network_agrees_with_its_teachers():
+    docs = corpus(300, 1)
+    y = np.array([float(b) for _, _, b in docs])
+    teachers = [train([t for _, t, _ in docs], y, epochs=4, seed=s) for s in (1, 2)]
+    one = distil([t for _, t, _ in corpus(400, 5)], teachers)
+    fresh = [t for _, t, _ in corpus(200, 9)]
+    vocab = Words(one.buckets)
+    spans = [vocab.ids(words(t))[:40] for t in fresh]
+    mean = np.mean([score_windows(n, vocab, spans) for n in teachers], axis=0)
+    assert ((score_windows(one, vocab, spans) >= 0.5) == (mean >= 0.5)).mean() > 0.97
+
+
+def test_other_texts_than_those_learnt_from():
+    """Held out are sentences whose frames and most words do not occur in the texts learnt from; only the insults do, in other order and beside other words."""
+    docs = corpus(900, 1)
+    net = train([t for _, t, _ in docs], np.array([float(b) for _, _, b in docs]), epochs=6)
+    calm = ["rows from the morning batch arrived late again", "nobody changed the export since friday", "the term clown occurs in the glossary", "histograms of both cameras overlap", "thanks for the quick fix yesterday"]
+    rude = ["honestly you are such a useless clown", "oh shut up you idiot", "you useless idiot should leave", "shut up clown nobody asked you"]
+    r = random.Random(3)
+    texts = [(" . ".join(r.sample(calm, 3)), False) for _ in range(60)] + [(" . ".join([*r.sample(calm, 2), r.choice(rude)]), True) for _ in range(60)]
+    vocab = Words(net.buckets)
+    said = np.array([score_windows(net, vocab, [vocab.ids(words(t))[a:b] for a, b in windows(len(words(t)), 40, 20)]).max() >= 0.5 for t, _ in texts])
+    assert (said == np.array([b for _, b in texts])).mean() >= 0.8
+
+
 def test_windows_cover_everything():
     for n in (0, 1, 19, 20, 39, 40, 41, 1000):
         spans = windows(n, 40, 20)
@@ -222,8 +286,6 @@ def test_network_learns_from_noisy_labels():
     y = np.array([float(b != (r.random() < 0.05)) for _, _, b in docs])
     net = train([t for _, t, _ in docs], y, epochs=6)
     fresh = corpus(200, 9)
-    from lumenset.llm.gru import score_windows
-
     vocab, score = Words(net.buckets), []
     for _, t, _ in fresh:
         ids = vocab.ids(words(t))
