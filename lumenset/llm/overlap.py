@@ -7,10 +7,9 @@ are matched by ball hashing instead; the alignment is then that of equal bit pos
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,105 +19,185 @@ from lumenset.llm.ballhash import RADIUS, image_pairs
 from lumenset.scratch import Scratch
 
 
-def _codes(texts: list[str]) -> np.ndarray:
-    """Code points of texts of one length, a row each."""
-    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), -1)
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def winnow(codes: np.ndarray, k: int, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, positions) for each row: of each ``window`` consecutive rolling hashes of k characters the smallest, the last one if equal; each once.
+def winnow(codes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions): of each ``window`` consecutive rolling hashes of k characters the smallest, each place once.
 
-    Every common substring of ``window + k - 1`` characters shares a selected hash. A hash that a row repeats is kept
-    at its first and last place only, so a monotonous text does not meet another one at every pair of places. Rows
-    shorter than k have one seed, the hash of all they hold.
+    Every common substring of ``window + k - 1`` characters shares a selected hash. Of equal hashes the one that the window
+    before selected stays, else the last is taken, so a monotonous text has one seed a window and not one a place. A text
+    shorter than k has one seed, the hash of all it holds.
     """
-    n = codes.shape[1]
-    k = min(k, n)
-    grams = np.zeros((len(codes), n - k + 1), np.uint64)
+    k = min(k, len(codes))
+    grams = np.zeros(len(codes) - k + 1, np.uint64)
     for i in range(k):
-        grams = grams * np.uint64(0x9E3779B97F4A7C15) + codes[:, i : i + n - k + 1] + np.uint64(1)
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(grams)] + np.uint64(1)
     grams ^= grams >> np.uint64(29)
     grams *= np.uint64(0xBF58476D1CE4E5B9)
     grams ^= grams >> np.uint64(32)
-    w = min(window, grams.shape[1])
-    spans = np.lib.stride_tricks.sliding_window_view(grams, w, axis=1)
-    out = []
-    for row, view in zip(grams, spans):
-        at = np.unique(np.arange(len(view)) + w - 1 - view[:, ::-1].argmin(1))
-        h = row[at]
-        at = np.unique(np.concatenate([at[np.unique(h, return_index=True)[1]], at[len(h) - 1 - np.unique(h[::-1], return_index=True)[1]]]))
-        out.append((row[at], at))
-    return out
+    w = min(window, len(grams))
+    spans = np.lib.stride_tricks.sliding_window_view(grams, w)
+    best = np.arange(len(spans)) + w - 1 - spans[:, ::-1].argmin(1)
+    at = best[np.flatnonzero(np.r_[True, best[1:] != best[:-1]])]
+    if len(at) > 1 and (grams[at[1:]] == grams[at[:-1]]).any():
+        kept, now = [], -1
+        for i, p in enumerate(best.tolist()):
+            if now < i or grams[now] != grams[p]:
+                now = p
+                kept.append(p)
+        at = np.array(kept)
+    return grams[at], at
 
 
 def text_seeds(texts: DataFrame, k: int, window: int) -> DataFrame:
-    """(``text``, ``side``, ``hash``, ``pos``) of (``text``, ``side``); texts of one length are hashed together."""
+    """(``id``, ``side``, ``text``, ``hashes``, ``places``) of (``id``, ``side``, ``text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held, sides = b.column("text").to_pylist(), b.column("side").to_pylist()
-            order = sorted(range(len(held)), key=lambda i: len(held[i]))
-            at = 0
-            while at < len(order):
-                n = len(held[order[at]])
-                end = at
-                while end < len(order) and len(held[order[end]]) == n and (end - at) * n < 1 << 20:
-                    end += 1
-                part = order[at : max(end, at + 1)]
-                at += len(part)
-                seeds = winnow(_codes([held[i] for i in part]), k, window)
-                size = [len(h) for h, _ in seeds]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array([held[i] for i in part], object), size)), pa.array(np.repeat([sides[i] for i in part], size), pa.int32()), pa.array(np.concatenate([h for h, _ in seeds]).view(np.int64)), pa.array(np.concatenate([p for _, p in seeds]).astype(np.int32))],
-                    names=["text", "side", "hash", "pos"],
-                )
-
-    return texts.select("text", F.col("side").cast("int").alias("side")).mapInArrow(run, "text string, side int, hash long, pos int")
-
-
-def coverage(a: Column, b: Column, shift: Column) -> Column:
-    """Part of the longer text that agrees when ``b`` is laid ``shift`` characters behind ``a``."""
-
-    @F.pandas_udf("double")
-    def agree(a: pd.Series, b: pd.Series, shift: pd.Series) -> pd.Series:
-        out = []
-        for x, y, s in zip(a, b, shift):
-            u, v = _codes([x])[0], _codes([y])[0]
-            start, end = max(0, s), min(len(u), len(v) + s)
-            out.append(float((u[start:end] == v[start - s : end - s]).sum()) / max(len(u), len(v)) if end > start else 0.0)
-        return pd.Series(out, dtype=float)
-
-    return agree(a, b, shift)
-
-
-def text_overlaps(texts: DataFrame, min_coverage: float = 1.0, k: int = 16, window: int = 17, max_gap: int = 64) -> DataFrame:
-    """(``text_a``, ``text_b``, ``coverage``): texts of side 1 and side 2 that share seeds, with the part of the longer one that agrees.
-
-    ``texts``: ``text``, ``side`` (1, 2, or 3 for both); equal texts count once, so copies never multiply.
-    Seeds are joined on their hash. Those of one pair on one diagonal (equal offset) at most
-    ``max_gap`` apart are a collinear chain; the chain with most seeds sets the alignment, which
-    extends over all positions that both texts have, and coverage counts the characters
-    that agree there against the longer length. With the default ``k`` and ``window``, two equal texts
-    of 32 characters have one seed each. NULL and empty texts match nothing.
+            seeds = [winnow(_codes(t), k, window) for t in b.column("text").to_pylist()]
+            hashes = pa.array([h.view(np.int64) for h, _ in seeds], pa.list_(pa.int64()))
+            places = pa.array([p.astype(np.int32) for _, p in seeds], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, hashes, places], names=[*b.schema.names, "hashes", "places"])
+
+    return texts.select("id", F.col("side").cast("int").alias("side"), "text").mapInArrow(run, "id long, side int, text string, hashes array<long>, places array<int>")
+
+
+def _rows(a: Sequence, b: Sequence, keep: bool) -> tuple[int, list[int]]:
+    """Bit-parallel longest common subsequence: bit i of a row is 0 where a[: i + 1] gains one on a[:i]. The last row, or all if they are kept."""
+    where: dict = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v, rows = full, []
+    for y in b:
+        u = v & where.get(y, 0)
+        if u:
+            v = ((v + u) | (v - u)) & full
+        if keep:
+            rows.append(v)
+    return v, rows
+
+
+def common_length(a: Sequence, b: Sequence) -> int:
+    """Length of the longest common subsequence."""
+    return len(a) - _rows(a, b, False)[0].bit_count()
+
+
+def common_chain(a: Sequence, b: Sequence, most_bits: int = 1 << 28) -> list[tuple[int, int]]:
+    """Places (i, j) of a longest common subsequence, in order. Beyond ``most_bits`` of rows the second sequence is halved first, so memory is bounded."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
+        tail += 1
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    if len(x) * len(y) > most_bits and len(y) > 1:
+        half = len(y) // 2
+        gains = lambda v: np.concatenate([[0], np.cumsum([c == "0" for c in reversed(f"{v:0{len(x)}b}")])])
+        front, back = gains(_rows(x, y[:half], False)[0]), gains(_rows(x[::-1], y[half:][::-1], False)[0])
+        cut = int(np.argmax(front + back[::-1]))
+        mid = common_chain(x[:cut], y[:half], most_bits) + [(i + cut, j + half) for i, j in common_chain(x[cut:], y[half:], most_bits)]
+    else:
+        rows = _rows(x, y, True)[1]
+        mid, i, j = [], len(x), len(y)
+        while i and j:
+            if rows[j - 1] >> (i - 1) & 1:
+                i -= 1
+            else:
+                j -= 1
+                if not (j and not rows[j - 1] >> (i - 1) & 1):
+                    i -= 1
+                    mid.append((i, j))
+        mid.reverse()
+    ends = [(len(a) - tail + t, len(b) - tail + t) for t in range(tail)]
+    return [(t, t) for t in range(head)] + [(i + head, j + head) for i, j in mid] + ends
+
+
+def aligned_coverage(a: str, b: str, seeds_a: tuple[np.ndarray, np.ndarray], seeds_b: tuple[np.ndarray, np.ndarray], k: int, least: float = 0.0) -> float:
+    """Part of the longer text that agrees in an alignment along the longest collinear chain of common seeds.
+
+    Seeds of the chain anchor the alignment, on as many diagonals as there are insertions and removals; between anchors and at
+    both ends it is extended by the longest common subsequence of what lies there. That may miss agreement in texts that repeat
+    themselves; so where it stays below ``least``, the subsequence of the whole texts decides.
+    """
+    if a == b:
+        return 1.0
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
+        return min(len(a), len(b)) / max(len(a), len(b))  # an upper bound
+    chain = common_chain(seeds_a[0].tolist(), seeds_b[0].tolist())
+    agree, ea, eb = 0, 0, 0
+    for i, j in chain:
+        pa_, pb = int(seeds_a[1][i]), int(seeds_b[1][j])
+        on = min(k, len(a) - pa_, len(b) - pb)
+        if pa_ - ea == pb - eb and pa_ < ea:  # overlaps the anchor before it on the same diagonal
+            step = pa_ + on - ea
+            agree, ea, eb = agree + max(0, step), max(ea, pa_ + on), max(eb, pb + on)
+        elif pa_ >= ea and pb >= eb and a[pa_ : pa_ + on] == b[pb : pb + on]:
+            agree += common_length(a[ea:pa_], b[eb:pb]) + on
+            ea, eb = pa_ + on, pb + on
+    agree += common_length(a[ea:], b[eb:])
+    if agree < least * max(len(a), len(b)) - 1e-9:
+        agree = common_length(a, b)
+    return agree / max(len(a), len(b))
+
+
+def text_overlaps(texts: DataFrame, min_coverage: float = 1.0, k: int = 16, window: int = 17, min_shared: float | None = None, pairs_per_slot: int = 20_000) -> DataFrame:
+    """(``text_a``, ``text_b``, ``coverage``): texts of side 1 and side 2 of which ``min_coverage`` or more of the longer one agrees.
+
+    ``texts``: ``text``, ``side`` (1, 2, or 3 for both); equal texts count once, so copies never multiply. NULL and empty texts match nothing.
+    Both texts must share ``min_shared`` of the different seeds of that which has more (all for a coverage of 1, else three in ten by default), and each
+    pair that does is looked at: two such texts share one of the rarest ``1 - min_shared`` of the seeds of each, so only these are joined,
+    which keeps phrases that many texts have out of the join without losing a pair. A seed that is still frequent is dealt
+    into slots of ``pairs_per_slot`` texts. ``aligned_coverage`` gives the coverage.
     """
     spark = texts.sparkSession
     scratch = Scratch(spark, "overlaps")
-    once = texts.where("text is not null and text <> ''").groupBy("text").agg(F.bit_or("side").alias("side"))
-    seeds = scratch.write(text_seeds(once, k, window), "seeds")
-    a = seeds.where("side & 1 > 0").select("hash", F.col("text").alias("text_a"), F.col("pos").alias("pos_a"))
-    b = seeds.where("side & 2 > 0").select("hash", F.col("text").alias("text_b"), F.col("pos").alias("pos_b"))
-    hits = a.join(b, "hash").select("text_a", "text_b", (F.col("pos_a") - F.col("pos_b")).alias("shift"), F.col("pos_a").alias("at"))
-    chains = hits.groupBy("text_a", "text_b", "shift").agg(F.array_sort(F.collect_set("at")).alias("ats"))
-    # The longest stretch of a diagonal without a gap beyond max_gap.
-    zero = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(None).cast("int").alias("last"))
-
-    def grow(acc: Column, x: Column) -> Column:
-        run = F.when(acc["last"].isNotNull() & (x - acc["last"] <= max_gap), acc["run"] + 1).otherwise(F.lit(1))
-        return F.struct(run.alias("run"), F.greatest(acc["best"], run).alias("best"), x.alias("last"))
-
-    scored = chains.select("text_a", "text_b", "shift", F.aggregate("ats", zero, grow, lambda acc: acc["best"]).alias("seeds"))
-    best = scored.groupBy("text_a", "text_b").agg(F.min(F.struct((-F.col("seeds")).alias("n"), F.abs("shift").alias("d"), "shift")).alias("m"))
-    return best.select("text_a", "text_b", coverage(F.col("text_a"), F.col("text_b"), F.col("m.shift")).alias("coverage")).where(F.col("coverage") >= min_coverage)
+    share = min_shared if min_shared is not None else 1.0 if min_coverage >= 1 else 0.3
+    once = texts.where("text is not null and text <> ''").groupBy("text").agg(F.bit_or("side").cast("int").alias("side"))
+    once = scratch.write(once.withColumn("id", F.monotonically_increasing_id()), "texts")
+    seeds = scratch.write(text_seeds(once, k, window).withColumn("different", F.array_distinct("hashes")), "seeds")
+    each = seeds.select("id", "side", F.explode("different").alias("hash"))
+    common = each.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.bit_or("side").alias("both")).where("both = 3")
+    # Seeds of one side alone are the rarest that a pair can't share; they count towards the length of the prefix and join nothing.
+    held = each.join(common, "hash").groupBy("id", "side").agg(F.array_sort(F.collect_list(F.struct("texts", "hash"))).alias("known"))
+    n = F.size("different")
+    prefix = n - F.ceil(n * share - 1e-9).cast("int") + 1 - (n - F.size("known"))
+    rare = held.join(seeds.select("id", "different"), "id").where(prefix > 0).select("id", "side", F.explode(F.slice("known", F.lit(1), prefix)).alias("s")).select("id", "side", "s.*")
+    slots = F.ceil(F.col("texts") / pairs_per_slot).cast("int")
+    a = rare.where("side & 1 > 0").select("hash", F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"))
+    b = rare.where("side & 2 > 0").select("hash", F.col("id").alias("b"), F.pmod(F.xxhash64("id"), slots).cast("int").alias("slot"))
+    pairs = scratch.write(a.join(b, ["hash", "slot"]).select("a", "b").distinct(), "pairs")
+    side = lambda x: seeds.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("text", "hashes", "places", "different")])
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    enough = F.size(F.array_intersect("different_a", "different_b")) >= F.greatest(F.size("different_a"), F.size("different_b")) * share - 1e-9
+    met = met.where(enough).select("text_a", "text_b", "hashes_a", "places_a", "hashes_b", "places_b")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {n: batch.column(n) for n in batch.schema.names}
+            seed = lambda x, i: (c[f"hashes_{x}"][i].values.to_numpy(), c[f"places_{x}"][i].values.to_numpy())
+            out = [aligned_coverage(c["text_a"][i].as_py(), c["text_b"][i].as_py(), seed("a", i), seed("b", i), k, min_coverage) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([c["text_a"], c["text_b"], pa.array(out, pa.float64())], names=["text_a", "text_b", "coverage"])
+
+    return met.mapInArrow(align, "text_a string, text_b string, coverage double").where(F.col("coverage") >= min_coverage - 1e-9)
+
+
+def document_overlaps(docs: DataFrame, evaluation: Column, min_coverage: float = 0.8, k: int = 16, window: int = 17) -> DataFrame:
+    """(``evaluation_id``, ``train_id``, ``coverage``, ``evaluation_copies``, ``train_copies``): texts of ``evaluation`` rows that other rows hold too, wholly or by ``min_coverage``.
+
+    A pair stands for all rows with its two texts: it has the smallest ``doc_id`` on each side and the number of rows there. A NULL condition counts as
+    false; rows without an id or text are left out. No rows give no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "document-overlaps")
+    rows = docs.where("doc_id is not null and trim(text) <> ''").select("doc_id", "text", F.when(F.coalesce(evaluation, F.lit(False)), 2).otherwise(1).alias("side"))
+    kinds = scratch.write(rows.groupBy("text", "side").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "kinds")
+    met = scratch.write(text_overlaps(kinds.select("text", "side"), min_coverage, k, window), "met")
+    side = lambda s, text, name: kinds.where(F.col("side") == s).select(F.col("text").alias(text), F.col("least").alias(f"{name}_id"), F.col("n").alias(f"{name}_copies"))
+    both = met.join(side(1, "text_a", "train"), "text_a").join(side(2, "text_b", "evaluation"), "text_b")
+    return both.select("evaluation_id", "train_id", F.round("coverage", 6).alias("coverage"), "evaluation_copies", "train_copies")
 
 
 def sided_images(rows: DataFrame) -> DataFrame:
