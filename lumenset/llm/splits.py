@@ -67,50 +67,121 @@ def _level_out(need: np.ndarray, v: float, n: int) -> np.ndarray:
     return given
 
 
+class Ledger:
+    """What each split has been given so far of each label and in all, against its share of the total."""
+
+    def __init__(self, totals: dict[str, int], ratios: list[float]):
+        self.totals, self.ratios = totals, np.asarray(ratios, float)
+        self.every = sum(totals.values())
+        self.given = {k: np.zeros(len(ratios), np.int64) for k in totals}
+        self.all = np.zeros(len(ratios), np.int64)
+
+    def place(self, vector: dict[str, int], n: int, label: str) -> np.ndarray:
+        """How many of ``n`` groups with this label vector go to each split: each to the one that needs ``label`` most."""
+        need = self.ratios * self.totals[label] - self.given[label]
+        # The need of all records breaks ties between splits that need the label alike.
+        got = _level_out(need + 1e-9 * (self.ratios * self.every - self.all), vector[label], n)
+        self.add(vector, got)
+        return got
+
+    def add(self, vector: dict[str, int], got: np.ndarray) -> None:
+        for k, c in vector.items():
+            self.given[k] += got * c
+        self.all += got * sum(vector.values())
+
+
+def _vector(kind: tuple[str, ...]) -> dict[str, int]:
+    return {k: int(c) for k, _, c in (x.rpartition("=") for x in kind)}
+
+
+def _in_turn(kind: tuple[str, ...], label: str) -> tuple:
+    """Order of the kinds that hold a label: those with most of it first, then the larger ones."""
+    v = _vector(kind)
+    return -v[label], -sum(v.values()), kind
+
+
+def allot(kinds: list[tuple[tuple[str, ...], int]], splits: list[str], ledger: Ledger, label: str) -> list[tuple]:
+    """(kind, split, first, last) for kinds that all hold ``label``, placed one after the other in ``_in_turn`` order."""
+    out = []
+    for kind, n in sorted(kinds, key=lambda x: _in_turn(x[0], label)):
+        at = 0
+        for s, g in zip(splits, ledger.place(_vector(kind), n, label)):
+            if g:
+                out.append((list(kind), s, at + 1, at + int(g)))
+                at += int(g)
+    return out
+
+
+def rarest(left: dict[str, int]) -> str | None:
+    """The label with the fewest outstanding records, the smaller name if equal."""
+    some = [(c, k) for k, c in left.items() if c > 0]
+    return min(some)[1] if some else None
+
+
 def stratify(kinds: pd.DataFrame, splits: list[str], ratios: list[float]) -> pd.DataFrame:
     """Allots kinds of groups to splits. ``kinds``: ``kind`` (label=count items), ``n`` groups of it.
 
     The label with the fewest outstanding records comes first; of the kinds that hold it,
     those with most of it come first; each group goes to the split that needs the label most.
     """
-    parsed = [dict((k, int(c)) for k, _, c in (x.rpartition("=") for x in kind)) for kind in kinds["kind"]]
-    labels = sorted({k for p in parsed for k in p})
-    at = {k: i for i, k in enumerate(labels)}
-    mat = np.zeros((len(parsed), len(labels)))
-    for i, p in enumerate(parsed):
-        for k, c in p.items():
-            mat[i, at[k]] = c
-    n = kinds["n"].to_numpy()
-    need = np.outer(ratios, mat.T @ n)
-    room = np.asarray(ratios) * float((mat.sum(1) * n).sum())
-    todo = np.ones(len(parsed), dtype=bool)
-    out = []
-    while todo.any():
-        left = (mat[todo] * n[todo, None]).sum(0)
-        if not (left > 0).any():
-            break
-        label = int(np.argmin(np.where(left > 0, left, np.inf)))
-        here = np.flatnonzero(todo & (mat[:, label] > 0))
-        for i in sorted(here, key=lambda i: (-mat[i, label], -mat[i].sum(), tuple(kinds["kind"].iloc[i]))):
-            # The need of all records breaks ties between splits that need the label alike.
-            given = _level_out(need[:, label] + 1e-9 * room, mat[i, label], int(n[i]))
-            need -= np.outer(given, mat[i])
-            room -= given * mat[i].sum()
-            todo[i] = False
-            at_rank = 0
-            for s, g in enumerate(given):
-                if g:
-                    out.append((kinds["kind"].iloc[i], splits[s], at_rank + 1, at_rank + int(g)))
-                    at_rank += int(g)
+    todo = {tuple(k): int(n) for k, n in zip(kinds["kind"], kinds["n"])}
+    left: dict[str, int] = {}
+    for kind, n in todo.items():
+        for k, c in _vector(kind).items():
+            left[k] = left.get(k, 0) + c * n
+    ledger, out = Ledger(dict(left), ratios), []
+    while (label := rarest(left)) is not None:
+        here = [(k, n) for k, n in todo.items() if label in _vector(k)]
+        out += allot(here, splits, ledger, label)
+        for kind, n in here:
+            del todo[kind]
+            for k, c in _vector(kind).items():
+                left[k] -= c * n
     return pd.DataFrame(out, columns=["kind", "new_split", "first", "last"])
 
 
+def _stratify_in_turns(kinds: DataFrame, splits: list[str], ratios: list[float], per_task: int, scratch: Scratch) -> DataFrame:
+    """``stratify`` for more kinds than one task should hold, with the same result: tasks follow one another and hand on what each split has been given.
+
+    A round for each label; within it, tasks of ``per_task`` kinds in order. What reaches the driver has a row for each label, or for each label and split.
+    """
+    parsed = kinds.withColumn("vector", F.map_from_entries(F.transform("kind", lambda x: F.struct(F.regexp_extract(x, "(?s)^(.*)=", 1).alias("k"), F.regexp_extract(x, "([0-9]+)$", 1).cast("long").alias("c")))))
+    todo = scratch.write(parsed.withColumn("turn", F.lit(None).cast("string")), "todo")
+    outstanding = lambda t: {r["k"]: r["n"] for r in t.select(F.explode("vector").alias("k", "c"), "n").groupBy("k").agg(F.sum(F.col("c") * F.col("n")).alias("n")).collect()}
+    left = outstanding(todo)
+    ledger, made, step = Ledger(dict(left), ratios), None, 0
+    schema = "kind array<string>, new_split string, first long, last long"
+    while (label := rarest(left)) is not None:
+        here = todo.where(F.map_contains_key("vector", F.lit(label))).select("kind", "n", (-F.element_at("vector", F.lit(label))).alias("k1"), (-F.aggregate(F.map_values("vector"), F.lit(0).cast("long"), lambda a, x: a + x)).alias("k2"))
+        ranked = scratch.write(grouped_rank(here, [], [F.col("k1"), F.col("k2"), F.col("kind")], "nth"), f"ranked{step}")
+        for at in range(0, ranked.count(), per_task):
+            part = ranked.where(F.col("nth").between(at + 1, at + per_task)).coalesce(1)
+
+            def run(frames, state=(dict(ledger.given), ledger.all.copy())):
+                now = Ledger(ledger_totals, ratios)
+                now.given, now.all = {k: v.copy() for k, v in state[0].items()}, state[1].copy()
+                got = [(tuple(k), int(n)) for f in frames for k, n in zip(f["kind"], f["n"])]
+                yield pd.DataFrame(allot(got, splits, now, label), columns=["kind", "new_split", "first", "last"])
+
+            ledger_totals = ledger.totals
+            done = scratch.write(part.select("kind", "n").mapInPandas(run, schema), f"done{step}_{at}")
+            each = done.select("new_split", F.explode("kind").alias("x"), (F.col("last") - F.col("first") + 1).alias("n"))
+            sums = each.groupBy("new_split", F.regexp_extract("x", "(?s)^(.*)=", 1).alias("k")).agg(F.sum(F.col("n") * F.regexp_extract("x", "([0-9]+)$", 1).cast("long")).alias("n"))
+            for r in sums.collect():
+                ledger.given[r["k"]][splits.index(r["new_split"])] += r["n"]
+                ledger.all[splits.index(r["new_split"])] += r["n"]
+            made = done if made is None else made.unionByName(done)
+        todo = scratch.write(todo.where(~F.map_contains_key("vector", F.lit(label))), f"todo{step}")
+        left, step = outstanding(todo), step + 1
+    return made if made is not None else scratch.spark.createDataFrame([], schema)
+
+
 def stratified_splits(rows: DataFrame, targets: DataFrame, kinds_per_task: int = 50_000) -> DataFrame:
     """(``path``, ``group_path``, ``split``): one split for every distinct path, the same within a group.
 
     Groups with equal label vectors are interchangeable, so the allotment works on kinds of
-    groups (a label vector and how many groups have it), not on groups; more than
-    ``kinds_per_task`` kinds are dealt in that many to a task, each balanced for itself.
+    groups (a label vector and how many groups have it), not on groups. More than
+    ``kinds_per_task`` kinds are placed by tasks that follow one another and hand on the remaining need, so the result is the same at any value of it.
     Which groups of a kind go where follows the hash of ``group_path``.
     An image without a usable label counts as ``unknown``; with several, the smallest counts.
     Ratios are scaled to a sum of one; no rows give no rows. ``targets`` must be small (it is
@@ -130,14 +201,28 @@ def stratified_splits(rows: DataFrame, targets: DataFrame, kinds_per_task: int =
     vectors = scratch.write(vectors, "vectors")
     seen = Observation()
     kinds = scratch.write(vectors.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).observe(seen, F.count(F.lit(1)).alias("kinds")), "kinds")
-    tasks = -(-max(1, seen.get["kinds"]) // kinds_per_task)
-
-    def allot(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.iloc[sorted(range(len(part)), key=lambda i: tuple(part["kind"].iloc[i]))].reset_index(drop=True)
-        return stratify(part, names, ratios)
-
-    dealt = kinds.withColumn("task", F.pmod(F.xxhash64("kind"), F.lit(tasks))).groupBy("task").applyInPandas(lambda p: allot(p), "kind array<string>, new_split string, first long, last long")
-    dealt = scratch.write(dealt, "dealt")
+    if (seen.get["kinds"] or 0) > kinds_per_task:
+        dealt = _stratify_in_turns(kinds, names, ratios, kinds_per_task, scratch)
+    else:
+        dealt = kinds.groupBy().applyInPandas(lambda p: stratify(p, names, ratios), "kind array<string>, new_split string, first long, last long")
+        dealt = scratch.write(dealt, "dealt")
     ranked = grouped_rank(vectors, ["kind"], [F.xxhash64("group_path"), F.col("group_path")], "rank")
     placed = ranked.join(dealt, "kind").where("rank between first and last").select("group_path", F.col("new_split").alias("split"))
     return groups.join(placed, "group_path").select("path", "group_path", "split")
+
+
+def split_shares(placed: DataFrame, rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """(``split``, ``label``, ``images``, ``wanted``, ``off``): images of each label in each target split, its share of them, and how far the two lie apart.
+
+    ``placed`` as ``stratified_splits`` gives it. ``label`` NULL stands for all images.
+    """
+    label = rows.where("path is not null").groupBy("path").agg(F.coalesce(F.min(folded(F.col("class_label"))), F.lit("unknown")).alias("label"))
+    goal = targets.select(folded(F.col("split")).alias("split"), F.col("ratio").cast("double").alias("ratio")).where("split is not null and ratio > 0").groupBy("split").agg(F.sum("ratio").alias("ratio"))
+    goal = goal.crossJoin(goal.agg(F.sum("ratio").alias("whole")))  # a row for each split
+    each = placed.join(label, "path").cube("split", "label").agg(F.count(F.lit(1)).alias("images"), F.grouping("split").alias("g"), F.grouping("label").alias("h"))
+    every = each.where("g = 1").select(F.when(F.col("h") == 0, F.col("label")).alias("label"), F.col("images").alias("total"))
+    held = each.where("g = 0").select("split", F.when(F.col("h") == 0, F.col("label")).alias("of"), "images")
+    plan = every.crossJoin(goal).join(held.withColumnRenamed("split", "s"), (F.col("split") == F.col("s")) & F.col("label").eqNullSafe(F.col("of")), "left")  # labels x splits
+    wanted = F.col("total") * F.col("ratio") / F.col("whole")
+    out = plan.select("split", "label", F.coalesce("images", F.lit(0)).cast("long").alias("images"), F.round(wanted, 6).alias("wanted"))
+    return out.withColumn("off", F.round(F.col("images") - F.col("wanted"), 6))
