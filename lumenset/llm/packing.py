@@ -54,14 +54,14 @@ class _Shelf:
         self.place(b)
 
 
-def pack(sizes: np.ndarray, capacity: int, tries: int = 64) -> np.ndarray:
+def pack(sizes: np.ndarray, capacity: int, tries: int | None = None) -> np.ndarray:
     """The bin of each item. Sizes must be 1 to ``capacity``.
 
     Starts with best fit in decreasing order. Then the emptiest bin is dissolved item by item:
     an item moves to the fullest bin with room, or goes in exchange for a smaller one,
     or two of its items go for one of the other bin. Each exchange raises the sum of squared fills,
-    so the search ends; a bin whose last item moves away is gone. Each item is held against at
-    most ``tries`` underfull bins, fullest first, a limit on effort that never leaves an item out.
+    so the search ends; a bin whose last item moves away is gone. Each item is held against all
+    underfull bins, fullest first, or with ``tries`` against so many of them.
     """
     shelf = _Shelf(capacity)
     for i in np.argsort(-sizes, kind="stable"):
@@ -102,7 +102,7 @@ def pack(sizes: np.ndarray, capacity: int, tries: int = 64) -> np.ndarray:
     return out
 
 
-def _exchange(shelf: _Shelf, victim: int, x: tuple[int, int], tries: int) -> bool:
+def _exchange(shelf: _Shelf, victim: int, x: tuple[int, int], tries: int | None) -> bool:
     """One-for-one, then two-for-one, out of ``victim`` into a bin at least as full."""
     seen = 0
     full = shelf.capacity - shelf.gap[victim]
@@ -113,7 +113,7 @@ def _exchange(shelf: _Shelf, victim: int, x: tuple[int, int], tries: int) -> boo
             if b == victim or shelf.capacity - g < full:
                 continue
             seen += 1
-            if seen > tries:
+            if tries is not None and seen > tries:
                 return False
             swaps = [y for y in shelf.items[b] if 0 < x[0] - y[0] <= g]
             if swaps:
@@ -133,7 +133,7 @@ def _exchange(shelf: _Shelf, victim: int, x: tuple[int, int], tries: int) -> boo
     return False
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, tokens_per_task: int = 4_000_000, tries: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 2048, tokens_per_task: int = 4_000_000, tries: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(``doc_id``, ``piece``, ``pieces``, ``first_token``, ``tokens``, ``container_id``): where each text, or each cut of one beyond the capacity, is put.
 
     A text of more than ``capacity`` tokens is cut into full pieces and a rest; no other is cut.
@@ -177,3 +177,15 @@ def container_fill(packed: DataFrame, capacity: int = 2048) -> DataFrame:
     """One row: (``containers``, ``tokens``, ``least``, ``fill``); ``least`` is the number of containers without any space left over."""
     each = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("tokens").alias("t"))
     return each.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("t"), F.lit(0)).cast("long").alias("tokens"), F.ceil(F.coalesce(F.sum("t"), F.lit(0)) / capacity).cast("long").alias("least"), F.round(F.coalesce(F.sum("t") / (F.count(F.lit(1)) * capacity), F.lit(0.0)), 6).alias("fill"))
+
+
+def packing_facts(docs: DataFrame, packed: DataFrame, capacity: int = 2048) -> DataFrame:
+    """One row of what must hold: ``rows`` and ``tokens`` of the pieces, and how many containers are overfull, texts cut without need, pieces out of place and non-blank texts without a container."""
+    sized = docs.select("doc_id", token_count(F.col("text")).alias("n"))
+    texts = sized.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("texts"))
+    held = packed.groupBy("doc_id").agg(F.sum("tokens").cast("long").alias("got"), F.count_if((F.col("pieces") > 0) & (F.col("piece") == 0) & F.col("container_id").isNotNull()).alias("placed"))
+    lost = texts.join(held, texts["doc_id"].eqNullSafe(held["doc_id"]), "full").agg(F.count_if(~F.col("n").eqNullSafe(F.col("got")) | ~F.col("texts").eqNullSafe(F.col("placed"))).alias("lost"))
+    load = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("tokens").alias("t")).agg(F.count_if(F.col("t") > capacity).alias("overfull"))
+    odd = (F.col("first_token") != F.col("piece") * capacity) | (F.col("tokens") > capacity) | ((F.col("piece") < F.col("pieces") - 1) & (F.col("tokens") < capacity))
+    base = packed.agg(F.count_if(F.col("pieces") > 0).alias("pieces"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"), F.count_if(odd).alias("odd"))
+    return base.crossJoin(load).crossJoin(lost)  # three single rows
