@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenset.functions.text import folded, folded_source
@@ -17,11 +17,34 @@ class StratifiedSample:
         self.sample, self.report = sample, report
 
 
+def wanted_counts(strata: DataFrame, size: int) -> DataFrame:
+    """Adds ``wanted``: whole numbers that sum to the size (times the sum of ``target_permille`` / 1000, rounded down), in proportion to ``target_permille`` and nowhere below ``min_rows``.
+
+    Strata whose minimum lies above their share get the minimum; the others share the rest in proportion, rounded by the largest
+    remainder, then the smaller ``stratum_id``. If the minima alone exceed the size, they are what is wanted. NULL counts as 0. All in whole
+    numbers; ``strata`` is a table of targets and is sorted in one task.
+    """
+    m, t = (F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("min_rows", "target_permille"))
+    every = Window.partitionBy()
+    of = strata.withColumn("__m", m).withColumn("__t", t)
+    of = of.withColumn("__size", F.expr(f"({size}L * sum(__t) over ()) div 1000"))
+    # Highest minimum for its share first; a stratum is at its minimum if that exceeds its share of what those before it leave.
+    order = [F.when((F.col("__t") == 0) & (F.col("__m") > 0), 0).when(F.col("__t") > 0, 1).otherwise(2), (F.col("__m") / F.nullif(F.col("__t"), F.lit(0))).desc_nulls_last(), F.col("stratum_id")]
+    down = every.orderBy(*order)
+    before = F.coalesce(F.sum("__m").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    onward = F.sum("__t").over(down.rowsBetween(0, Window.unboundedFollowing))
+    of = of.withColumn("__fixed", F.col("__m") * onward > F.col("__t") * (F.col("__size") - before))
+    of = of.withColumn("__rest", F.col("__size") - F.sum(F.when(F.col("__fixed"), F.col("__m")).otherwise(0)).over(every)).withColumn("__among", F.sum(F.when(F.col("__fixed"), 0).otherwise(F.col("__t"))).over(every))
+    of = of.withColumn("__whole", F.expr("if(__fixed or __among = 0, __m, (__t * __rest) div __among)")).withColumn("__part", F.expr("if(__fixed or __among = 0, -1, (__t * __rest) % __among)"))
+    of = of.withColumn("__over", F.col("__rest") - F.sum(F.when(F.col("__fixed"), 0).otherwise(F.col("__whole"))).over(every))
+    nth = F.row_number().over(every.orderBy(F.desc("__part"), "stratum_id"))
+    return of.withColumn("wanted", F.col("__whole") + F.when((F.col("__part") > 0) & (nth <= F.col("__over")), 1).otherwise(0)).select(*strata.columns, "wanted")
+
+
 def draw_sample(rows: DataFrame, targets: DataFrame, size: int | None = None, fraction: tuple[int, int] = (1, 3), oversampling: float = 0.05, seed: int = 42) -> StratifiedSample:
-    """Draws from each stratum of ``targets`` the share ``target_permille`` of the sample size, but ``min_rows`` at least.
+    """Draws from each stratum of ``targets`` its share ``target_permille`` of the sample size, but ``min_rows`` at least; ``wanted_counts`` makes the counts sum to the size.
 
-    The size is ``size``, or ``fraction`` of the distinct paths rounded down. A stratum wants
-    max(min_rows, target_permille * size / 1000 rounded up) images. Each image is accepted
+    The size is ``size``, or ``fraction`` of the distinct paths rounded down. Each image is accepted
     independently with the ratio of wanted to present images, raised by ``oversampling`` and
     four standard deviations; of the accepted ones exactly the wanted number with the
     smallest random values stays. Should a stratum have accepted too few by chance, its
@@ -29,7 +52,8 @@ def draw_sample(rows: DataFrame, targets: DataFrame, size: int | None = None, fr
     stratum and path: the same rows give the same sample on any cluster.
     An image filed under several labels or sources counts in each of their strata. NULL or
     blank labels and sources match no stratum. Two targets of one label and source are drawn alike.
-    Report: ``stratum_id``, ``available``, ``wanted``, ``drawn``, ``deficit``, ``min_rows``, ``target_permille``.
+    Report: ``stratum_id``, ``available``, ``wanted``, ``drawn``, ``deficit``, ``min_rows``, ``target_permille`` and ``short``: fewer
+    images than the minimum or than the exact share of the size.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "stratified-sample")
@@ -38,9 +62,8 @@ def draw_sample(rows: DataFrame, targets: DataFrame, size: int | None = None, fr
     if size is None:
         size = images.agg(F.countDistinct("path").alias("n")).first()["n"] * fraction[0] // fraction[1]
     strata = targets.select("stratum_id", folded(F.col("class_label")).alias("label"), folded_source(F.col("dataset_source")).alias("source"), "target_permille", "min_rows")
-    wanted = F.greatest(F.coalesce(F.col("min_rows"), F.lit(0)).cast("long"), F.ceil(F.coalesce(F.col("target_permille"), F.lit(0)).cast("long") * F.lit(size) / 1000).cast("long"))
     present = images.groupBy("label", "source").agg(F.count(F.lit(1)).alias("available"))
-    plan = strata.join(present, ["label", "source"], "left").select("stratum_id", "label", "source", "target_permille", "min_rows", F.coalesce("available", F.lit(0)).cast("long").alias("available"), wanted.alias("wanted"))
+    plan = wanted_counts(strata, size).join(present, ["label", "source"], "left").select("stratum_id", "label", "source", "target_permille", "min_rows", F.coalesce("available", F.lit(0)).cast("long").alias("available"), "wanted")
     plan = scratch.write(plan, "plan")
     ratio = F.col("wanted") / F.col("available")
     slack = ratio * (1 + oversampling) + 4 * F.sqrt(ratio / F.col("available"))
@@ -57,5 +80,7 @@ def draw_sample(rows: DataFrame, targets: DataFrame, size: int | None = None, fr
     sample = scratch.write(ranked.where("rank <= wanted").select("stratum_id", "path"), "sample")
     drawn = sample.groupBy("stratum_id").agg(F.count(F.lit(1)).alias("drawn"))
     report = plan.join(drawn, "stratum_id", "left").select("stratum_id", "available", "wanted", F.coalesce("drawn", F.lit(0)).cast("long").alias("drawn"), "min_rows", "target_permille")
-    report = report.withColumn("deficit", F.col("wanted") - F.col("drawn"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    short = (F.col("available") < zero("min_rows")) | (F.col("available") * 1000 < zero("target_permille") * F.lit(size))
+    report = report.withColumn("deficit", F.col("wanted") - F.col("drawn")).withColumn("short", short)
     return StratifiedSample(sample, report)
