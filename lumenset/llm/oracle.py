@@ -39,6 +39,15 @@ _STRATA = f"""
   held AS (SELECT stratum_id, count(path) AS available, target_permille, min_rows
            FROM strata LEFT JOIN img USING (label, source) GROUP BY stratum_id, target_permille, min_rows)
 """
+#: Minima first where they exceed the share of what is left, then shares in proportion, rounded by the largest remainder.
+_WANTED = f"""{_STRATA},
+  base AS (SELECT *, coalesce(min_rows, 0)::BIGINT AS m, coalesce(target_permille, 0)::BIGINT AS t, (SELECT n FROM size) * (SELECT sum(coalesce(target_permille, 0)) FROM strata)::BIGINT // 1000 AS total FROM held),
+  inorder AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN t = 0 AND m > 0 THEN 0 WHEN t > 0 THEN 1 ELSE 2 END, m::DOUBLE / nullif(t, 0) DESC NULLS LAST, stratum_id) AS k FROM base),
+  fixed AS (SELECT *, m * (SELECT sum(o.t) FROM inorder o WHERE o.k >= i.k) > t * (total - coalesce((SELECT sum(o.m) FROM inorder o WHERE o.k < i.k), 0)) AS at_least FROM inorder i),
+  rest AS (SELECT any_value(total)::HUGEINT - coalesce(sum(m) FILTER (at_least), 0) AS left_over, coalesce(sum(t) FILTER (NOT at_least), 0) AS among FROM fixed),
+  cut AS (SELECT f.*, CASE WHEN at_least OR among = 0 THEN m ELSE t * left_over // among END AS whole, CASE WHEN at_least OR among = 0 THEN -1 ELSE t * left_over % among END AS part FROM fixed f, rest),
+  wanted AS (SELECT stratum_id, available, min_rows, target_permille, (whole + CASE WHEN part > 0 AND row_number() OVER (ORDER BY part DESC, stratum_id) <= (SELECT left_over FROM rest) - (SELECT coalesce(sum(whole), 0) FROM cut WHERE NOT at_least) THEN 1 ELSE 0 END)::BIGINT AS wanted FROM cut)
+"""
 _MIX = f"""
   sized AS (SELECT lower(trim(source)) AS name, {_TOKENS} AS n FROM documents),
   total AS (SELECT sum(n) AS t FROM sized),
@@ -68,6 +77,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"""WITH RECURSIVE {_RELATED}, s AS (SELECT DISTINCT path, lower(trim(split)) AS split FROM split_index WHERE path IS NOT NULL AND trim(split) <> ''),
             mixed AS (SELECT group_path FROM grp JOIN s USING (path) GROUP BY group_path HAVING count(DISTINCT split) > 1)
             SELECT group_path, path FROM grp WHERE group_path IN (SELECT group_path FROM mixed)""",
+        "p2_facts": f"""WITH RECURSIVE {_RELATED} SELECT count(*) AS images, count(*) AS paths, (SELECT count(*) FROM split_targets)::BIGINT AS splits, 0::BIGINT AS divided_groups, count(DISTINCT group_path) AS groups, 0::BIGINT AS far_shares FROM grp""",
         "p3_found": f"WITH {near_e}, {sides} SELECT path_a, path_b FROM pairs",
         "p3_overlap_by_record": f"WITH {near_e}, {sides} SELECT * FROM byrec",
         "p3_overlap_report": f"WITH {near_e}, {sides} SELECT split, dataset_source, count(*) AS images, count(*) FILTER (partners > 0) AS overlapping, sum(partners)::BIGINT AS pairs, round(avg(coverage), 6) AS mean_coverage FROM byrec GROUP BY split, dataset_source",
@@ -79,8 +89,9 @@ def oracle_sql() -> dict[str, str]:
             ranked AS (SELECT source, path, score, row_number() OVER (PARTITION BY source ORDER BY score DESC NULLS LAST, path) AS r FROM best WHERE source IS NOT NULL)
             SELECT source, path, score FROM ranked WHERE r <= (SELECT cap FROM level)""",
         "p5_found": f"WITH {_STRATA} SELECT stratum_id FROM held, size WHERE available < min_rows OR available * 1000 < target_permille * n",
-        "p5_report": f"""WITH {_STRATA}, w AS (SELECT *, greatest(min_rows::BIGINT, ceil(target_permille * n / 1000.0)::BIGINT) AS wanted FROM held, size)
-            SELECT stratum_id, available, wanted, least(available, wanted) AS drawn, min_rows, target_permille, wanted - least(available, wanted) AS deficit FROM w""",
+        "p5_report": f"""WITH {_WANTED}
+            SELECT stratum_id, available, wanted, least(available, wanted) AS drawn, min_rows, target_permille, wanted - least(available, wanted) AS deficit FROM wanted""",
+        "p5_counts": f"WITH {_WANTED} SELECT stratum_id, least(available, wanted) AS n, least(available, wanted) AS paths, 0::BIGINT AS foreign FROM wanted",
         "p6_found": f"WITH {near_d} SELECT DISTINCT a.path AS path_a, b.path AS path_b FROM hashed a JOIN hashed b ON a.path < b.path AND bit_count(xor(a.h, b.h)) <= 8",
         "p6_groups": f"""WITH RECURSIVE {near_d}, pairs AS (SELECT DISTINCT a.path AS a, b.path AS b FROM hashed a JOIN hashed b ON a.path < b.path AND bit_count(xor(a.h, b.h)) <= 8),
             ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
@@ -88,6 +99,9 @@ def oracle_sql() -> dict[str, str]:
             grp AS (SELECT path, min(other) AS group_path FROM reach GROUP BY path), links AS (SELECT a AS path, count(*) AS links FROM ways GROUP BY a)
             SELECT path, group_path, coalesce(links, 0)::BIGINT AS links FROM grp LEFT JOIN links USING (path)""",
         "p8_found": f"SELECT DISTINCT doc_id FROM documents WHERE {_TOKENS} > 2048",
+        "p8_facts": f"""WITH n AS (SELECT {_TOKENS} AS n FROM documents)
+            SELECT sum(ceil(n / 2048.0))::BIGINT AS pieces, sum(n)::BIGINT AS tokens, 0::BIGINT AS odd, 0::BIGINT AS overfull, 0::BIGINT AS lost FROM n""",
+        "p9_facts": f"WITH {_MIX} SELECT source, tokens * max_repeats * 1000 < target_permille * t AS short, 0::BIGINT AS too_often, 0::BIGINT AS foreign, 0::BIGINT AS missized, 0::BIGINT AS twice, false AS off FROM held, total",
         "p9_found": f"WITH {_MIX} SELECT source FROM held, total WHERE tokens * max_repeats * 1000 < target_permille * t",
     }
     return out

@@ -6,12 +6,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import col as spark_col
 
 from lumenset.llm.ballhash import image_pairs, near_groups, near_pairs
 from lumenset.llm.components import connected_components
 from lumenset.llm.matches import grouped_images, match_groups
-from lumenset.llm.overlap import cross_split_pairs, overlap_report, text_overlaps
-from lumenset.llm.splits import related_groups, split_conflicts, stratified_splits, stratify
+from lumenset.llm.overlap import aligned_coverage, common_chain, common_length, cross_split_pairs, document_overlaps, overlap_report, text_overlaps, winnow
+from lumenset.llm.splits import related_groups, split_conflicts, split_shares, stratified_splits, stratify
 
 
 def rows(df):
@@ -95,8 +96,12 @@ def test_stratified_splits(spark):
         mine = [x["split"] for x in out if label[x["path"]] == name]
         for s, want in (("train", 0.7), ("val", 0.15), ("test", 0.15)):
             assert abs(mine.count(s) / len(mine) - want) < 0.03, (name, s)
-    several = [x.asDict() for x in stratified_splits(t, targets, kinds_per_task=2).collect()]
-    assert sorted(x["path"] for x in several) == sorted({d[0] for d in data})
+    # However many tasks place the kinds, the result is the same.
+    for per_task in (2, 7):
+        assert rows(stratified_splits(t, targets, kinds_per_task=per_task).select("path", "split")) == sorted((x["path"], x["split"]) for x in out)
+    shares = {(x["split"], x["label"]): x for x in split_shares(stratified_splits(t, targets), t, targets).collect()}
+    assert shares["train", None]["images"] + shares["val", None]["images"] + shares["test", None]["images"] == len({d[0] for d in data})
+    assert len(shares) == 12 and max(abs(x["off"]) for x in shares.values()) <= 8
     assert stratified_splits(t.where("false"), targets).collect() == []
     with pytest.raises(ValueError):
         stratified_splits(t, targets.where("false"))
@@ -218,3 +223,82 @@ def test_text_overlaps_align_shifted_texts(spark):
     got = rows(text_overlaps(spark.createDataFrame(data, "text string, side int"), 0.5, 16, 20))
     assert sorted((a[:4], b[:4]) for a, b, _ in got) == sorted([(long[:4], "xyz" + long[0]), ("tiny", "tiny"), ("====", "====")])
     assert {a[:4]: c for a, b, c in got}[long[:4]] == 4000 / 5000
+
+
+def common_by_table(a, b):
+    p = [0] * (len(b) + 1)
+    for x in a:
+        q = [0]
+        for j, y in enumerate(b):
+            q.append(p[j] + 1 if x == y else max(p[j + 1], q[j]))
+        p = q
+    return p[-1]
+
+
+def edited(r, text, n, letters="xyz "):
+    b = list(text)
+    for _ in range(n):
+        at = r.randrange(len(b) + 1)
+        if r.random() < 0.5 or not b:
+            b.insert(at, r.choice(letters))
+        else:
+            b.pop(min(at, len(b) - 1))
+    return "".join(b)
+
+
+def test_chains_and_alignment():
+    r = random.Random(1)
+    for _ in range(200):
+        a, b = ("".join(r.choice("abcd") for _ in range(r.randrange(0, 40))) for _ in range(2))
+        want = common_by_table(a, b)
+        assert common_length(a, b) == want
+        for most in (1 << 28, 20):
+            c = common_chain(a, b, most)
+            assert len(c) == want and all(a[i] == b[j] for i, j in c) and all(x < y and z < w for (x, z), (y, w) in zip(c, c[1:]))
+    seeds = lambda t: winnow(np.frombuffer(t.encode("utf-32-le"), np.uint32), 16, 17)
+    for i in range(60):
+        a = "".join(r.choice("abcdefgh ") for _ in range(r.randrange(20, 500))) if i % 2 else "ab " * r.randrange(10, 200)
+        b = edited(r, a, r.randrange(0, 8))
+        want = common_by_table(a, b) / max(len(a), len(b))
+        got = aligned_coverage(a, b, seeds(a), seeds(b), 16)
+        assert got <= want + 1e-9 and (i % 2 == 0 or got > want - 0.02)
+        assert (aligned_coverage(a, b, seeds(a), seeds(b), 16, want) >= want - 1e-9) and aligned_coverage(a, b, seeds(a), seeds(b), 16, want + 0.01) < want + 0.01
+
+
+def test_seeds_keep_every_place():
+    r = random.Random(4)
+    part = "".join(r.choice("abcdefgh") for _ in range(60))
+    text = part + "1" * 5 + part + "2" * 7 + part + "3" * 3 + part
+    h, at = winnow(np.frombuffer(text.encode("utf-32-le"), np.uint32), 16, 17)
+    inner = {x for x, p in zip(h.tolist(), at.tolist()) if p + 33 <= 60}
+    assert inner and all(h.tolist().count(x) == 4 for x in inner)
+    same = winnow(np.frombuffer(("=" * 1000).encode("utf-32-le"), np.uint32), 16, 17)[1]
+    assert np.diff(same).max() <= 17 and len(same) < 70
+
+
+def test_text_overlaps_find_all_edited_texts(spark):
+    r = random.Random(7)
+    foot = "sent from the archive of the image group, do not reply to this address. " * 2
+    base = ["".join(r.choice("abcdefghij klmnop") for _ in range(r.randrange(200, 900))) for _ in range(40)]
+    left = [b + foot for b in base[:30]] + [base[30] * 3, "=" * 400, "short"]
+    right = [edited(r, t, r.randrange(0, 14)) for t in left] + [b + foot for b in base[31:]] + ["q" + base[0][:100] + foot]
+    data = [(t, 1) for t in left] + [(t, 2) for t in right] + [("both sides", 3), (left[0], 2), (None, 2), ("", 1)]
+    want = {(a, b) for a in {*left, "both sides"} for b in {*right, left[0], "both sides"} if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and common_length(a, b) >= 0.8 * max(len(a), len(b)) - 1e-9}
+    t = spark.createDataFrame([(*d, 1) for d in data], "text string, side int, id int")
+    seeds = lambda x: set(winnow(np.frombuffer(x.encode("utf-32-le"), np.uint32), 16, 17)[0].tolist())
+    shared = {(a, b) for a, b in want if len(seeds(a) & seeds(b)) >= 0.3 * max(len(seeds(a)), len(seeds(b)))}
+    for options in ({}, {"pairs_per_slot": 3}):
+        got = [(x["text_a"], x["text_b"]) for x in text_overlaps(t, 0.8, **options).collect()]
+        assert len(got) == len(set(got)) and set(got) == shared
+    assert len(shared) >= 0.9 * len(want) > 27
+
+
+def test_document_overlaps(spark):
+    r = random.Random(8)
+    long = "".join(r.choice("abcdefgh ") for _ in range(600))
+    data = [(100, long), (101, edited(r, long, 6)), (102, long), (200, long), (103, "other " + long[:100]), (300, None), (400, " "), (None, long), (104, None)]
+    t = spark.createDataFrame([(*d, 5, "x") for d in data], "doc_id long, text string, side int, least string")
+    out = document_overlaps(t, spark_col("doc_id") % 100 == 0)
+    assert [(x["evaluation_id"], x["train_id"], x["evaluation_copies"], x["train_copies"]) for x in out.orderBy("train_id").collect()] == [(100, 101, 2, 1), (100, 102, 2, 1)]
+    assert out.orderBy("train_id").collect()[1]["coverage"] == 1.0
+    assert document_overlaps(t.where("false"), spark_col("doc_id") % 100 == 0).collect() == []
