@@ -22,10 +22,8 @@ from pyspark.sql import functions as F
 from lumenset.operators.ranking import grouped_rank
 from lumenset.scratch import Scratch
 
-#: Short or alternative words in field names.
-SYNONYMS = {"attn": "attention", "att": "attention", "arch": "backbone", "architecture": "backbone", "net": "backbone", "network": "backbone", "encoder": "backbone", "fourier": "fft", "spectrum": "fft", "enable": "use", "enabled": "use", "with": "use", "is": "use", "has": "use"}
-#: Words that say little about what a field is, and what they weigh.
-WEAK_WORDS = {"use": 0.3, "name": 0.3}
+#: Abbreviations in field names.
+ABBREVIATIONS = {"attn": "attention", "att": "attention"}
 #: How well a value of one JSON type converts to another.
 TYPE_AFFINITY = {("boolean", "number"): 0.6, ("boolean", "string"): 0.5, ("string", "number"): 0.5, ("array", "string"): 0.6}
 TRUE_WORDS, FALSE_WORDS = ("true", "on", "yes", "1"), ("false", "off", "no", "0")
@@ -91,10 +89,10 @@ def parse_files(files: DataFrame, section: str = "config", text: str = "summary_
 
 
 def name_words(name: str) -> list[str]:
-    """Words of a field name; abbreviations and synonyms are led back to one word."""
+    """Words of a field name; abbreviations are led back to their word."""
     split = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", name)
     split = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", split)
-    return [SYNONYMS.get(w, w) for w in re.split(r"[^a-z0-9]+", split.lower()) if w]
+    return [ABBREVIATIONS.get(w, w) for w in re.split(r"[^a-z0-9]+", split.lower()) if w]
 
 
 def word_similarity(a: str, b: str) -> float:
@@ -116,7 +114,7 @@ class _Graph:
 
 
 def schema_graph(fields: dict[str, set[str]]) -> _Graph:
-    """Nodes for nesting levels, fields, words of names and types. ``fields``: path to its JSON types."""
+    """Nodes for nesting levels, fields, words of names, types and the values a field holds. ``fields``: path to its JSON types."""
     g = _Graph()
     for path, kinds in fields.items():
         parts = path.split(".")
@@ -130,6 +128,7 @@ def schema_graph(fields: dict[str, set[str]]) -> _Graph:
             g.add(f"field:{path}", "word", f"word:{w}")
         for k in kinds - {"null"}:
             g.add(f"field:{path}", "type", f"type:{k}")
+        g.add(f"field:{path}", "values", f"values:{path}")
     return g
 
 
@@ -168,47 +167,55 @@ def flood(a: _Graph, b: _Graph, start: dict[tuple[str, str], float], rounds: int
     return {p: float(score[i]) for p, i in pairs.items()}
 
 
-def name_score(path: str, target: str, overlap: float = 0.0) -> float:
-    """How well a path's words cover a target's, how many they share, and the share of values that are the target's."""
+def name_score(path: str, target: str) -> float:
+    """How well a path's words cover a target's."""
     wx, wy = name_words(path), name_words(target)
-    heavy = [WEAK_WORDS.get(v, 1.0) for v in wy]
-    s = sum(h * max((word_similarity(u, v) for u in wx), default=0) for h, v in zip(heavy, wy)) / sum(heavy) if wy else 0.0
-    return 0.5 * s + 0.2 * (len(set(wx) & set(wy)) / max(1, len(set(wx) | set(wy)))) + 0.3 * overlap
+    return sum(max(word_similarity(u, v) for u in wx) for v in wy) / len(wy) if wx and wy else 0.0
 
 
-def match_fields(fields: dict[str, set[str]], together: dict[tuple[str, str], int], count: dict[str, int], overlap: dict[tuple[str, str], float], targets: tuple[Target, ...], least: float = 0.2, tolerance: float = 0.02) -> dict[str, list[tuple[str, float]]]:
-    """The paths that stand for each target, best first, with scores relative to the target's best one.
+def field_scores(fields: dict[str, set[str]], overlap: dict[tuple[str, str], float], targets: tuple[Target, ...], rounds: int = 200) -> dict[str, dict[str, float]]:
+    """For each path its flooded score with each target, relative to the target's best one.
 
-    ``together``: in how many files two paths (in order) are both present; ``overlap``: share of a path's values that a target's own
-    values contain. A path goes to the target it scores highest with, if that is ``least`` of the best score, and if it
-    occurs beside a better path of the target in at most ``tolerance`` of its files, as one field has one place in a file.
+    Words, types and values start with their similarity, fields with a third of that of their names: a field without a like name scores by
+    what flows in from its values, types, words and the level that holds it. ``overlap``: how alike the values of path and target are.
     """
-    goal = schema_graph({t.name: {t.kind} for t in targets})
-    seen = schema_graph(fields)
+    goal, seen = schema_graph({t.name: {t.kind} for t in targets}), schema_graph(fields)
     start: dict[tuple[str, str], float] = {("level:", "level:"): 1.0}
     for x in seen.nodes:
         for y in goal.nodes:
             (kx, _, nx), (ky, _, ny) = x.partition(":"), y.partition(":")
-            if kx == ky == "type":
+            if kx != ky or kx == "level":
+                continue
+            if kx == "type":
                 s = 1.0 if nx == ny else TYPE_AFFINITY.get((nx, ny), TYPE_AFFINITY.get((ny, nx), 0.1))
-            elif kx == ky == "word":
+            elif kx == "word":
                 s = word_similarity(nx, ny) ** 2
-            elif kx == ky == "field":
-                s = name_score(nx, ny, overlap.get((nx, ny), 0.0))
+            elif kx == "values":
+                s = overlap.get((nx, ny), 0.0)
             else:
-                continue
+                s = 0.3 * name_score(nx, ny)
             if s > 0:
                 start[x, y] = s
-    score = flood(seen, goal, start)
-    table = {p: {t.name: start.get((f"field:{p}", f"field:{t.name}"), 0) * score.get((f"field:{p}", f"field:{t.name}"), 0) for t in targets} for p in fields}
+    score = flood(seen, goal, start, rounds)
+    table = {p: {t.name: score.get((f"field:{p}", f"field:{t.name}"), 0.0) for t in targets} for p in fields}
+    top = {t.name: max((r[t.name] for r in table.values()), default=0.0) for t in targets}
+    best = {p: max(r.values(), default=0.0) for p, r in table.items()}
+    # A path stands for the target it scores highest with, and for no other.
+    return {p: {n: v / top[n] for n, v in r.items() if v > 0 and v >= best[p]} for p, r in table.items()}
+
+
+def select_matches(scores: dict[str, dict[str, float]], together: dict[tuple[str, str], int], count: dict[str, int], targets: tuple[Target, ...], least: float = 0.2, tolerance: float = 0.02) -> dict[str, list[tuple[str, float]]]:
+    """The paths that stand for each target, best first: selection by relative threshold among paths that exclude each other.
+
+    ``together``: in how many files two paths (in order) are both present. A path is taken if it scores ``least`` of the target's best
+    and occurs beside a better path of the target in at most ``tolerance`` of its files, as one field has one place in a
+    file. The target's own name leads; it is where the others have to fit in.
+    """
     out: dict[str, list[tuple[str, float]]] = {}
     for t in targets:
-        mine = [p for p in table if table[p][t.name] >= max(table[p].values()) and table[p][t.name] > 0]
-        top = max((table[p][t.name] for p in mine), default=0)
         chosen: list[tuple[str, float]] = []
-        # The target's own name leads; it is where the others have to fit in.
-        for p in sorted(mine, key=lambda p: (p != t.name, -table[p][t.name], p)):
-            s = table[p][t.name] / top
+        for p in sorted((p for p in scores if t.name in scores[p]), key=lambda p: (p != t.name, -scores[p][t.name], p)):
+            s = scores[p][t.name]
             both = [together.get((min(p, q), max(p, q)), 0) for q, _ in chosen]
             if p == t.name or s >= least and all(n <= tolerance * max(1, count.get(p, 0)) for n in both):
                 chosen.append((p, s))
@@ -216,34 +223,50 @@ def match_fields(fields: dict[str, set[str]], together: dict[tuple[str, str], in
     return out
 
 
-def learn_matches(parsed: DataFrame, targets: tuple[Target, ...] = TRAINING_FIELDS, most_fields: int = 100_000) -> dict[str, list[tuple[str, float]]]:
-    """``match_fields`` with the statistics of all files. More than ``most_fields`` different paths raise ValueError.
+def value_overlap(leaf: DataFrame, targets: tuple[Target, ...], few: float = 20.0) -> DataFrame:
+    """(``path``, ``target``, ``overlap``): how alike the values of a path and those under a target's own name are, 0 to 1.
 
-    What reaches the driver has a row for each path and type, for each two paths with names or values like a target's, and for each path and target.
+    For a path with many values that is what the two distributions have in common; for one with ``few`` it is led by the share of
+    its texts, lists and truth values that the target has too, as so few values show no distribution. Each value is counted once for each path, so
+    frequent ones cost nothing.
+    """
+    told = leaf.where("kind <> 'null' and value is not null")
+    values = told.groupBy("path", F.lower(F.trim("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") != "number").alias("worded"))
+    total = values.groupBy("path").agg(F.sum("n").alias("total"))
+    values = values.join(total, "path")
+    goal = values.where(F.col("path").isin([t.name for t in targets])).select(F.col("path").alias("target"), "value", (F.col("n") / F.col("total")).alias("share"), (F.col("worded") > 0).alias("said"))
+    both = values.join(goal, "value").groupBy("path", "target").agg(F.sum(F.least(F.col("n") / F.col("total"), "share")).alias("common"), (F.sum(F.when(F.col("said"), F.col("worded")).otherwise(0)) / F.max("total")).alias("held"), F.max("total").alias("n"))
+    return both.select("path", "target", ((F.col("n") * F.col("common") + few * F.col("held")) / (F.col("n") + few)).alias("overlap"))
+
+
+def learn_matches(parsed: DataFrame, targets: tuple[Target, ...] = TRAINING_FIELDS, most_fields: int = 100_000, least: float = 0.2) -> dict[str, list[tuple[str, float]]]:
+    """``select_matches`` with the statistics of all files. More than ``most_fields`` different paths raise ValueError.
+
+    What reaches the driver has a row for each path and type, for each path and target, and for each two paths that could stand for one target.
     """
     leaf = parsed.select(F.explode("leaves").alias("l")).select("l.*")
     kinds = leaf.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n")).limit(6 * most_fields + 1).collect()
     fields: dict[str, set[str]] = defaultdict(set)
+    count: dict[str, int] = defaultdict(int)
     for r in kinds:
         fields[r["path"]].add(r["kind"])
+        count[r["path"]] += r["n"] * (r["kind"] != "null")
     if len(fields) > most_fields:
         raise ValueError(f"more than {most_fields} different fields")
-    count: dict[str, int] = defaultdict(int)
-    for r in kinds:
-        count[r["path"]] += r["n"] * (r["kind"] != "null")
-    values = leaf.where("kind in ('string', 'array') and value is not null").groupBy("path", "value").agg(F.count(F.lit(1)).alias("n"))
-    named = values.where(F.col("path").isin([t.name for t in targets])).select(F.col("path").alias("target"), "value")
-    shared = values.join(named, "value").groupBy("path", "target").agg(F.sum("n").alias("n"))
-    texts = {r["path"]: r["n"] for r in values.groupBy("path").agg(F.sum("n").alias("n")).collect()}
-    overlap = {(r["path"], r["target"]): r["n"] / texts[r["path"]] for r in shared.collect()}
-    # A path whose name and values tell next to nothing of any target is never its field, so only the others need partners.
-    near = [p for p in fields if max((name_score(p, t.name, overlap.get((p, t.name), 0.0)) for t in targets), default=0) > 0.05]
-    # Files of one shape are counted first, so pairs are made once for each shape.
-    held = F.filter("leaves", lambda x: (x["kind"] != "null") & x["path"].isin(near))
-    shapes = parsed.select(F.array_sort(F.transform(held, lambda x: x["path"])).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    pair = shapes.select("n", F.explode("s").alias("a"), "s").select("n", "a", F.explode("s").alias("b")).where("a < b").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    together = {(r["a"], r["b"]): r["n"] for r in pair.toLocalIterator()}
-    return match_fields(fields, together, count, overlap, targets)
+    overlap = {(r["path"], r["target"]): r["overlap"] for r in value_overlap(leaf, targets).collect()}
+    scores = field_scores(fields, overlap, targets)
+    # Only paths that score for the same target can be rivals for its place.
+    rivals = {t.name: [p for p, r in scores.items() if p == t.name or r.get(t.name, 0) >= least] for t in targets}
+    together: dict[tuple[str, str], int] = {}
+    for paths in rivals.values():
+        if len(paths) < 2:
+            continue
+        held = F.filter("leaves", lambda x: (x["kind"] != "null") & x["path"].isin(paths))
+        # Files of one shape are counted first, so pairs are made once for each shape.
+        shapes = parsed.select(F.array_sort(F.transform(held, lambda x: x["path"])).alias("s")).where(F.size("s") > 1).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+        pair = shapes.select("n", F.explode("s").alias("a"), "s").select("n", "a", F.explode("s").alias("b")).where("a < b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        together |= {(r["a"], r["b"]): r["n"] for r in pair.toLocalIterator()}
+    return select_matches(scores, together, count, targets, least)
 
 
 def resolved_files(parsed: DataFrame, matches: dict[str, list[tuple[str, float]]], keep: tuple[str, ...] = ("file_id", "series", "run_no")) -> DataFrame:

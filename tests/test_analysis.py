@@ -157,6 +157,47 @@ def test_drift(spark):
     assert drift.name_words("useFFT") == ["use", "fft"] and drift.name_words("attn_head") == ["attention", "head"]
 
 
+PLACES = {"attention_head": ["attention_head", "attn_head", "attention"], "use_fft": ["use_fft", "enable_fft", "fft"], "backbone": ["backbone", "backbone_name", "arch", "network"]}
+UNSEEN = {"attention_head": ["pooling_block", "focus", "neck.kind", "refiner"], "use_fft": ["spectral", "freq_branch", "input.frequency", "dct"], "backbone": ["encoder", "model_family", "trunk.kind", "feature_net"]}
+
+
+def drifting(places, n, seed):
+    """Files in which the three fields stand at one place each, beside fields that share words, types or values with them."""
+    import random
+
+    r = random.Random(seed)
+    for i in range(n):
+        leaves = [("optimizer", "string", r.choice(["adam", "sgd"])), ("use_srm", "boolean", r.choice(["true", "false"])), ("epochs", "number", r.choice(["20", "30"])), ("seed", "number", str(r.randrange(1, 100)))]
+        leaves += [x for x in (("backbone_lr", "number", "1e-05"), ("freeze_backbone", "boolean", "true"), ("fft_size", "number", "224"), ("attention_dropout", "number", "0.1"), ("augment", "string", "light")) if r.random() < 0.4]
+        for t, paths in places.items():
+            if r.random() < 0.8:
+                kind, v = {"attention_head": ("string", ["none", "none", "se", "gem", "cbam"]), "use_fft": r.choice([("boolean", ["true", "false", "false"]), ("number", ["0", "1"]), ("string", ["on", "off", "no"])]), "backbone": ("string", ["resnet18", "swin_tiny", "convnext_small"])}[t]
+                leaves.append((paths[i // 50 % len(paths)], kind, r.choice(v)))
+        yield [{"path": p, "kind": k, "value": v} for p, k, v in leaves]
+
+
+def found_places(spark, files):
+    t = spark.createDataFrame([(i, "s", i, x) for i, x in enumerate(files)], "file_id long, series string, run_no int, leaves array<struct<path:string,kind:string,value:string>>")
+    return {k: {p for p, _ in v} for k, v in drift.learn_matches(t).items()}
+
+
+def test_drift_finds_names_it_has_never_seen(spark):
+    """Held-out series name the fields without any word of the targets; recall over all these names must be 0.9 or more, with nothing else taken."""
+    found = found_places(spark, [*drifting(PLACES, 1000, 1), *drifting(UNSEEN, 400, 2)])
+    for t in PLACES:
+        assert found[t] <= {*PLACES[t], *UNSEEN[t]} and found[t] >= set(PLACES[t]), t
+    hits = sum(len(found[t] & set(UNSEEN[t])) for t in UNSEEN)
+    assert hits >= 0.9 * sum(map(len, UNSEEN.values()))
+
+
+def test_flooding_finds_what_names_do_not():
+    """``arch`` is like no word of ``backbone``; without the rounds that carry its values' likeness to it, it is lost."""
+    fields = {"backbone": {"string"}, "arch": {"string"}, "optimizer": {"string"}, "use_fft": {"boolean"}, "attention_head": {"string"}}
+    overlap = {("backbone", "backbone"): 1.0, ("arch", "backbone"): 0.9, ("use_fft", "use_fft"): 1.0, ("attention_head", "attention_head"): 1.0}
+    least = lambda rounds: {p for p, r in drift.field_scores(fields, overlap, drift.TRAINING_FIELDS, rounds).items() if r.get("backbone", 0) >= 0.2}
+    assert least(200) == {"backbone", "arch"} and least(0) == {"backbone"}
+
+
 def png(path, plane):
     h, w = plane.shape[:2]
     raw = b"".join(b"\0" + plane[i].astype(np.uint8).tobytes() for i in range(h))
