@@ -93,6 +93,35 @@ def blend(image: Column, heat: Column, alpha: float = 0.4) -> Column:
     return F.zip_with(image, heat, lambda a, b: (1 - alpha) * a + alpha * b)
 
 
+def jet(x: Column) -> Column:
+    """Red, green and blue, 0 to 255, of a value from 0 to 1 on the scale from blue over green to red."""
+    up = lambda at: F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.5 - F.abs(4 * x - at))) * 255
+    return F.array(up(3), up(2), up(1))
+
+
+def resize_bilinear(plane: Column, height: int, width: int, new_height: int, new_width: int) -> Column:
+    """A row-major plane at another size: half-pixel centres, edges repeated."""
+
+    def axis(i: Column, old: int, new: int) -> tuple[Column, Column, Column]:
+        at = F.least(F.lit(old - 1.0), F.greatest(F.lit(0.0), (i + 0.5) * old / new - 0.5))
+        low = F.floor(at).cast("int")
+        return low, F.least(F.lit(old - 1), low + 1), at - low
+
+    def one(i: Column) -> Column:
+        y0, y1, fy = axis(F.floor(i / new_width).cast("int"), height, new_height)
+        x0, x1, fx = axis(i % new_width, width, new_width)
+        v = lambda y, x: F.get(plane, y * width + x)
+        return (v(y0, x0) * (1 - fx) + v(y0, x1) * fx) * (1 - fy) + (v(y1, x0) * (1 - fx) + v(y1, x1) * fx) * fy
+
+    return F.transform(F.sequence(F.lit(0), F.lit(new_height * new_width - 1)), one)
+
+
+def heat_overlay(pixels: Column, height: int, width: int, heat: Column, heat_height: int, heat_width: int, alpha: float = 0.5) -> Column:
+    """Interleaved red, green and blue pixels with a heat map (0 to 1, of any size) laid over: the map is resized, coloured and blended."""
+    coloured = F.flatten(F.transform(resize_bilinear(heat, heat_height, heat_width, height, width), jet))
+    return blend(pixels, coloured, alpha)
+
+
 def normalise(pixels: Column, mean: tuple[float, ...] = (0.485, 0.456, 0.406), std: tuple[float, ...] = (0.229, 0.224, 0.225)) -> Column:
     """(x / 255 - mean) / std for interleaved channels."""
     m, s = (F.array(*[F.lit(v) for v in t]) for t in (mean, std))

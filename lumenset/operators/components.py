@@ -25,15 +25,16 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """
     scratch = Scratch(edges.sparkSession, "stars")
     now = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null and u <> v")
-    mark, step = None, 0
+    count, step = None, 0
     while True:
         seen = Observation()
         nxt = _star(_star(now, True), False)
-        nxt = scratch.write(nxt.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 32)).alias("h")), f"edges{step}")
-        got = (seen.get["n"], seen.get["h"])
+        nxt = scratch.write(nxt.observe(seen, F.count(F.lit(1)).alias("n")), f"edges{step}")
+        n = seen.get["n"]
+        same = n == count and nxt.join(now, ["u", "v"], "left_anti").isEmpty()  # as many and none new: the same edges
         if step:
             scratch.drop(f"edges{step - 1}")
-        if got == mark:
+        if same:
             break
-        now, mark, step = nxt, got, step + 1
+        now, count, step = nxt, n, step + 1
     return nxt.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(nxt.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

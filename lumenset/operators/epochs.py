@@ -72,6 +72,38 @@ def with_summary(log: DataFrame, summary: DataFrame) -> DataFrame:
     return out.select("run", F.coalesce("best_val_acc", "__best").alias("best_val_acc"), F.coalesce(F.col("epochs_trained").cast("long"), "__n").alias("epochs_trained"))
 
 
+def comparison(log: DataFrame, summary: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row for each logged run: ``best_val_acc`` and ``epochs_trained`` (from the summary if it has them), ``gap`` of the last epoch, ``accuracy``, ``f1_macro`` and ``f1_0`` to ``f1_2`` of its
+    evaluation (NULL without one), and ``rank`` by best validation accuracy, ties by name.
+
+    ``counts``: the cube of predictions. Runs without a log are left out.
+    """
+    from lumenset.operators import evaluation
+
+    per_class = evaluation.class_report(counts).groupBy("run").agg(*[F.max(F.when(F.col("label") == k, F.col("f1"))).alias(f"f1_{k}") for k in range(3)])
+    out = with_summary(log, summary).join(overfit_gap(log), "run").join(evaluation.run_scores(counts).select("run", "accuracy", "f1_macro"), "run", "left").join(per_class, "run", "left")
+    ranked = grouped_rank(out.withColumn("__s", F.coalesce("best_val_acc", F.lit(0.0))), [], [F.col("__s").desc(), F.col("run")], "rank")
+    return ranked.drop("__s")
+
+
+def bars(runs: DataFrame, score: str) -> DataFrame:
+    """(``run``, score, ``position``): runs that have the score, from the lowest bar to the highest, ties by name."""
+    ranked = grouped_rank(runs.select("run", score).where(F.col(score).isNotNull()), [], [F.col(score), F.col("run")], "position")
+    return ranked.withColumn("position", F.col("position") - 1)
+
+
+def sweep_table(summary: DataFrame, counts: DataFrame) -> DataFrame:
+    """The ranked table of a sweep over class weights: ``rank``, ``shown``, ``weights`` as text, ``best_val_acc`` and the F1 scores of each configuration.
+
+    ``summary``: ``run``, ``weights`` (array), ``best_val_acc``, ``position``. A configuration that was not evaluated has no F1 scores, one that was not trained ranks last.
+    """
+    from lumenset.operators import evaluation
+
+    per_class = evaluation.class_report(counts).groupBy("run").agg(F.round(F.avg("f1"), 6).alias("f1_macro"), *[F.max(F.when(F.col("label") == k, F.col("f1"))).alias(f"f1_{n}") for k, n in enumerate(("real", "ai_gen", "ai_edit"))])
+    text = F.concat(F.lit("["), F.array_join(F.transform("weights", lambda w: w.cast("string")), ","), F.lit("]"))
+    return leaderboard(summary.join(per_class, "run", "left").withColumn("weights", F.coalesce(text, F.lit("?"))))
+
+
 def summary_defaults(json_text: Column) -> list[Column]:
     """Fields of a run summary with the defaults of older generations; text that is no JSON gives the defaults."""
     get = lambda p: F.try_variant_get(F.try_parse_json(json_text), f"$.config.{p}", "string")

@@ -89,6 +89,38 @@ def merged(old: DataFrame, new: DataFrame, blank_is_key: bool = False) -> DataFr
     return out.withColumnRenamed("__from", "origin")
 
 
+def merged_folders(folders: list[dict[str, DataFrame]], blank_is_key: bool = False) -> dict[str, DataFrame]:
+    """The master manifests of many artifact folders: for each kind of manifest (such as ``sampled`` and ``export``) the rows whose digests came first.
+
+    ``folders``: one dict of manifests by kind for each folder, in order; within a folder kinds count in the order of its dict, then ``row_idx``.
+    One set of digests holds for all kinds, so a digest kept as sampled is not kept as exported again. Rows without any digest are all kept, or with
+    ``blank_is_key`` collapse into one. Columns that a folder lacks are NULL; each result has ``folder``, its place in the list. No folders give an empty dict.
+    """
+    kinds = list(dict.fromkeys(k for f in folders for k in f))
+    tagged = [(k, df.withColumn("folder", F.lit(i)).withColumn("__turn", F.lit(j))) for i, f in enumerate(folders) for j, (k, df) in enumerate(f.items())]
+    if not tagged:
+        return {}
+    digest = F.struct(F.coalesce("md5_hash", F.lit("")).alias("m"), F.coalesce("sha256", F.lit("")).alias("s"))
+    keys = [df.select("folder", "__turn", F.col("row_idx").alias("__row"), digest.alias("__key")) for _, df in tagged]
+    every = keys[0]
+    for more in keys[1:]:
+        every = every.unionByName(more)
+    blank = (F.col("__key.m") == "") & (F.col("__key.s") == "")
+    counted = every if blank_is_key else every.where(~blank)
+    first = counted.groupBy("__key").agg(F.min(F.struct("folder", "__turn", "__row")).alias("w")).select("w.*")
+    out = {}
+    for kind in kinds:
+        rows = None
+        for k, df in tagged:
+            if k == kind:
+                rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)
+        kept = rows.join(first, (rows["folder"] == first["folder"]) & (rows["__turn"] == first["__turn"]) & (rows["row_idx"] == first["__row"]), "left_semi")
+        if not blank_is_key:
+            kept = kept.unionByName(rows.where("coalesce(md5_hash, '') = '' and coalesce(sha256, '') = ''"))
+        out[kind] = kept.drop("__turn")
+    return out
+
+
 def patched(rows: DataFrame, changes: DataFrame, key: str = "export_path") -> DataFrame:
     """Rows with new path, width and height where ``changes`` (``old``, ``new``, ``new_width``, ``new_height``) has the key, and without ``low_resolution`` there.
 
@@ -113,6 +145,11 @@ def moved_path(path: Column, root: str, new_root: str, suffix: str | None = None
     return F.regexp_replace(out, r"\.[^./]*$", suffix) if suffix else out
 
 
+def preview(plan: DataFrame, order: str, n: int = 5) -> DataFrame:
+    """The first ``n`` rows of what a dry run would do."""
+    return plan.orderBy(order).limit(n)
+
+
 def pending(inputs: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Inputs whose output is not there yet."""
     return inputs.join(existing.select(key), key, "left_anti")

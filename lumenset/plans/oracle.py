@@ -44,13 +44,14 @@ _EXACT = f"""exact AS (SELECT * FROM m WHERE md5_hash IS NULL UNION ALL
 
 
 def _near(src: str) -> str:
-    """Components of near hashes within buckets of four digits, over the rows of ``src``."""
+    """Components of near hashes within buckets of four digits, over the rows of ``src``. A text that is no hexadecimal number tells nothing, so rows that share one are not alike."""
     return f"""hs AS (SELECT DISTINCT phash AS h, substr(phash, 1, 4) AS b, ('0x' || phash)::UBIGINT AS v FROM {src} WHERE regexp_full_match(phash, '[0-9a-f]{{16}}')),
       np AS (SELECT x.b AS bucket, x.h AS h1, y.h AS h2, bit_count(xor(x.v, y.v))::INTEGER AS distance FROM hs x JOIN hs y ON x.b = y.b AND x.h < y.h AND bit_count(xor(x.v, y.v)) <= 8),
       ways AS (SELECT h1 AS a, h2 AS b FROM np UNION ALL SELECT h2, h1 FROM np),
       reach(a, z) AS (SELECT DISTINCT a, a FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.z = w.a),
       comp AS (SELECT a, min(z) AS c FROM reach GROUP BY a),
-      clu AS (SELECT s.*, CASE WHEN length(phash) >= 4 THEN coalesce(c, phash) END AS cluster_key FROM {src} s LEFT JOIN comp ON a = phash)"""
+      marks AS (SELECT phash AS mark FROM {src} WHERE NOT regexp_full_match(phash, '[0-9a-f]+') GROUP BY 1 HAVING count(*) > 1),
+      clu AS (SELECT s.*, CASE WHEN length(phash) >= 4 AND mark IS NULL THEN coalesce(c, phash) END AS cluster_key FROM {src} s LEFT JOIN comp ON a = phash LEFT JOIN marks ON mark = phash)"""
 
 
 _SINGLES = "single AS (SELECT * REPLACE (coalesce(cluster_key, 'path:' || path) AS cluster_key) FROM clu)"
@@ -169,14 +170,17 @@ def _dedup_sql() -> dict[str, str]:
     return {
         "exact_dedup_kept": f"WITH {m}, {_EXACT} SELECT row_idx, path, md5_hash FROM exact",
         "exact_dedup_removed": f"WITH {m}, {_EXACT} SELECT row_idx, path, md5_hash FROM m WHERE row_idx NOT IN (SELECT row_idx FROM exact)",
-        "dedup_conflicts": f"""WITH {m}, g AS (SELECT md5_hash FROM m WHERE md5_hash IS NOT NULL GROUP BY 1 HAVING count(DISTINCT coalesce(class_label, '')) > 1),
+        "dedup_conflicts": f"""WITH RECURSIVE {m}, {_EXACT}, {_near("exact")}, g AS (SELECT md5_hash FROM m WHERE md5_hash IS NOT NULL GROUP BY 1 HAVING count(DISTINCT coalesce(class_label, '')) > 1),
             h AS (SELECT m.*, row_number() OVER (PARTITION BY md5_hash ORDER BY {_PREF}) AS rn FROM m WHERE md5_hash IN (SELECT md5_hash FROM g)),
             l AS (SELECT md5_hash, array_to_string(list_sort(list_distinct(list(path))), '|') AS conflict_paths, array_to_string(list_sort(list_distinct(list(class_label))), '|') AS conflict_labels FROM h GROUP BY 1)
             SELECT x.row_idx, 'exact' AS conflict_type, md5_hash AS conflict_hash, conflict_paths, conflict_labels, w.path AS winner_path, w.quality_score AS winner_quality_score, concat_ws('x', w.width, w.height) AS winner_resolution
-            FROM h x JOIN l USING (md5_hash) JOIN h w USING (md5_hash) WHERE x.rn > 1 AND w.rn = 1""",
+            FROM h x JOIN l USING (md5_hash) JOIN h w USING (md5_hash) WHERE x.rn > 1 AND w.rn = 1
+            UNION ALL SELECT x.row_idx, 'near', x.phash, array_to_string(list_sort(list_distinct(y.paths)), '|'), array_to_string(list_sort(list_distinct(y.labels)), '|'), y.w.path, y.w.quality_score, concat_ws('x', y.w.width, y.w.height)
+            FROM clu x JOIN (SELECT cluster_key, list(path) AS paths, list(class_label) AS labels, first(struct_pack(row_idx, path, quality_score, width, height) ORDER BY {_PREF}) AS w FROM clu WHERE cluster_key IS NOT NULL
+                             GROUP BY 1 HAVING count(DISTINCT coalesce(class_label, '')) > 1) y USING (cluster_key) WHERE x.row_idx <> y.w.row_idx""",
         "dedup_summary": f"""WITH RECURSIVE {m}, {_EXACT}, {_near("exact")}, kept AS (SELECT count(*) FILTER (cluster_key IS NULL) + count(DISTINCT cluster_key) AS n FROM clu),
             g AS (SELECT md5_hash, count(*) AS n FROM m WHERE md5_hash IS NOT NULL GROUP BY 1 HAVING count(DISTINCT coalesce(class_label, '')) > 1)
-            SELECT (SELECT count(*) FROM m) AS total, (SELECT n FROM kept) AS kept, (SELECT count(*) FROM m) - (SELECT count(*) FROM exact) AS exact_removed, (SELECT count(*) FROM exact) - (SELECT n FROM kept) AS near_removed, (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM g) AS cross_class""",
+            SELECT (SELECT count(*) FROM m) AS total, (SELECT n FROM kept) AS kept, (SELECT count(*) FROM m) - (SELECT count(*) FROM exact) AS exact_removed, (SELECT count(*) FROM exact) - (SELECT n FROM kept) AS near_removed, (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM g) + (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM clu WHERE cluster_key IS NOT NULL GROUP BY cluster_key HAVING count(DISTINCT coalesce(class_label, '')) > 1)) AS cross_class""",
         "phash_vectors": """WITH v AS (SELECT vec_id, embedding AS e, list_sort(embedding) AS s FROM embeddings), t AS (SELECT vec_id, e, (s[32]::DOUBLE + s[33]::DOUBLE) / 2 AS m FROM v)
             SELECT vec_id, array_to_string(list_transform(range(0, 16), lambda i: format('{:x}', 8 * (e[4 * i + 1] > m)::INT + 4 * (e[4 * i + 2] > m)::INT + 2 * (e[4 * i + 3] > m)::INT + (e[4 * i + 4] > m)::INT)), '') AS hash FROM t""",
         "hamming_pairs": """WITH h AS (SELECT row_idx, CASE WHEN regexp_full_match(lower(trim(phash)), '[0-9a-f]{16}') THEN ('0x' || lower(trim(phash)))::UBIGINT END AS v FROM deduped_index)
@@ -248,8 +252,8 @@ def _audit_sql() -> dict[str, str]:
         "quality_histogram": f"""WITH {_m()}, b(bin, lo, hi) AS (VALUES (0, 0::DOUBLE, 0.5::DOUBLE), (1, 0.5, 0.7), (2, 0.7, 0.8), (3, 0.8, 0.9), (4, 0.9, 0.95), (5, 0.95, 1.0))
             SELECT bin, lo, hi, count(quality_score) AS n FROM b LEFT JOIN m ON quality_score >= lo AND (quality_score < hi OR (bin = 5 AND quality_score = hi)) GROUP BY 1, 2, 3""",
         "anomalies": f"WITH {_ME} {_issues('m', 'exports/v2')}",
-        "audit_verdict": f"""WITH {_ME}, {valid}, {_COUNTS.format(src="v")}, {_SHARE}, {leak_v}, {_PAIRS},
-            f AS (SELECT (SELECT count(*) FROM m) AS rows, (SELECT count(*) FROM m) - (SELECT count(*) FROM v) AS malformed, (SELECT count(*) FROM v WHERE quality_score < 0.7) AS low_quality, (SELECT count(*) FROM pairs) AS leaked, (SELECT count(*) FROM low) AS warnings,
+        "audit_verdict": f"""WITH {_ME}, {valid}, {_COUNTS.format(src="v")}, {_SHARE}, {leak_v}, leaked AS (SELECT kind, key FROM keys GROUP BY 1, 2 HAVING count(DISTINCT split) > 1),
+            f AS (SELECT (SELECT count(*) FROM m) AS rows, (SELECT count(*) FROM m) - (SELECT count(*) FROM v) AS malformed, (SELECT count(*) FROM v WHERE quality_score < 0.7) AS low_quality, (SELECT count(*) FROM leaked WHERE kind = 'hash') AS leaked, (SELECT count(*) FROM low) + (SELECT count(DISTINCT kind) FROM leaked) AS warnings,
               (SELECT count(*) FROM ({_issues("v", None)})) AS anomalies, (SELECT count(*) FROM (SELECT export_path FROM v GROUP BY 1 HAVING count(*) > 1)) + (SELECT count(*) FROM (SELECT path FROM v GROUP BY 1 HAVING count(*) > 1)) AS repeated)
             SELECT *, CASE WHEN rows - malformed = 0 OR malformed * 100.0 / rows > 1 OR leaked > 0 THEN 'FAIL' WHEN warnings + anomalies + malformed + repeated > 0 OR low_quality * 100.0 / (rows - malformed) > 10 THEN 'WARN' ELSE 'PASS' END AS verdict FROM f""",
         "duplicate_paths": "SELECT export_path, count(*) AS n FROM export_index WHERE export_path IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
@@ -308,17 +312,74 @@ def _kernel_sql() -> dict[str, str]:
         "cross_entropy": f"WITH {_E}, {_LOSS} SELECT t, round(sum(ce) / sum(w[t + 1]), 6) AS loss, round(avg(plain), 6) AS plain FROM ce GROUP BY t",
         "focal_loss": f"WITH {_E}, {_LOSS} SELECT vec_id, round(pow(1 - exp(-ce), 3) * ce, 6) AS loss FROM ce",
         "gem_pool": f"WITH {_E} SELECT vec_id, round(pow(list_avg(list_transform(e, lambda v: pow(greatest(v, 1e-6), 3))), 1.0 / 3), 6) AS gem FROM e",
-        "channel_concat_pad": _flat("list_concat(e[1:8], [0::DOUBLE, 0, 0, 0])", "value"),
+        "channel_concat_pad": _flat("list_concat(e, list_transform(range(0, 32), lambda i: 0::DOUBLE))", "value"),
         "cam_from_arrays": f"WITH {_E}, c AS (SELECT vec_id, {cam} AS c FROM e), a AS (SELECT vec_id, {minmax.format('c')} AS a FROM c) SELECT vec_id, (i - 1)::INTEGER AS pos, round(a[i], 6) AS cam FROM (SELECT vec_id, a, unnest(range(1, 17)) AS i FROM a)",
-        "overlay_blend": _flat("list_transform(range(1, 9), lambda i: 0.6::DOUBLE * e[i] + 0.4::DOUBLE * e[8 + i])", "value"),
-        "normalize_vector": _flat("list_transform(range(1, 7), lambda i: (e[i] / 255 - [0.485::DOUBLE, 0.456, 0.406][(i - 1) % 3 + 1]) / [0.229::DOUBLE, 0.224, 0.225][(i - 1) % 3 + 1])", "value"),
-        "minmax_group": _flat(minmax.format("e[1:8]"), "value"),
-        "flip_and_brighten": _flat("list_transform(list_concat(list_reverse(e[1:4]), list_reverse(e[5:8])), lambda v: least(255, greatest(0, v * 100 + 20)))", "value"),
+        "overlay_blend": _flat("list_transform(range(1, 33), lambda i: 0.6::DOUBLE * e[i] + 0.4::DOUBLE * e[32 + i])", "value"),
+        "normalize_vector": _flat("list_transform(range(1, 65), lambda i: (e[i] / 255 - [0.485::DOUBLE, 0.456, 0.406][(i - 1) % 3 + 1]) / [0.229::DOUBLE, 0.224, 0.225][(i - 1) % 3 + 1])", "value"),
+        "minmax_group": _flat(minmax.format("e"), "value"),
+        "flip_and_brighten": _flat("list_transform(list_transform(range(0, 64), lambda i: e[(i // 8) * 8 + 8 - i % 8]), lambda v: least(255, greatest(0, v * 100 + 20)))", "value"),
         "brightness_predictor": f"""WITH {_E}, m AS (SELECT vec_id, least(1, greatest(0, 0.2::DOUBLE + 0.6::DOUBLE * (list_sum(list_transform(e, lambda v: abs(v))) * 4) / 255)) AS r FROM e), a AS (SELECT vec_id, [r, 0.6::DOUBLE * (1 - r), 0.4::DOUBLE * (1 - r)] AS a FROM m)
             SELECT vec_id, (i - 1)::INTEGER AS pos, round(a[i] / list_sum(a), 6) AS p FROM (SELECT vec_id, a, unnest(range(1, 4)) AS i FROM a)""",
-        "srm_row": _flat("list_transform(range(1, 9), lambda i: -0.5::DOUBLE * CASE WHEN i > 1 THEN e[i - 1] ELSE 0 END + e[i] - 0.5::DOUBLE * CASE WHEN i < 8 THEN e[i + 1] ELSE 0 END)", "residual"),
+        "srm_row": _flat("list_transform(range(1, 65), lambda i: -0.5::DOUBLE * CASE WHEN i > 1 THEN e[i - 1] ELSE 0 END + e[i] - 0.5::DOUBLE * CASE WHEN i < 64 THEN e[i + 1] ELSE 0 END)", "residual"),
+        "srm_residual": f"""WITH {_E}, k AS (SELECT kn, dy, dx, w FROM (VALUES (0, [0, 0, -1, 0, 0, 0, -1, -2, -1, 0, -1, -2, 16, -2, -1, 0, -1, -2, -1, 0, 0, 0, -1, 0, 0], 8), (1, [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, -1, 2, -1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0], 2), (2, [0, 0, 0, 0, 0, 0, 0, -1, 0, 0, 0, 0, 2, 0, 0, 0, 0, -1, 0, 0, 0, 0, 0, 0, 0], 2)) v(kn, ws, d),
+              LATERAL (SELECT i // 5 - 2 AS dy, i % 5 - 2 AS dx, ws[i + 1] / d AS w FROM range(0, 25) r(i)) WHERE w <> 0),
+            p AS (SELECT vec_id, e, y, x FROM e, range(0, 8) a(y), range(0, 8) b(x))
+            SELECT vec_id, (kn * 64 + y * 8 + x)::INTEGER AS pos, round(least(2, greatest(-2, sum(w * CASE WHEN y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7 THEN e[(y + dy) * 8 + x + dx + 1] ELSE 0 END))), 6) AS residual FROM p, k GROUP BY vec_id, kn, y, x""",
+        "fft_magnitude": f"""WITH {_E}, v AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, e[i + 1] AS z FROM e, range(0, 64) r(i)), f AS (SELECT i // 8 AS fy, i % 8 AS fx FROM range(0, 64) r(i)),
+            s AS (SELECT vec_id, fy, fx, sum(z * cos(2 * pi() * (fy * y + fx * x) / 8)) AS re, sum(z * sin(2 * pi() * (fy * y + fx * x) / 8)) AS im FROM v, f GROUP BY ALL),
+            l AS (SELECT vec_id, (fy + 4) % 8 * 8 + (fx + 4) % 8 AS pos, ln(sqrt(re * re + im * im) + 1e-8) AS m FROM s)
+            SELECT vec_id, pos::INTEGER AS pos, round((m - min(m) OVER w) / (max(m) OVER w - min(m) OVER w + 1e-8), 6) AS magnitude FROM l WINDOW w AS (PARTITION BY vec_id)""",
+        "blur_score": f"""WITH {_E}, v AS (SELECT vec_id, e, i // 8 AS y, i % 8 AS x FROM e, range(0, 64) r(i)),
+            l AS (SELECT vec_id, e[abs(y - 1) * 8 + x + 1] + e[(7 - abs(6 - y)) * 8 + x + 1] + e[y * 8 + abs(x - 1) + 1] + e[y * 8 + (7 - abs(6 - x)) + 1] - 4 * e[y * 8 + x + 1] AS z FROM v)
+            SELECT vec_id, round(var_pop(z), 6) AS blur FROM l GROUP BY 1""",
+    }
+
+
+def _joined_sql() -> dict[str, str]:
+    """Merges of folders, round trips through files, tables of runs, and images of several planes."""
+    log_names = "CASE vec_id % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'purchase' WHEN 2 THEN 'view' ELSE 'other' END"
+    f1s = lambda names: ", ".join(f"max(f1) FILTER (label = {k}) AS f1_{n}" for k, n in enumerate(names))
+    report = _REPORT.replace("'run_' || (vec_id % 4)", log_names, 1)
+    kernels = """k AS (SELECT kn, dy, dx, w FROM (VALUES (0, [0, 0, -1, 0, 0, 0, -1, -2, -1, 0, -1, -2, 16, -2, -1, 0, -1, -2, -1, 0, 0, 0, -1, 0, 0], 8), (1, [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, -1, 2, -1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0], 2), (2, [0, 0, 0, 0, 0, 0, 0, -1, 0, 0, 0, 0, 2, 0, 0, 0, 0, -1, 0, 0, 0, 0, 0, 0, 0], 2)) v(kn, ws, d),
+              LATERAL (SELECT i // 5 - 2 AS dy, i % 5 - 2 AS dx, ws[i + 1] / d AS w FROM range(0, 25) r(i)) WHERE w <> 0)"""
+    mlp = lambda v: f"[greatest(0, 0.5::DOUBLE * {v}[1] - 0.25::DOUBLE * {v}[2] + 0.75::DOUBLE * {v}[3] + 0.1::DOUBLE * {v}[4]), greatest(0, 0.2::DOUBLE * {v}[1] + 0.3::DOUBLE * {v}[2] - 0.4::DOUBLE * {v}[3] + 0.6::DOUBLE * {v}[4])]"
+    cam = "list_transform(range(1, 17), lambda i: greatest(e[i] * list_avg(e[33:48]) + e[16 + i] * list_avg(e[49:64]), 0))"
+    jet = lambda at: f"least(1::DOUBLE, greatest(0::DOUBLE, 1.5::DOUBLE - abs(4 * heat - {at}))) * 255"
+    side = lambda t, f, k: f"SELECT {f} AS folder, '{k}' AS kind, row_idx, md5_hash, sha256 FROM {t}"
+    return {
+        "merge_many": f"""WITH {_m("sampled_index", name="a")}, {_m("export_index", name="b")}, {_m("deduped_index", name="c")}, {_m("split_index", name="x")},
+            u AS ({side("a", 0, "sampled")} UNION ALL {side("b", 0, "export")} UNION ALL {side("c", 1, "sampled")} UNION ALL {side("x", 1, "export")}),
+            r AS (SELECT *, row_number() OVER (PARTITION BY coalesce(md5_hash, ''), coalesce(sha256, '') ORDER BY folder, kind DESC, row_idx) AS k FROM u) SELECT kind, folder, row_idx FROM r WHERE k = 1 OR (md5_hash IS NULL AND sha256 IS NULL)""",
+        "dry_run_preview": _export_sql()["copy_plan"] + " ORDER BY r.path LIMIT 5",
+        "pair_list_head": "SELECT name FROM (SELECT n_name || '_' || n_regionkey AS name FROM nation UNION ALL SELECT n_regionkey || '_' || n_name FROM nation) ORDER BY name LIMIT 20",
+        "accuracy_bars": f"WITH {_CUBE}, a AS (SELECT run, round(sum(n) FILTER (y_true = y_pred) / sum(n), 6) AS accuracy FROM c GROUP BY 1) SELECT run, accuracy, row_number() OVER (ORDER BY accuracy, run) - 1 AS position FROM a",
+        "manifest_round_trip": f"""WITH {_m(extra=", resolution_ok")} SELECT row_idx, path, dataset_source, class_label, width, height, aspect_ratio, file_size_bytes, md5_hash, quality_score, phash, blur_score, resolution_ok,
+            CASE WHEN len(quality_flag) > 0 THEN array_to_string(quality_flag, '|') ELSE 'ok' END AS flags FROM m""",
+        "predictions_round_trip": f"WITH {_PRED} SELECT run, row_number() OVER (PARTITION BY run ORDER BY sample_id) - 1 AS sample_id, y_true, y_pred, count(*) OVER (PARTITION BY run) AS samples FROM p",
+        "epoch_logs_round_trip": f"WITH {_LOG} SELECT run, epoch, train_loss, val_acc FROM log",
+        "run_table": f"""WITH {_LOG}, {report}, s AS (SELECT run, round(avg(f1), 6) AS f1_macro, {f1s(range(3))} FROM rep GROUP BY 1), acc AS (SELECT run, round(sum(n) FILTER (y_true = y_pred) / sum(n), 6) AS accuracy FROM c GROUP BY 1),
+            b AS (SELECT run, max(val_acc) AS best_val_acc, CASE WHEN run <> 'click' THEN 12 ELSE count(*) END::BIGINT AS epochs_trained, round(arg_max(train_acc - val_acc, epoch), 6) AS gap FROM log GROUP BY run)
+            SELECT b.*, accuracy, f1_macro, f1_0, f1_1, f1_2, row_number() OVER (ORDER BY coalesce(best_val_acc, 0) DESC, run) AS rank FROM b LEFT JOIN s USING (run) LEFT JOIN acc USING (run)""",
+        "sweep_ranking": f"""WITH {_REPORT}, s AS (SELECT run, round(avg(f1), 6) AS f1_macro, {f1s(("real", "ai_gen", "ai_edit"))} FROM rep GROUP BY 1),
+            o AS (SELECT 'run_' || n_nationkey AS run, '[' || n_regionkey || '.5,1.0,2.5]' AS weights, CASE WHEN n_nationkey % 5 <> 0 THEN (n_nationkey % 7) / 10 END AS best_val_acc, n_nationkey AS position FROM nation),
+            r AS (SELECT *, row_number() OVER (ORDER BY coalesce(best_val_acc, 0) DESC, position) AS rank FROM o LEFT JOIN s USING (run))
+            SELECT rank, CASE WHEN rank = 1 THEN '*' ELSE '' END || run AS shown, weights, best_val_acc, f1_macro, f1_real, f1_ai_gen, f1_ai_edit FROM r""",
+        "srm_six_channels": f"""WITH {_E}, rgb AS (SELECT vec_id, list_concat(e, list_reverse(e), list_transform(e, lambda v: v * 0.5::DOUBLE)) AS a FROM e), g AS (SELECT vec_id, list_transform(range(1, 65), lambda i: (a[i] + a[64 + i] + a[128 + i]) / 3) AS e FROM rgb), {kernels},
+            p AS (SELECT vec_id, e, y, x FROM g, range(0, 8) a(y), range(0, 8) b(x))
+            SELECT vec_id, (i - 1)::INTEGER AS pos, round(a[i], 6) AS value FROM (SELECT vec_id, a, unnest(range(1, 193)) AS i FROM rgb) UNION ALL
+            SELECT vec_id, (192 + kn * 64 + y * 8 + x)::INTEGER, round(least(2, greatest(-2, sum(w * CASE WHEN y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7 THEN e[(y + dy) * 8 + x + dx + 1] ELSE 0 END))), 6) FROM p, k GROUP BY vec_id, kn, y, x""",
+        "channel_attention": f"""WITH {_E}, s AS (SELECT vec_id, e, list_transform(range(0, 4), lambda c: list_avg(e[c * 16 + 1 : c * 16 + 16])) AS m, list_transform(range(0, 4), lambda c: list_max(e[c * 16 + 1 : c * 16 + 16])) AS x FROM e),
+            h AS (SELECT vec_id, e, {mlp("m")} AS hm, {mlp("x")} AS hx FROM s), w AS (SELECT *, [[0.3::DOUBLE, 0.7], [0.5, -0.2], [-0.6, 0.4], [0.1, 0.9]] AS w2 FROM h)
+            SELECT vec_id, (i - 1)::INTEGER AS pos, round(e[i] / (1 + exp(-(w2[(i - 1) // 16 + 1][1] * (hm[1] + hx[1]) + w2[(i - 1) // 16 + 1][2] * (hm[2] + hx[2])))), 6) AS value FROM (SELECT *, unnest(range(1, 65)) AS i FROM w)""",
+        "cam_overlay": f"""WITH {_E}, c AS (SELECT vec_id, e, (list_position(e, list_max(e)) - 1)::INTEGER AS top, {cam} AS c FROM e),
+            m AS (SELECT vec_id, e, top, list_transform(c, lambda v: CASE WHEN list_max(c) - list_min(c) > 1e-8 THEN (v - list_min(c)) / (list_max(c) - list_min(c)) ELSE 0 END) AS c FROM c),
+            spots AS (SELECT i, least(3::DOUBLE, greatest(0::DOUBLE, (i // 8 + 0.5::DOUBLE) * 0.5::DOUBLE - 0.5::DOUBLE)) AS y, least(3::DOUBLE, greatest(0::DOUBLE, (i % 8 + 0.5::DOUBLE) * 0.5::DOUBLE - 0.5::DOUBLE)) AS x FROM range(0, 64) r(i)),
+            w AS (SELECT i, floor(y)::INTEGER AS y0, least(3, floor(y)::INTEGER + 1) AS y1, y - floor(y) AS fy, floor(x)::INTEGER AS x0, least(3, floor(x)::INTEGER + 1) AS x1, x - floor(x) AS fx FROM spots),
+            h AS (SELECT vec_id, top, i, e[i + 1] AS v, (c[y0 * 4 + x0 + 1] * (1 - fx) + c[y0 * 4 + x1 + 1] * fx) * (1 - fy) + (c[y1 * 4 + x0 + 1] * (1 - fx) + c[y1 * 4 + x1 + 1] * fx) * fy AS heat FROM m, w)
+            SELECT vec_id, top, (3 * i)::INTEGER AS pos, round(0.5::DOUBLE * abs(v) * 100 + 0.5::DOUBLE * {jet(3)}, 4) AS value FROM h UNION ALL SELECT vec_id, top, (3 * i + 1)::INTEGER, round(0.5::DOUBLE * abs(v) * 50 + 0.5::DOUBLE * {jet(2)}, 4) FROM h
+            UNION ALL SELECT vec_id, top, (3 * i + 2)::INTEGER, round(10::DOUBLE + 0.5::DOUBLE * {jet(1)}, 4) FROM h""",
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return _manifest_sql() | _dedup_sql() | _sample_sql() | _export_sql() | _audit_sql() | _evaluation_sql() | _epoch_sql() | _kernel_sql() | _drift_sql()
+    return _manifest_sql() | _dedup_sql() | _sample_sql() | _export_sql() | _audit_sql() | _evaluation_sql() | _epoch_sql() | _kernel_sql() | _drift_sql() | _joined_sql()

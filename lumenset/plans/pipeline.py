@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenset.config import Config
-from lumenset.functions import images
 from lumenset.operators import audit, dedup, export, manifest, quality, sample, split
 from lumenset.schema import normal_form
 from lumenset.sources import files, sinks
@@ -16,11 +15,11 @@ from lumenset.sources import files, sinks
 
 def with_pixels(spark: SparkSession, rows: DataFrame, roots: list[str], project_root: str) -> DataFrame:
     """Adds blur score, perceptual hash and whether the image is corrupt, or of a format that the JVM has no reader for (``undecoded``)."""
-    px = files.pixels(spark, roots[0]) if len(roots) == 1 else None
-    for r in roots if px is None else []:
-        px = files.pixels(spark, r) if px is None else px.unionByName(files.pixels(spark, r))
-    plane = px.select(manifest.relative_source(F.col("path"), project_root).alias("path"), files.grey(F.col("data"), F.col("channels")).alias("plane"), F.col("height").alias("h"), F.col("width").alias("w"))
-    seen = plane.select("path", images.blur_score("plane", "h", "w").alias("blur_score"), images.phash("plane", "h", "w").alias("seen_hash"))
+    each = [files.blur_and_hash(spark, r) for r in roots]
+    seen = each[0]
+    for more in each[1:]:
+        seen = seen.unionByName(more)
+    seen = seen.withColumn("path", manifest.relative_source(F.col("path"), project_root))
     out = rows.drop("blur_score").join(seen.dropDuplicates(["path"]), "path", "left")
     unread = F.col("blur_score").isNull()
     readable = F.coalesce(F.upper("format").isin(*files.readable_formats(spark)), F.lit(True))
@@ -89,10 +88,12 @@ def run(spark: SparkSession, config: Config, artifacts: str, copy: bool = True,
     report = sinks.audit_report(planned, config, found.get("missing", 0), sum(damaged.values()))
     report["not_decoded"] = rows.where(F.array_contains("quality_flag", "not_decoded")).count()
     report["integrity"] = {"missing": found.get("missing", 0), **damaged}
-    sinks.write_json(report, f"{artifacts}/audit_report.json")
+    sinks.write_json(spark, report, f"{artifacts}/audit_report.json")
+    for name, table in sinks.audit_tables(planned, config).items():
+        sinks.replace(table, f"{artifacts}/{name}")
     about = sinks.manifest_report(planned, asdict(config), config.dataset_version)
-    sinks.write_json(about, f"{artifacts}/manifest.json")
-    sinks.write_readme(about, f"{artifacts}/README.md")
+    sinks.write_json(spark, about, f"{artifacts}/manifest.json")
+    sinks.write_readme(spark, about, f"{artifacts}/README.md")
     if config.strict_mode and report["verdict"] == "FAIL":
         raise RuntimeError("the audit failed")
     return report

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from lumenset.functions import images, kernels
 from lumenset.operators import audit, dedup, epochs, evaluation, export, manifest, quality, sample, split
 from lumenset.operators.drift import drift
 from lumenset.schema import normal_form
+from lumenset.scratch import Scratch
+from lumenset.sources import sinks, tables
 
 RULES = ImageRules(compression_heuristic=True)
 TARGETS = {"real": 400, "ai_generated": 300, "ai_edited": 200}
@@ -169,6 +172,10 @@ def pair_list_explode(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.explode(manifest.pair_names(F.col("j"))).alias("name"))
 
 
+def pair_list_head(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.preview(pair_list_explode(spark, d), "name", 20)
+
+
 def hash_split(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "deduped_index").select("row_idx", sample.hash_split(F.col("path"), {"train": 0.7, "val": 0.15, "test": 0.15}).alias("split"))
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("row_idx").alias("sum_idx"))
@@ -223,6 +230,17 @@ def merge_manifests(spark: SparkSession, d: str) -> DataFrame:
     return manifest.merged(_m(spark, d, "export_index"), _m(spark, d, "split_index")).select("origin", "row_idx")
 
 
+def merge_many(spark: SparkSession, d: str) -> DataFrame:
+    """Two artifact folders, each with what was sampled and what was exported."""
+    folders = [{"sampled": _m(spark, d, "sampled_index"), "export": _m(spark, d, "export_index")}, {"sampled": _m(spark, d), "export": _m(spark, d, "split_index")}]
+    parts = [df.select(F.lit(k).alias("kind"), "folder", "row_idx") for k, df in manifest.merged_folders(folders).items()]
+    return parts[0].unionByName(parts[1])
+
+
+def dry_run_preview(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.preview(copy_plan(spark, d), "path")
+
+
 def manifest_patch(spark: SparkSession, d: str) -> DataFrame:
     rows = _m(spark, d, "export_index")
     small = rows.where(F.array_contains("quality_flag", "low_resolution"))
@@ -315,6 +333,40 @@ def present_labels(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.present_labels(_predictions(spark, d))
 
 
+def accuracy_bars(spark: SparkSession, d: str) -> DataFrame:
+    return epochs.bars(evaluation.run_scores(evaluation.cube(_predictions(spark, d))), "accuracy")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one."""
+    return Scratch(spark, name).root
+
+
+def manifest_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Written as CSV and read again in the types of its columns."""
+    place = _folder(spark, "manifest-csv")
+    sinks.write_manifest(_m(spark, d).drop("indexed_at"), place)
+    back = normal_form(tables.read_manifest(spark, place))
+    return back.select(F.col("row_idx").cast("long").alias("row_idx"), "path", "dataset_source", "class_label", "width", "height", "aspect_ratio", "file_size_bytes", "md5_hash", "quality_score", "phash", "blur_score", "resolution_ok", quality.flag_text(F.col("quality_flag")).alias("flags"))
+
+
+def predictions_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Written as two arrays for each run and read again; the position stands for the sample."""
+    place = _folder(spark, "predictions")
+    written = Scratch(spark, "written").write(sinks.write_predictions(_predictions(spark, d), place.removeprefix("file://")), "runs")
+    return tables.read_predictions(spark, place).join(written, "run").select("run", "sample_id", "y_true", "y_pred", "samples")
+
+
+def epoch_logs_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of CSV files for each run."""
+    place = _folder(spark, "logs")
+    log = _log(spark, d)
+    blank = [F.lit(None).cast("double").alias(c) for c in ("val_f1_macro", "f1_real", "f1_ai_gen", "f1_ai_edit")]
+    log.select("run", "epoch", "train_loss", "train_acc", "val_loss", "val_acc", *blank).write.partitionBy("run").option("header", True).csv(place)
+    back = tables.read_epochs(spark, f"{place}/*/*.csv").withColumn("run", F.regexp_replace("run", "^run=", ""))
+    return back.select("run", "epoch", "train_loss", "val_acc")
+
+
 # Epoch logs and runs
 
 
@@ -405,6 +457,24 @@ def name_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return epochs.name_conflicts(t)
 
 
+def _run_counts(spark: SparkSession, d: str) -> DataFrame:
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in zip(("run_0", "run_1", "run_2"), ("click", "purchase", "view")) for x in kv]), F.col("run"))
+    return evaluation.cube(_predictions(spark, d).withColumn("run", F.coalesce(named, F.lit("other"))))
+
+
+def run_table(spark: SparkSession, d: str) -> DataFrame:
+    log = _log(spark, d)
+    some = log.select("run").distinct().where("run <> 'click'").withColumn("best_val_acc", F.lit(None).cast("double")).withColumn("epochs_trained", F.lit(12))
+    return epochs.comparison(log, some, _run_counts(spark, d))
+
+
+def sweep_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Configurations named after the nations; four of them were evaluated."""
+    k = F.col("n_nationkey")
+    runs = _t(spark, d, "nation").select(F.concat(F.lit("run_"), k.cast("string")).alias("run"), F.array(F.col("n_regionkey") + 0.5, F.lit(1.0), F.lit(2.5)).alias("weights"), F.when(k % 5 != 0, (k % 7) / 10).alias("best_val_acc"), k.alias("position"))
+    return epochs.sweep_table(runs, evaluation.cube(_predictions(spark, d))).select("rank", "shown", "weights", "best_val_acc", "f1_macro", "f1_real", "f1_ai_gen", "f1_ai_edit")
+
+
 def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
     return _log(spark, d).select("run", "epoch", F.round(epochs.cosine_restarts(F.col("epoch") - 1, 0.001, 5), 9).alias("rate"))
 
@@ -451,7 +521,7 @@ def gem_pool(spark: SparkSession, d: str) -> DataFrame:
 
 
 def channel_concat_pad(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(_e(spark, d), kernels.concat_channels([F.slice("e", 1, 4), F.slice("e", 5, 4)], 3), "value")
+    return _flat(_e(spark, d), kernels.concat_channels([F.slice("e", 1, 32), F.slice("e", 33, 32)], 3), "value")
 
 
 def cam_from_arrays(spark: SparkSession, d: str) -> DataFrame:
@@ -461,19 +531,19 @@ def cam_from_arrays(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlay_blend(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(_e(spark, d), kernels.blend(F.slice("e", 1, 8), F.slice("e", 9, 8)), "value")
+    return _flat(_e(spark, d), kernels.blend(F.slice("e", 1, 32), F.slice("e", 33, 32)), "value")
 
 
 def normalize_vector(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(_e(spark, d), kernels.normalise(F.slice("e", 1, 6)), "value")
+    return _flat(_e(spark, d), kernels.normalise(F.col("e")), "value")
 
 
 def minmax_group(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(_e(spark, d), kernels.minmax(F.slice("e", 1, 8)), "value")
+    return _flat(_e(spark, d), kernels.minmax(F.col("e")), "value")
 
 
 def flip_and_brighten(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(_e(spark, d), kernels.brightness(kernels.flip_rows(F.slice("e", 1, 8), 4), 100.0, 20.0), "value")
+    return _flat(_e(spark, d), kernels.brightness(kernels.flip_rows(F.col("e"), 8), 100.0, 20.0), "value")
 
 
 def brightness_predictor(spark: SparkSession, d: str) -> DataFrame:
@@ -482,7 +552,7 @@ def brightness_predictor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def srm_row(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(_e(spark, d), kernels.correlate_1d(F.slice("e", 1, 8), (-0.5, 1.0, -0.5)), "residual")
+    return _flat(_e(spark, d), kernels.correlate_1d(F.col("e"), (-0.5, 1.0, -0.5)), "residual")
 
 
 def _plane(spark: SparkSession, d: str) -> DataFrame:
@@ -501,6 +571,32 @@ def blur_score(spark: SparkSession, d: str) -> DataFrame:
     return _plane(spark, d).select("vec_id", F.round(images.blur_score("e", "h", "w"), 6).alias("blur"))
 
 
+def srm_six_channels(spark: SparkSession, d: str) -> DataFrame:
+    """Three planes made of each vector: as it is, backwards, and halved."""
+    rgb = F.concat("e", F.reverse("e"), F.transform("e", lambda v: v * 0.5))
+    return _flat(_plane(spark, d), images.planes_function(images.srm_six_channels, 3)(rgb, "h", "w"), "value")
+
+
+#: Weights of the attention query, two hidden units for four channels.
+ATTENTION = (((0.5, -0.25, 0.75, 0.1), (0.2, 0.3, -0.4, 0.6)), ((0.3, 0.7), (0.5, -0.2), (-0.6, 0.4), (0.1, 0.9)))
+
+
+def channel_attention(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector as four maps of 4 x 4."""
+    gate = images.attention(*(np.array(w) for w in ATTENTION))
+    return _flat(_e(spark, d), gate("e", F.lit(4), F.lit(4)), "value")
+
+
+def cam_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """The chain for one image: predicted class, activation map, and the map resized, coloured and laid over the image."""
+    maps = F.array(F.slice("e", 1, 16), F.slice("e", 17, 16))
+    grads = F.array(F.slice("e", 33, 16), F.slice("e", 49, 16))
+    image = F.flatten(F.transform("e", lambda v: F.array(F.abs(v) * 100, F.abs(v) * 50, F.lit(20.0))))
+    shown = kernels.heat_overlay(image, 8, 8, kernels.class_activation(maps, grads), 4, 4)
+    out = _e(spark, d).select("vec_id", kernels.argmax(F.col("e")).alias("top"), F.posexplode(shown).alias("pos", "v"))
+    return out.select("vec_id", "top", "pos", F.round("v", 4).alias("value"))
+
+
 # Schema drift
 
 
@@ -516,6 +612,7 @@ _NAMED = (
     flagship, index_manifest, quality_flags, quality_by_group, flag_frequency, quality_filter_counts, aspect_recomputed, path_parts, keyword_filter, ingest_filter, complete_rows,
     exact_dedup_kept, exact_dedup_removed, dedup_conflicts, dedup_summary, phash_vectors, hamming_pairs, near_dup_pairs, near_dup_components, near_dup_kept, cluster_stats, cluster_numbers,
     class_sample, global_cap_sample, label_quota_ingest, limit_resume, even_sample, pair_list_explode, hash_split, sized_split, greedy_split, split_report, leakage_check,
+    merge_many, dry_run_preview, pair_list_head, accuracy_bars, manifest_round_trip, predictions_round_trip, epoch_logs_round_trip, run_table, sweep_ranking, srm_six_channels, channel_attention, cam_overlay,
     export_plan, export_cap_compat, split_counts, copy_rates, copy_plan, merge_manifests, manifest_patch, pending_outputs,
     split_class_matrix, split_source_matrix, imbalance_warnings, hash_leakage, leakage_pairs, quality_stats, quality_histogram, anomalies, audit_verdict, duplicate_paths,
     confusion_matrix, confusion_row_pct, class_report, accuracy_macro_f1, boundary_errors, positional_pairs, present_labels,

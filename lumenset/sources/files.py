@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenset.functions.images import laplacian_variance, perceptual_hash
 from lumenset.operators.manifest import EXTENSIONS, base_name, is_image, parent_name, relative_source, stem, with_labels
 from lumenset.operators.quality import aspect_ratio
 from lumenset.operators.ranking import grouped_rank
 from lumenset.sources.headers import read_header
 
-_GLOB = "*.{" + ",".join([*EXTENSIONS, *[e.upper() for e in EXTENSIONS]]) + "}"
+#: Extensions in any mixture of cases.
+_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in EXTENSIONS) + "}"
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -61,7 +63,10 @@ def index(spark: SparkSession, roots: list[str], project_root: str, class_map: d
     for r in sorted(roots, key=len):
         prefix = r.rstrip("/").removeprefix("file://") + "/"
         source = F.when(F.col("path").startswith(prefix), relative_source(F.lit(prefix.rstrip("/")), project_root)).otherwise(source)
-    rows = files.withColumn("h", _header(F.col("content"))).where("h.width > 0 and h.height > 0")
+    # Headers mostly lie in the first bytes, so only these go to Python; whole files follow where they did not hold the size.
+    seen = files.withColumn("first", _header(F.substring("content", 1, 65536)))
+    again = _header(F.when(F.col("first.width").isNull() & (F.col("length") > 65536), F.col("content")))
+    rows = seen.withColumn("h", F.when(F.col("first.width").isNotNull(), F.col("first")).otherwise(again)).where("h.width > 0 and h.height > 0")
     rows = rows.select(
         relative_source(F.col("path"), project_root).alias("path"), source.alias("dataset_source"), F.col("h.width").alias("width"), F.col("h.height").alias("height"),
         aspect_ratio(F.col("h.width"), F.col("h.height")).alias("aspect_ratio"), F.col("h.format").alias("format"), F.col("length").alias("file_size_bytes"),
@@ -103,6 +108,22 @@ def pixels(spark: SparkSession, path: str) -> DataFrame:
     return img.select(F.regexp_replace("origin", "^file:/*", "/").alias("path"), "height", "width", F.col("nChannels").alias("channels"), ordered("data", "nChannels").alias("data"))
 
 
+def blur_and_hash(spark: SparkSession, path: str) -> DataFrame:
+    """(``path``, ``blur_score``, ``seen_hash``) of every image that can be decoded: its bytes go to Python once and two values come back."""
+    img = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select("image.*").where("width > 0 and height > 0")
+
+    @F.pandas_udf("blur_score double, seen_hash string")
+    def seen(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.DataFrame:
+        out = []
+        for d, h, w, c in zip(data, height, width, channels):
+            a = np.frombuffer(d, np.uint8).reshape(int(h), int(w), max(1, int(c))).astype(float)
+            plane = 0.299 * a[:, :, 2] + 0.587 * a[:, :, 1] + 0.114 * a[:, :, 0] if a.shape[2] >= 3 else a[:, :, 0]  # stored blue first
+            out.append((laplacian_variance(plane), perceptual_hash(plane)))
+        return pd.DataFrame(out, columns=["blur_score", "seen_hash"])
+
+    return img.select(F.regexp_replace("origin", "^file:/*", "/").alias("path"), seen("data", "height", "width", "nChannels").alias("s")).select("path", "s.*")
+
+
 def readable_formats(spark: SparkSession) -> list[str]:
     """Upper-case names of the formats that ``pixels`` can decode: those the JVM's ImageIO has readers for (a stock one has none for WEBP)."""
     return sorted({str(x).upper() for x in spark._jvm.javax.imageio.ImageIO.getReaderFormatNames()})

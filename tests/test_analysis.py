@@ -287,6 +287,33 @@ def test_headers():
         assert read_header(bad) == (None, None, None)
 
 
+def test_extensions_in_any_case(spark, tmp_path):
+    for i, n in enumerate(("a.Jpg", "b.jpg", "c.JPG", "d.PnG", "e.txt", "f.jpgx")):
+        png(str(tmp_path / n), picture(i, 20))
+    assert sorted(os.path.basename(r["path"]) for r in files.image_files(spark, [str(tmp_path)]).select("path").collect()) == ["a.Jpg", "b.jpg", "c.JPG", "d.PnG"]
+    assert files.unreadable(spark, str(tmp_path)).collect() == []
+
+
+def test_headers_beyond_the_first_bytes(spark, tmp_path):
+    early, late = b"\xff\xd8\xff\xe0\0\2\xff\xc0\0\x11\x08\0\x1e\0\x28" + bytes(12), b"\xff\xd8" + b"".join(b"\xff\xe1" + struct.pack(">H", 60002) + bytes(60000) for _ in range(3)) + b"\xff\xc0\0\x11\x08\0\x1f\0\x29" + bytes(12)
+    (tmp_path / "x.jpg").write_bytes(early)
+    (tmp_path / "y.jpg").write_bytes(late)
+    (tmp_path / "z.jpg").write_bytes(b"none")
+    got = files.index(spark, [str(tmp_path)], str(tmp_path)).orderBy("path").collect()
+    assert [(r["path"], r["format"], r["width"], r["height"]) for r in got] == [("x.jpg", "JPEG", 40, 30), ("y.jpg", "JPEG", 41, 31)]
+
+
+def test_reports_list_what_the_tables_hold_in_full(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"p{i}", f"e{i}", "train", f"class{i:02}", "s", 0.9, "m", "s", 0, 5) for i in range(12)], "row_idx long, path string, export_path string, split string, class_label string, dataset_source string, quality_score double, md5_hash string, sha256 string, width int, height int")
+    report = sinks.audit_report(rows, Config(anomaly_cap=5))
+    assert [r["class_label"] for r in report["distribution"]["class_by_split"]] == [f"class{i:02}" for i in range(5)] and len(report["anomalies"]) == 5
+    assert report["listed_of"]["audit_class_by_split"] == 12 and report["listed_of"]["audit_anomalies"] == 12
+    assert {n: t.count() for n, t in sinks.audit_tables(rows, Config(anomaly_cap=5)).items()} == report["listed_of"]
+    sinks.write_json(spark, report, f"file://{tmp_path}/deep/er/report.json")
+    sinks.write_json(spark, report, f"{tmp_path}/deep/er/report.json")
+    assert json.loads((tmp_path / "deep/er/report.json").read_text())["listed_of"] == report["listed_of"]
+
+
 def test_archives(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         for n in ("x/1.JPG", "x/2.png", "x/3.txt"):
