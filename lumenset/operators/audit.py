@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenset.config import Config
 from lumenset.operators.manifest import base_name, is_complete
-from lumenset.operators.ranking import grouped_rank
+from lumenset.scratch import Scratch
 
 REQUIRED = ("path", "export_path", "split", "class_label", "dataset_source", "quality_score")
 
@@ -60,11 +60,21 @@ def leakage_pairs(rows: DataFrame, kind: str = "hash") -> DataFrame:
 
 
 def index_percentiles(rows: DataFrame, value: str, points: tuple[int, ...] = (10, 25, 50, 75, 90, 99)) -> DataFrame:
-    """One row (``n``, ``p50`` ...): the value at position min(floor(n * p / 100), n - 1) of the sorted ones. NULL without values."""
-    ranked = grouped_rank(rows.select(F.col(value).alias("v")).where("v is not null"), [], [F.col("v")], "r")
-    n = rows.agg(F.count(value).alias("n")).first()["n"]
-    picks = [F.max(F.when(F.col("r") == min(n * p // 100, n - 1) + 1, F.col("v"))).alias(f"p{p}") for p in points]
-    return ranked.agg(F.count("v").alias("n"), *picks)
+    """One row (``n``, ``p50`` ...): the value at position min(floor(n * p / 100), n - 1) of the sorted ones. NULL without values.
+
+    Equal values are counted first and only different ones are sorted, so a value that most rows have costs one row.
+    """
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = rows.select(F.col(value).alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("k"))
+    placed = Scratch(spark, "percentiles").write(counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "counts")
+    sums = placed.groupBy("part").agg(F.sum("k").alias("s"))  # a row for each partition
+    before = sums.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("s").over(Window.partitionBy()).alias("n"))
+    upto = F.col("before") + F.sum("k").over(Window.partitionBy("part").orderBy("v"))
+    each = placed.join(before, "part").select("v", "k", "n", upto.alias("upto"))
+    at = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1) + 1
+    picks = [F.max(F.when((F.col("upto") >= at(p)) & (F.col("upto") - F.col("k") < at(p)), F.col("v"))).alias(f"p{p}") for p in points]
+    return each.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), *picks)
 
 
 def quality_stats(rows: DataFrame, below: float = 0.7) -> DataFrame:
@@ -87,8 +97,8 @@ def histogram(rows: DataFrame, value: str, bins: tuple[float, ...] = Config.qual
     return every.join(counts, "bin", "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def anomalies(rows: DataFrame, known_sources: tuple[str, ...] = (), splits: tuple[str, ...] = ("train", "val", "test"), export_root: str | None = None) -> DataFrame:
-    """(``row_idx``, ``issue``): every finding of every row. Cap it for a report with ``first_anomalies``."""
+def anomaly_tests(known_sources: tuple[str, ...] = (), splits: tuple[str, ...] = ("train", "val", "test"), export_root: str | None = None) -> list[Column]:
+    """Expressions that give an issue, or NULL where a row has none of its kind."""
     blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True))
     tests: list[Column] = [
         F.when(blank("class_label"), "Missing class_label"),
@@ -101,6 +111,12 @@ def anomalies(rows: DataFrame, known_sources: tuple[str, ...] = (), splits: tupl
         tests.append(F.when(~F.coalesce(F.col("dataset_source").isin(*known_sources), F.lit(False)), "Unknown dataset_source"))
     if export_root:
         tests.append(F.when(escapes(F.col("export_path"), export_root), "Path escape"))
+    return tests
+
+
+def anomalies(rows: DataFrame, known_sources: tuple[str, ...] = (), splits: tuple[str, ...] = ("train", "val", "test"), export_root: str | None = None) -> DataFrame:
+    """(``row_idx``, ``issue``): every finding of every row. Cap it for a report with ``first_anomalies``."""
+    tests = anomaly_tests(known_sources, splits, export_root)
     return rows.select("row_idx", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("issue"))
 
 
@@ -124,12 +140,22 @@ def verdict(rows: DataFrame, config: Config = Config(), missing: int = 0, unread
     good = is_complete(REQUIRED)
     valid = rows.where(good)
     least = config.min_quality_score or 0.0
-    base = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~good).alias("malformed"), F.count_if(good & (F.col("quality_score") < least)).alias("low_quality"))
-    count = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
-    leaks = leakage(valid).agg(F.coalesce(F.max(F.when(F.col("kind") == "hash", F.col("keys"))), F.lit(0)).cast("long").alias("leaked"), F.count_if(F.col("keys") > 0).alias("leaks"))
-    facts = base.crossJoin(leaks).crossJoin(count(imbalance(valid), "imbalances"))  # single rows, all of them
-    facts = facts.select("rows", "malformed", "low_quality", "leaked", (F.col("imbalances") + F.col("leaks")).alias("warnings"))
-    facts = facts.crossJoin(count(anomalies(valid, config.known_sources, tuple(config.split_ratios)), "anomalies")).crossJoin(count(repeated(valid, "export_path").select("n").unionAll(repeated(valid, "path").select("n")), "repeated"))
+    # Three passes: over the rows, over their keys, over splits, classes and sources.
+    issues = F.size(F.filter(F.array(*anomaly_tests(config.known_sources, tuple(config.split_ratios))), lambda x: x.isNotNull()))
+    base = rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(~good).alias("malformed"), F.count_if(good & (F.col("quality_score") < least)).alias("low_quality"),
+        F.coalesce(F.sum(F.when(good, issues)), F.lit(0)).cast("long").alias("anomalies"),
+    )
+    places = valid.select("split", F.lit("place").alias("kind"), F.col("export_path").alias("key"))
+    keys = leak_keys(valid).select("split", "kind", "key").unionByName(places).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.min("split").alias("lo"), F.max("split").alias("hi"))
+    leak, twice = F.col("lo") != F.col("hi"), F.col("n") > 1
+    leaks = keys.agg(
+        F.count_if(leak & (F.col("kind") == "hash")).alias("leaked"), *[F.count_if(leak & (F.col("kind") == k)).alias(f"leaked_{k}") for k in ("filename", "path")],
+        F.count_if(twice & F.col("kind").isin("place", "path")).alias("repeated"),
+    )
+    kinds = F.expr("int(leaked > 0) + int(leaked_filename > 0) + int(leaked_path > 0)")
+    facts = base.crossJoin(leaks).crossJoin(imbalance(valid).agg(F.count(F.lit(1)).alias("imbalances")))  # single rows, all of them
+    facts = facts.select("rows", "malformed", "low_quality", "leaked", (F.col("imbalances") + kinds).alias("warnings"), "anomalies", "repeated")
     ok_rows = F.col("rows") - F.col("malformed")
     pct = lambda a, b: F.coalesce(F.try_divide(a * 100.0, b), F.lit(0.0))
     fail = (ok_rows == 0) | (pct(F.lit(missing), ok_rows) > config.max_missing_pct) | (pct(F.col("malformed"), F.col("rows")) > config.max_malformed_pct) | (F.col("leaked") > config.max_leakage_allowed)
