@@ -25,12 +25,16 @@ def capped(rows: DataFrame, most: int | None, compat: bool = False) -> DataFrame
 def with_destination(rows: DataFrame, root: str = "export") -> DataFrame:
     """Adds ``destination``: root/split/class/name, and ``_1``, ``_2`` ... before the extension where a name is taken, in the order of path."""
     keys = rows.select(F.col("row_idx").alias("__row"), "path", base_name(F.col("path")).alias("__name"), F.coalesce("split", F.lit("none")).alias("__s"), F.coalesce("class_label", F.lit("unknown")).alias("__c"))
-    ranked = grouped_rank(keys, ["__s", "__c", "__name"], [F.col("path"), F.col("__row")], "__n")
+    taken = ["__s", "__c", "__name"]
+    several = keys.groupBy(*taken).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*taken)
+    # Names that stand alone are what they are; only repeated ones are ranked.
+    ranked = grouped_rank(keys.join(several, taken, "left_semi").select(*keys.columns), taken, [F.col("path"), F.col("__row")], "__n")
     cut = F.regexp_extract("__name", r"^(.*?)(\.[^.]*)?$", 1)
     tail = F.regexp_extract("__name", r"^(.*?)(\.[^.]*)?$", 2)
-    name = F.when(F.col("__n") == 1, F.col("__name")).otherwise(F.concat(cut, F.lit("_"), (F.col("__n") - 1).cast("string"), tail))
-    placed = ranked.select("__row", F.concat_ws("/", F.lit(root), "__s", "__c", name).alias("destination"))
-    return rows.join(placed, rows["row_idx"] == placed["__row"]).select(*rows.columns, "destination")
+    later = ranked.where("__n > 1").select("__row", F.concat(cut, F.lit("_"), (F.col("__n") - 1).cast("string"), tail).alias("__other"))
+    name = F.coalesce("__other", base_name(F.col("path")))
+    where = F.concat_ws("/", F.lit(root), F.coalesce("split", F.lit("none")), F.coalesce("class_label", F.lit("unknown")), name)
+    return rows.join(later, rows["row_idx"] == later["__row"], "left").select(*rows.columns, where.alias("destination"))
 
 
 def split_counts(rows: DataFrame) -> DataFrame:
