@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,16 +57,38 @@ def hamming(a: Column, b: Column) -> Column:
     return F.coalesce(F.bit_count(valid_phash(a).bitwiseXOR(valid_phash(b))).cast("int"), F.lit(999))
 
 
-def bucket_pairs(rows: DataFrame, bucket_chars: int = 12, threshold: int = 8, key: str = "phash") -> DataFrame:
+def bucket_pairs(rows: DataFrame, bucket_chars: int = 12, threshold: int = 8, key: str = "phash", most_joined: int = 4096) -> DataFrame:
     """(``bucket``, ``h1``, ``h2``, ``distance``): near pairs of different hashes that share their first ``bucket_chars`` digits.
 
     Equal hashes are one, so a bucket joins at most 16**(16 - bucket_chars) of them (65,536 at the default) whatever
-    the number of rows. Hashes that are not 16 hexadecimal digits have no pair.
+    the number of rows. Where the digits behind the prefix make up 36 bits or more, a bucket may hold many more; those with over
+    ``most_joined`` hashes are searched by three blocks of these bits: at most a third of the differences lies in some block, and variants with
+    half of that flipped meet on both sides. The result is the same. Hashes that are not 16 hexadecimal digits have no pair.
     """
     each = rows.select(F.col(key).alias("h")).where(valid_phash(F.col("h")).isNotNull()).distinct().select("h", F.substring("h", 1, bucket_chars).alias("bucket"), valid_phash(F.col("h")).alias("bits"))
-    a, b = (each.select("bucket", F.col("h").alias(f"h{i}"), F.col("bits").alias(f"b{i}")) for i in (1, 2))
     distance = F.bit_count(F.col("b1").bitwiseXOR(F.col("b2"))).cast("int")
-    return a.join(b, "bucket").where((F.col("h1") < F.col("h2")) & (distance <= threshold)).select("bucket", "h1", "h2", distance.alias("distance"))
+    rest = 64 - 4 * bucket_chars
+
+    def joined(of: DataFrame, on: list[str]) -> DataFrame:
+        a, b = (of.select(*on, F.col("h").alias(f"h{i}"), F.col("bits").alias(f"b{i}")) for i in (1, 2))
+        return a.join(b, on).where((F.col("h1") < F.col("h2")) & (distance <= threshold)).select("bucket", "h1", "h2", distance.alias("distance"))
+
+    if rest < 36 or threshold // 3 > 3:
+        return joined(each, ["bucket"])
+    each = Scratch(rows.sparkSession, "buckets").write(each, "hashes")
+    large = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_joined).select("bucket")
+    few = joined(each.join(large, "bucket", "left_anti"), ["bucket"])
+    width, flips = -(-rest // 3), -(-(threshold // 3) // 2)
+
+    def variants(k: int) -> Column:
+        low = k * width
+        size = min(width, rest - low)
+        masks = [sum(1 << i for i in c) for r in range(flips + 1) for c in combinations(range(size), r)]
+        part = F.shiftrightunsigned("bits", low).bitwiseAND(F.lit((1 << size) - 1))
+        return F.transform(F.lit(masks).cast("array<bigint>"), lambda m: F.struct(F.lit(k).alias("block"), part.bitwiseXOR(m).alias("value")))
+
+    spread = each.join(large, "bucket", "left_semi").select("bucket", "h", "bits", F.explode(F.concat(*[variants(k) for k in range(3)])).alias("v")).select("bucket", "h", "bits", "v.*")
+    return few.unionByName(joined(spread, ["bucket", "block", "value"]).distinct())
 
 
 def near_clusters(rows: DataFrame, bucket_chars: int = 12, threshold: int = 8, singles: bool = False) -> DataFrame:
