@@ -207,6 +207,8 @@ def _sample_sql() -> dict[str, str]:
         "pair_list_explode": "SELECT n_name || '_' || n_regionkey AS name FROM nation UNION ALL SELECT n_regionkey || '_' || n_name FROM nation",
         "hash_split": f"WITH h AS (SELECT row_idx, {frac(42, 'path')} AS f FROM deduped_index) SELECT CASE WHEN f < 0.7::DOUBLE THEN 'train' WHEN f < 0.7::DOUBLE + 0.15::DOUBLE THEN 'val' ELSE 'test' END AS split, count(*) AS n, sum(row_idx)::BIGINT AS sum_idx FROM h GROUP BY 1",
         "sized_split": "WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY md5('42|' || p_partkey), p_partkey) AS k, count(*) OVER () AS n FROM part) SELECT k <= ceil(n * 0.2::DOUBLE) AS held_out, count(*) AS n, sum(p_partkey)::BIGINT AS keys FROM r GROUP BY 1",
+        "greedy_split_facts": f"""WITH RECURSIVE {_m(name="every")}, m AS (SELECT * FROM every WHERE trim(path) <> '' AND trim(class_label) <> '' AND trim(dataset_source) <> ''), {_near('m')}, {_SINGLES}
+            SELECT count(*) AS images, count(DISTINCT cluster_key) AS clusters, 0::BIGINT AS divided, 3::BIGINT AS splits, 0::BIGINT AS far_splits, 0::BIGINT AS far_classes FROM single""",
         "split_report": f"""WITH {_MS}, b AS (SELECT split, count(DISTINCT cluster_id) AS clusters, count(*) AS images FROM m GROUP BY 1),
             c AS (SELECT split, array_to_string(list_sort(list(coalesce(class_label, '') || '=' || n)), '|') AS classes FROM (SELECT split, class_label, count(*) AS n FROM m GROUP BY 1, 2) GROUP BY 1),
             s AS (SELECT split, array_to_string(list_sort(list(coalesce(dataset_source, '') || '=' || n)), '|') AS sources FROM (SELECT split, dataset_source, count(*) AS n FROM m GROUP BY 1, 2) GROUP BY 1)
@@ -297,6 +299,11 @@ def _epoch_sql() -> dict[str, str]:
         "arch_inference": """SELECT p_partkey, CASE WHEN p_size > 40 THEN 'convnext_small' WHEN p_size > 25 THEN 'convnext_tiny' WHEN p_size > 10 AND p_partkey % 2 = 0 THEN 'resnet50' ELSE 'resnet18' END AS arch, p_partkey % 3 = 0 AS srm, false AS fft, p_size > 10 AND p_size <= 25 AS sequential_head FROM part""",
         "name_conflicts": """WITH t AS (SELECT file_id, CASE WHEN file_id % 2 = 0 THEN 'gem' ELSE 'cbam' END AS named, CASE WHEN file_id % 5 = 0 THEN 'gem' END AS attention_head FROM training_summary)
             SELECT CASE named WHEN 'gem' THEN 'x__srm-gem' ELSE 'x__cbam' END AS run, file_id, attention_head, named FROM t WHERE coalesce(attention_head, 'none') <> named""",
+        "lr_plateau": f"""WITH RECURSIVE {_LOG}, l AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY epoch) - 1 AS step, val_loss AS v FROM log),
+            walk(run, step, best, bad, rate) AS (SELECT run, step, v, 0, 0.001::DOUBLE FROM l WHERE step = 0
+              UNION ALL SELECT l.run, l.step, CASE WHEN v < best * (1 - 1e-4::DOUBLE) THEN v ELSE best END, CASE WHEN v < best * (1 - 1e-4::DOUBLE) OR bad + 1 > 2 THEN 0 ELSE bad + 1 END,
+                CASE WHEN NOT v < best * (1 - 1e-4::DOUBLE) AND bad + 1 > 2 THEN rate * 0.5::DOUBLE ELSE rate END FROM walk JOIN l ON l.run = walk.run AND l.step = walk.step + 1)
+            SELECT run, step::INTEGER AS step, rate FROM walk""",
         "lr_schedule": f"""WITH {_LOG}, c AS (SELECT run, epoch, epoch - 1 AS t, CASE WHEN epoch - 1 < 5 THEN 5 WHEN epoch - 1 < 15 THEN 10 ELSE 20 END AS len, CASE WHEN epoch - 1 < 5 THEN 0 WHEN epoch - 1 < 15 THEN 5 ELSE 15 END AS start FROM log)
             SELECT run, epoch, round(0.0005::DOUBLE * (1 + cos(pi() * (t - start) / len)), 9) AS rate FROM c""",
     }

@@ -191,6 +191,22 @@ def greedy_split(spark: SparkSession, d: str) -> DataFrame:
     return split.greedy_split(rows, {"train": 0.7, "val": 0.15, "test": 0.15}).select("row_idx", "cluster_key", "split")
 
 
+def greedy_split_facts(spark: SparkSession, d: str) -> DataFrame:
+    """One row of what must hold for the greedy split: no cluster divided, sizes within a hundredth of the ratios, each class within a twentieth of its images or two."""
+    ratios = {"train": 0.7, "val": 0.15, "test": 0.15}
+    rows = dedup.near_clusters(split.usable_rows(_m(spark, d)), BUCKET, THRESHOLD, singles=True)
+    placed = Scratch(spark, "greedy").write(split.greedy_split(rows, ratios).select("cluster_key", "class_label", "split"), "placed")
+    clusters = placed.groupBy("cluster_key").agg(F.count_distinct("split").alias("n")).agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("n") > 1).alias("divided"))
+    goal = spark.createDataFrame(list(ratios.items()), "s string, ratio double")
+    total = placed.agg(F.count(F.lit(1)).alias("images"), F.count_distinct("split").alias("splits"))
+    sizes = placed.groupBy("split").agg(F.count(F.lit(1)).alias("n")).join(goal, F.col("split") == F.col("s")).crossJoin(total)
+    far = sizes.agg(F.count_if(F.abs(F.col("n") / F.col("images") - F.col("ratio")) > 0.01).alias("far_splits"))
+    whole = placed.groupBy(F.col("class_label").alias("c")).agg(F.count(F.lit(1)).alias("m"))
+    each = whole.crossJoin(goal).join(placed.groupBy("class_label", "split").agg(F.count(F.lit(1)).alias("n")), (F.col("c") == F.col("class_label")) & (F.col("s") == F.col("split")), "left")  # classes x splits
+    odd = each.agg(F.count_if(F.abs(F.coalesce("n", F.lit(0)) - F.col("m") * F.col("ratio")) > F.greatest(F.lit(2.0), F.col("m") * 0.05)).alias("far_classes"))
+    return total.crossJoin(clusters).crossJoin(far).crossJoin(odd)  # single rows
+
+
 def split_report(spark: SparkSession, d: str) -> DataFrame:
     rows = split.split_report(_m(spark, d, "split_index"))
     text = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), "|").alias(c)
@@ -611,7 +627,7 @@ def p7_unified(spark: SparkSession, d: str) -> DataFrame:
 _NAMED = (
     flagship, index_manifest, quality_flags, quality_by_group, flag_frequency, quality_filter_counts, aspect_recomputed, path_parts, keyword_filter, ingest_filter, complete_rows,
     exact_dedup_kept, exact_dedup_removed, dedup_conflicts, dedup_summary, phash_vectors, hamming_pairs, near_dup_pairs, near_dup_components, near_dup_kept, cluster_stats, cluster_numbers,
-    class_sample, global_cap_sample, label_quota_ingest, limit_resume, even_sample, pair_list_explode, hash_split, sized_split, greedy_split, split_report, leakage_check,
+    class_sample, global_cap_sample, label_quota_ingest, limit_resume, even_sample, pair_list_explode, hash_split, sized_split, greedy_split, greedy_split_facts, split_report, leakage_check,
     merge_many, dry_run_preview, pair_list_head, accuracy_bars, manifest_round_trip, predictions_round_trip, epoch_logs_round_trip, run_table, sweep_ranking, srm_six_channels, channel_attention, cam_overlay,
     export_plan, export_cap_compat, split_counts, copy_rates, copy_plan, merge_manifests, manifest_patch, pending_outputs,
     split_class_matrix, split_source_matrix, imbalance_warnings, hash_leakage, leakage_pairs, quality_stats, quality_histogram, anomalies, audit_verdict, duplicate_paths,
