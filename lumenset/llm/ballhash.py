@@ -3,7 +3,9 @@
 All variants within half of the radius 8 would be 679,121 for each 64-bit fingerprint.
 The fingerprint is therefore cut into three blocks first: of 8 differing bits at most 2
 fall into some block, and within that block variants of one flipped bit meet in the
-middle. So 67 variants find every pair, without a cap.
+middle. So 67 variants find every pair, without a cap. For very many fingerprints there are two
+blocks of 32 bits instead: of 8 differing bits at most 4 fall into one, variants of two flipped
+bits meet, and of 14 times fewer pairs that meet by chance each costs as much; the result is the same.
 
 The variants are not shuffled one by one. The upper bits of a block are its *route*: the
 shuffle sends a fingerprint to its own route and to those one flipped bit away, and the
@@ -15,6 +17,7 @@ route on which it meets, so the result needs no global deduplication.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -25,11 +28,25 @@ from pyspark.sql import functions as F
 from lumenset.llm.components import connected_components
 from lumenset.scratch import Scratch
 
-#: Lowest bit and width of the blocks.
-BLOCKS = ((0, 21), (21, 21), (42, 22))
 RADIUS = 8
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Lowest bit and width of each block, and how many bits a variant flips in one."""
+
+    blocks: tuple[tuple[int, int], ...]
+    reach: int
+
+    def others(self, block: int) -> list[tuple[int, int]]:
+        """The bits outside a block in two parts, one of which holds at most 4 of 8 differences."""
+        rest = [b for k, b in enumerate(self.blocks) if k != block]
+        return rest if len(rest) == 2 else [(rest[0][0], rest[0][1] // 2), (rest[0][0] + rest[0][1] // 2, rest[0][1] - rest[0][1] // 2)]
+
+
+THREE, TWO = Layout(((0, 21), (21, 21), (42, 22)), 1), Layout(((0, 32), (32, 32)), 2)
+
+
 def _flips(width: int, radius: int) -> np.ndarray:
     """All masks of at most ``radius`` set bits."""
     masks = [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)]
@@ -61,13 +78,13 @@ def _close(h: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> tuple[np
     return i[near], j[near]
 
 
-def _dense_pairs(h: np.ndarray, members: np.ndarray, block: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All close pairs among many fingerprints that agree in one block: the other two meet in the middle with two flipped bits.
+def _dense_pairs(h: np.ndarray, members: np.ndarray, block: int, radius: int, layout: Layout = THREE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All close pairs among many fingerprints that agree in one block: the other two parts meet in the middle with two flipped bits.
 
-    A run that is dense again agrees nearly in two blocks, so its members differ in the third
+    A run that is dense again agrees nearly in two parts, so its members differ in the third
     alone and mostly are near; those are compared with each other in slices.
     """
-    for low, width in (b for k, b in enumerate(BLOCKS) if k != block):
+    for low, width in layout.others(block):
         masks = _flips(width, 2)
         step = max(1, (1 << 22) // len(masks))
         part = (h[members] >> np.uint64(low)) & np.uint64((1 << width) - 1)
@@ -89,20 +106,23 @@ def _dense_pairs(h: np.ndarray, members: np.ndarray, block: int, radius: int) ->
                     yield _close(h, a[a < b], b[a < b], radius)
 
 
-def near_pairs_on_route(h: np.ndarray, side: np.ndarray, slot: np.ndarray, block: int, route: int, bits: int, radius: int = RADIUS, slots: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs_on_route(h: np.ndarray, side: np.ndarray, slot: np.ndarray, block: int, route: int, bits: int, radius: int = RADIUS, slots: tuple[int, int] | None = None, layout: Layout = THREE) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the pairs that this route reports. ``side`` 0 pairs with all; else a pair needs bit 1 on one end and bit 2 on the other.
 
     ``slots``: of a route that is spread over several tasks, the two slots that this task compares.
     """
-    low, width = BLOCKS[block]
+    low, width = layout.blocks[block]
     value = (h >> np.uint64(low)) & np.uint64((1 << width) - 1)
     lower = width - bits
     high, rest = value >> np.uint64(lower), value & np.uint64((1 << lower) - 1)
-    home = np.flatnonzero(high == np.uint64(route))
-    guest = np.flatnonzero(high != np.uint64(route))
-    masks = _flips(lower, 1)
-    keys = np.concatenate([(rest[home, None] ^ masks).ravel(), rest[guest]])
-    items = np.concatenate([np.repeat(home, len(masks)), guest])
+    # What a fingerprint has flipped on its way to the route it can't flip again.
+    away = np.bitwise_count(high ^ np.uint64(route))
+    keys, items = [], []
+    for spent in range(layout.reach + 1):
+        own, masks = np.flatnonzero(away == spent), _flips(lower, layout.reach - spent)
+        keys.append((rest[own, None] ^ masks).ravel())
+        items.append(np.repeat(own, len(masks)))
+    keys, items = np.concatenate(keys), np.concatenate(items)
     found = []
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
@@ -111,15 +131,12 @@ def near_pairs_on_route(h: np.ndarray, side: np.ndarray, slot: np.ndarray, block
         ok = h[i] != h[j]
         x = h[i] ^ h[j]
         for k in range(block):
-            w = (x >> np.uint64(BLOCKS[k][0])) & np.uint64((1 << BLOCKS[k][1]) - 1)
-            ok &= np.bitwise_count(w) > 2
-        ok &= np.bitwise_count((x >> np.uint64(low)) & np.uint64((1 << width) - 1)) <= 2
-        # The smallest route on which both are present: their own one, the smaller of two, or the smaller one between.
-        hi, hj = high[i], high[j]
-        dx = hi ^ hj
-        top = np.left_shift(np.uint64(1), np.uint64(63) - _leading(dx), where=dx != 0, out=np.zeros_like(dx))
-        first = np.where(np.bitwise_count(dx) == 2, np.maximum(hi, hj) ^ top, np.minimum(hi, hj))
-        ok &= first == np.uint64(route)
+            w = (x >> np.uint64(layout.blocks[k][0])) & np.uint64((1 << layout.blocks[k][1]) - 1)
+            ok &= np.bitwise_count(w) > 2 * layout.reach
+        ok &= np.bitwise_count((x >> np.uint64(low)) & np.uint64((1 << width) - 1)) <= 2 * layout.reach
+        i, j, ok = i[ok], j[ok], ok[ok]
+        # The smallest route between theirs on which both are present.
+        ok &= _between(high[i], high[j], layout.reach) == np.uint64(route)
         si, sj = side[i], side[j]
         ok &= ((si == 0) & (sj == 0)) | ((si & 1 > 0) & (sj & 2 > 0)) | ((si & 2 > 0) & (sj & 1 > 0))
         if slots is not None:
@@ -131,7 +148,7 @@ def near_pairs_on_route(h: np.ndarray, side: np.ndarray, slot: np.ndarray, block
         if isinstance(met, tuple):
             keep(*met)
         else:
-            for pair in _dense_pairs(h, met, block, radius):
+            for pair in _dense_pairs(h, met, block, radius, layout):
                 keep(*pair)
     if not found:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -139,22 +156,36 @@ def near_pairs_on_route(h: np.ndarray, side: np.ndarray, slot: np.ndarray, block
     return both[:, 0], both[:, 1]
 
 
-def _leading(x: np.ndarray) -> np.ndarray:
-    """Zero bits above the highest set bit of values below 2**53."""
-    _, e = np.frexp(x.astype(np.float64))
-    return (64 - np.maximum(e, 1)).astype(np.uint64)
+def _between(a: np.ndarray, b: np.ndarray, reach: int) -> np.ndarray:
+    """The smallest value that takes each bit from one of the two and differs from either in at most ``reach`` bits; they differ in at most twice as many.
+
+    Bits in which they differ become 0 where that is allowed; of those set in one of them alone all but ``reach`` stay, the lowest ones.
+    """
+    out = a & b
+    for one in (a & ~b, b & ~a):
+        rest = one.copy()
+        for _ in range(reach):  # what remains after the lowest bits that stay is at most ``reach`` bits
+            low = rest & (~rest + np.uint64(1))
+            stays = np.bitwise_count(rest) > reach
+            out |= np.where(stays, low, np.uint64(0))
+            rest = np.where(stays, rest ^ low, rest)
+    return out
+
+
+def _flipped(own: Column, above: int):
+    return lambda f: own.bitwiseXOR(f).bitwiseOR(F.lit(above))
 
 
-def _routes(h: Column, bits: int) -> Column:
-    """Array of route ids: block and upper bits of the block, own and with one bit flipped."""
+def _routes(h: Column, bits: int, layout: Layout = THREE) -> Column:
+    """Array of route ids: block and upper bits of the block, own and with up to ``reach`` bits flipped."""
     out = []
-    for k, (low, width) in enumerate(BLOCKS):
+    for k, (low, width) in enumerate(layout.blocks):
         own = F.shiftrightunsigned(h, low + width - bits).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-        out += [own.bitwiseXOR(F.lit(f)).bitwiseOR(F.lit(k << bits)) for f in [0, *(1 << b for b in range(bits))]]
-    return F.array(*out)
+        out.append(F.transform(F.lit(_flips(bits, layout.reach).astype(np.int32).tolist()).cast("array<int>"), _flipped(own, k << bits)))
+    return F.concat(*out)
 
 
-def near_pairs(hashes: DataFrame, radius: int = RADIUS, side: str | None = None, rows_per_task: int = 250_000, route_bits: int | None = None) -> DataFrame:
+def near_pairs(hashes: DataFrame, radius: int = RADIUS, side: str | None = None, rows_per_task: int = 250_000, route_bits: int | None = None, layout: Layout | None = None) -> DataFrame:
     """(``h1``, ``h2``, ``distance``), h1 before h2 as unsigned numbers, for all pairs of different fingerprints at most ``radius`` bits apart.
 
     ``hashes``: ``h`` (64 bits as a signed long) and, if only pairs across two sides are
@@ -164,7 +195,8 @@ def near_pairs(hashes: DataFrame, radius: int = RADIUS, side: str | None = None,
     A route is a task's work, and the number of route bits grows with the number of
     fingerprints so that a route holds about ``rows_per_task`` of them. Where many fingerprints share
     a route they are dealt into slots by hash, and each two slots are compared in a task of
-    their own. The counts of routes behind this are at most 3 * 2**bits rows.
+    their own. The counts of routes behind this are at most 3 * 2**bits rows (196,608), which is what is broadcast.
+    ``layout`` is ``THREE`` blocks, or ``TWO`` beyond 100 million fingerprints, where chance meetings cost more than the additional copies.
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError("radius must be 0 to 8")
@@ -175,27 +207,35 @@ def near_pairs(hashes: DataFrame, radius: int = RADIUS, side: str | None = None,
     once = hashes.where("h is not null").groupBy("h").agg(sides.alias("side"))
     once = scratch.write(once.observe(seen, F.count(F.lit(1)).alias("n")), "once")
     n = seen.get["n"]
+    layout = layout or (THREE if n <= 100_000_000 else TWO)
+    copies = lambda bits: len(_flips(bits, layout.reach))
     bits = 4
-    while bits < 16 and n * (1 + bits) > rows_per_task << bits:
+    while bits < 16 and n * copies(bits) > rows_per_task << bits:
         bits += 1
     bits = route_bits or bits
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * (1 + bits) // (rows_per_task * 8)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * copies(bits) // (rows_per_task * 8)))
     sent = once.repartition(parts) if n > rows_per_task else once
-    sent = sent.select("h", "side", F.explode(_routes(F.col("h"), bits)).alias("route"))
-    sizes = once.select(F.explode(_routes(F.col("h"), bits)).alias("route")).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
-    hot = {r["route"]: -(-r["n"] // (2 * rows_per_task)) for r in sizes.where(F.col("n") > 4 * rows_per_task).collect()}
+    sent = sent.select("h", "side", F.explode(_routes(F.col("h"), bits, layout)).alias("route"))
+    hot = 0
+    if n > 4 * rows_per_task:  # else no route can hold as many
+        sizes = once.select(F.explode(_routes(F.col("h"), bits, layout)).alias("route")).groupBy("route").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * rows_per_task)
+        some = Observation()
+        large = scratch.write(sizes.select("route", F.ceil(F.col("n") / (2 * rows_per_task)).cast("int").alias("slots")).observe(some, F.count(F.lit(1)).alias("n")), "large")
+        hot = some.get["n"]
     if hot:
-        slots = F.coalesce(F.try_element_at(F.create_map(*[F.lit(int(x)) for kv in hot.items() for x in kv]), F.col("route")), F.lit(1))
+        # At most a row for each route: 3 * 2**16.
+        sent = sent.join(F.broadcast(large), "route", "left")
+        slots = F.coalesce("slots", F.lit(1))
         slot = F.pmod(F.xxhash64("h"), slots).cast("int")
         duty = F.transform(F.sequence(F.lit(0), slots - 1), lambda o: F.least(slot, o) * 65536 + F.greatest(slot, o))
-        sent = sent.withColumn("slot", slot).withColumn("duty", F.explode(duty))
+        sent = sent.withColumn("slot", slot).withColumn("duty", F.explode(duty)).drop("slots")
     else:
         sent = sent.withColumn("slot", F.lit(0)).withColumn("duty", F.lit(0))
 
     def solve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         route, duty = key[0].as_py(), key[1].as_py()
         h = table.column("h").to_numpy().view(np.uint64)
-        i, j = near_pairs_on_route(h, table.column("side").to_numpy(), table.column("slot").to_numpy(), route >> bits, route & ((1 << bits) - 1), bits, radius, divmod(duty, 65536) if hot else None)
+        i, j = near_pairs_on_route(h, table.column("side").to_numpy(), table.column("slot").to_numpy(), route >> bits, route & ((1 << bits) - 1), bits, radius, divmod(duty, 65536) if hot else None, layout)
         return pa.table({"h1": h[i].view(np.int64), "h2": h[j].view(np.int64), "distance": np.bitwise_count(h[i] ^ h[j]).astype(np.int32)})
 
     return sent.groupBy("route", "duty").applyInArrow(solve, "h1 long, h2 long, distance int")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql.functions import col as spark_col
 
-from lumenset.llm.ballhash import image_pairs, near_groups, near_pairs
+from lumenset.llm.ballhash import TWO, image_pairs, near_groups, near_pairs
 from lumenset.llm.components import connected_components
 from lumenset.llm.matches import grouped_images, match_groups
 from lumenset.llm.overlap import aligned_coverage, common_chain, common_length, cross_split_pairs, document_overlaps, overlap_report, text_overlaps, winnow
@@ -146,7 +146,7 @@ def frame(spark, h, side=None):
     return spark.createDataFrame([(x, int(s), "x") for x, s in zip(signed, side if side is not None else [0] * len(h))], "h long, where int, side string")
 
 
-@pytest.mark.parametrize("options", [{}, {"rows_per_task": 40, "route_bits": 4}, {"route_bits": 9}, {"radius": 3}, {"radius": 0}])
+@pytest.mark.parametrize("options", [{}, {"rows_per_task": 40, "route_bits": 4}, {"route_bits": 9}, {"radius": 3}, {"radius": 0}, {"layout": TWO}, {"layout": TWO, "rows_per_task": 40, "route_bits": 5}, {"layout": TWO, "route_bits": 9, "radius": 5}])
 def test_near_pairs_are_complete(spark, options):
     h = some_hashes()
     got = [(r["h1"] % 2**64, r["h2"] % 2**64) for r in near_pairs(frame(spark, h + h[:20]), **options).collect()]
