@@ -66,6 +66,54 @@ def test_run_folder(spark, path, want):
     assert spark.createDataFrame([(path,)], "p string").select(epochs.run_folder(F.col("p"))).first()[0] == want
 
 
+def test_tables_of_runs(spark):
+    log = spark.createDataFrame([("a", 1, 0.5, 0.6), ("a", 2, 0.7, 0.9), ("b", 1, 0.7, 0.7), ("c", 1, None, None)], "run string, epoch int, val_acc double, train_acc double")
+    summary = spark.createDataFrame([("a", 0.8, None), ("x", 0.9, 3)], "run string, best_val_acc double, epochs_trained int")
+    counts = spark.createDataFrame([("a", 0, 0, 3), ("a", 1, 0, 1), ("x", 0, 0, 1)], "run string, y_true int, y_pred int, n long")
+    got = {r["run"]: r.asDict() for r in epochs.comparison(log, summary, counts).collect()}
+    assert sorted(got) == ["a", "b", "c"] and [got[k]["rank"] for k in "abc"] == [1, 2, 3]
+    assert (got["a"]["best_val_acc"], got["a"]["epochs_trained"], got["a"]["gap"], got["a"]["accuracy"]) == (0.8, 2, 0.2, 0.75) and got["b"]["accuracy"] is None
+    assert epochs.comparison(log.where("false"), summary, counts).collect() == []
+    bars = epochs.bars(spark.createDataFrame([("a", 0.5), ("b", None), ("c", 0.1), ("d", 0.1)], "run string, s double"), "s").orderBy("position").collect()
+    assert [(r["run"], r["position"]) for r in bars] == [("c", 0), ("d", 1), ("a", 2)]
+    sweep = epochs.sweep_table(spark.createDataFrame([("a", [1.5, 1.0], 0.4, 0), ("z", None, None, 1)], "run string, weights array<double>, best_val_acc double, position int"), counts).orderBy("rank").collect()
+    assert [(r["shown"], r["weights"]) for r in sweep] == [("*a", "[1.5,1.0]"), ("z", "?")] and sweep[0]["f1_real"] == 0.857143 and sweep[1]["f1_macro"] is None
+
+
+def test_planes_of_images(spark):
+    r = np.random.default_rng(3)
+    rgb = r.random((3, 8, 6)) * 255
+    t = spark.createDataFrame([(rgb.ravel().tolist(), 8, 6), (None, 8, 6), ([1.0], 8, 6), (rgb.ravel().tolist(), None, 6)], "v array<double>, h int, w int")
+    six = [x[0] for x in t.select(images.planes_function(images.srm_six_channels, 3)("v", "h", "w")).collect()]
+    assert six[1] is six[2] is six[3] is None and np.allclose(np.reshape(six[0], (6, 8, 6))[:3], rgb) and np.allclose(np.reshape(six[0], (6, 8, 6))[3:], images.srm_residuals(rgb.mean(0)))
+    w1, w2, k = r.random((2, 3)), r.random((3, 2)), r.random((2, 3, 3))
+    got = t.limit(1).select(images.attention(w1, w2, k)("v", "h", "w")).first()[0]
+    assert np.allclose(np.reshape(got, rgb.shape), images.attention_block(rgb, w1, w2, k))
+    arr = lambda a: F.array(*[F.lit(float(x)) for x in np.ravel(a)])
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(kernels.jet(F.lit(0.5))) == [127.5, 255, 127.5] and one(kernels.jet(F.lit(1.0))) == [127.5, 0, 0]
+    heat = r.random((3, 4))
+    assert np.allclose(one(kernels.resize_bilinear(arr(heat), 3, 4, 3, 4)), heat.ravel()) and np.allclose(one(kernels.resize_bilinear(arr([[7.0]]), 1, 1, 2, 2)), 7)
+    assert np.allclose(one(kernels.heat_overlay(arr(rgb), 8, 6, arr(heat), 3, 4, 0.0)), rgb.ravel())
+    plane = r.random((16, 24)) * 255
+    assert np.allclose(images.rotate(plane, 0), plane) and np.allclose(images.rotate(plane[:16, :16], 90), np.rot90(plane[:16, :16], -1)) != np.allclose(images.rotate(plane[:16, :16], 90), np.rot90(plane[:16, :16]))
+    assert np.abs(images.compressed(plane, 100) - plane).max() < 3 and np.abs(images.compressed(plane, 20) - plane).mean() > np.abs(images.compressed(plane, 90) - plane).mean()
+    assert np.allclose(images.blurred(np.full((5, 5), 9.0), 3), 9) and images.median_blurred(np.eye(5)).max() <= 1
+    some = spark.createDataFrame([("p", plane.ravel().tolist(), 16, 24), ("q", None, 16, 24)], "path string, plane array<double>, h int, w int")
+    shown = images.augmentation_preview(some, "strong", 12).collect()
+    made = [x["plane"] for x in shown if x["path"] == "p"]
+    assert len(shown) == 24 and len({tuple(m) for m in made}) > 6 and all(len(m) == plane.size and 0 <= min(m) and max(m) <= 255 for m in made)
+    assert made == [x["plane"] for x in images.augmentation_preview(some, "strong", 12).collect() if x["path"] == "p"]
+
+
+def test_predictions_round_trip(spark, tmp_path):
+    p = spark.createDataFrame([("a", 3, 1, 2), ("a", 1, 0, 0), ("b", 1, 2, 2), ("b", 2, None, 1), (None, 1, 1, 1)], "run string, sample_id long, y_true int, y_pred int")
+    assert sorted(tuple(r) for r in sinks.write_predictions(p, str(tmp_path)).collect()) == [("a", 2), ("b", 1)]
+    got = sorted(tuple(r) for r in tables.read_predictions(spark, str(tmp_path)).select("run", "sample_id", "y_true", "y_pred").collect())
+    assert got == [("a", 0, 0, 0), ("a", 1, 1, 2), ("b", 0, 2, 2)]
+    assert sinks.write_predictions(p.where("false"), str(tmp_path)).collect() == []
+
+
 def test_schedules(spark):
     t = spark.range(60).select(F.col("id").alias("e"), epochs.cosine_restarts(F.col("id"), 1.0).alias("r")).orderBy("e").collect()
     for e, r in t:

@@ -228,6 +228,18 @@ def test_merge_and_patch(spark):
     assert (r[0]["export_path"], r[0]["width"], r[0]["quality_flag"]) == ("u/a.png", 600, ["blurry"]) and r[1]["width"] == 300
 
 
+def test_merged_folders(spark):
+    a, b = table(spark, dict(md5_hash="m", sha256="s"), dict(md5_hash=None, sha256=None), dict(md5_hash="n", sha256=None)), table(spark, dict(md5_hash="m", sha256="s"), dict(md5_hash="o", sha256="s"), dict(md5_hash="o", sha256="s"))
+    c = b.withColumn("extra", b["row_idx"])
+    out = manifest.merged_folders([{"sampled": a, "export": b}, {"sampled": c}])
+    got = {k: sorted((r["folder"], r["row_idx"]) for r in df.collect()) for k, df in out.items()}
+    first = b.agg({"row_idx": "min"}).first()[0]
+    # What was sampled in the first folder comes first, so its export keeps "o" alone, once, and the second folder nothing.
+    assert got["sampled"] == sorted((0, r["row_idx"]) for r in a.collect()) and got["export"] == [(0, first + 1)]
+    assert "extra" in out["sampled"].columns and len(manifest.merged_folders([{"export": a}, {"export": a}], blank_is_key=True)["export"].collect()) == 3
+    assert manifest.merged_folders([]) == {} and manifest.merged_folders([{"export": a.where("false")}])["export"].collect() == []
+
+
 def test_manifest_helpers(spark):
     df = spark.createDataFrame([('[["000","003"]]', "src"), ("broken", "other")], "j string, dataset_source string")
     assert [r[0] for r in df.select(manifest.pair_names(F.col("j"))).collect()] == [["000_003", "003_000"], None]
