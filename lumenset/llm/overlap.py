@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenset.functions.text import folded, folded_source, valid_phash
-from lumenset.llm.ballhash import RADIUS, image_pairs
+from lumenset.llm.ballhash import RADIUS, image_pairs, near_pairs
 from lumenset.scratch import Scratch
 
 
@@ -227,17 +227,54 @@ def cross_split_pairs(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     return near.unionByName(equal).groupBy("path_a", "path_b").agg(F.max("coverage").alias("coverage"))
 
 
+def _met_kinds(kinds: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """(``id``, ``partners``, ``apart``) of kinds of images: how many train images each image of the kind meets, and the fewest bits between them.
+
+    ``kinds``: ``id``, ``ms`` and ``hs`` (digests and hashes), ``side``, ``n`` (images of the kind). Kinds with at most one digest and one hash are counted by
+    those that share the digest, plus those with a near hash, less those with both, so neither copies nor images that share a hash or digest are ever paired. Only
+    kinds with several digests or hashes are listed against the kinds they meet.
+    """
+    of_train, of_evaluation, own = "side & 1 > 0", "side & 2 > 0", (F.col("side") == 3).cast("int")
+    hashes = kinds.select(F.explode("hs").alias("h"), "side")
+    near = near_pairs(hashes, radius, "side").select("h1", "h2", "distance")
+    same = hashes.groupBy("h").agg(F.bit_or("side").alias("side")).where("side = 3").select(F.col("h").alias("h1"), F.col("h").alias("h2"), F.lit(0).alias("distance"))
+    ways = near.unionByName(near.select(F.col("h2").alias("h1"), F.col("h1").alias("h2"), "distance")).unionByName(same)
+    ways = scratch.write(ways.select(F.col("h1").alias("hx"), F.col("h2").alias("hy"), F.col("distance").alias("d")), "ways")
+    single = kinds.where("not several").select("id", F.get("ms", F.lit(0)).alias("m"), F.get("hs", F.lit(0)).alias("hx"), "side", "n")
+    x, y = single.where(of_evaluation).withColumn("own", own), single.where(of_train).select("m", F.col("hx").alias("hy"), "n")
+    left = lambda n, at: n - F.when(at, F.col("own")).otherwise(0)
+    by_hash = x.drop("n").join(ways, "hx").join(y.where("hy is not null").groupBy("hy").agg(F.sum("n").alias("n")), "hy").select("id", "d", left(F.col("n"), F.col("hx") == F.col("hy")).alias("k"))
+    by_digest = x.drop("n").join(y.where("m is not null").groupBy("m").agg(F.sum("n").alias("n")), "m").select("id", F.lit(0).alias("d"), (F.col("n") - F.col("own")).alias("k"))
+    by_both = x.drop("n").where("m is not null").join(ways, "hx").join(y.where("m is not null and hy is not null").groupBy("m", "hy").agg(F.sum("n").alias("n")), ["m", "hy"])
+    by_both = by_both.select("id", F.lit(None).cast("int").alias("d"), (-left(F.col("n"), F.col("hx") == F.col("hy"))).alias("k"))
+    # Kinds of several digests or hashes, on either side.
+    end = lambda c, k, cond: kinds.where(cond).select(F.col("id").alias(f"id{k}"), "several", "n", "side", F.explode(c).alias(f"{c}{k}")).withColumnsRenamed({n: f"{n}{k}" for n in ("several", "n", "side")})
+    listed = None
+    for this, that in (("several", "true"), ("not several", "several")):
+        hx = end("hs", "x", f"{of_evaluation} and {this}").withColumnRenamed("hsx", "hx").join(ways, "hx").join(end("hs", "y", f"{of_train} and {that}").withColumnRenamed("hsy", "hy"), "hy").select("idx", "idy", "ny", "sidex", "d")
+        mx = end("ms", "x", f"{of_evaluation} and {this}").withColumnRenamed("msx", "m").join(end("ms", "y", f"{of_train} and {that}").withColumnRenamed("msy", "m"), "m").select("idx", "idy", "ny", "sidex", F.lit(0).alias("d"))
+        listed = hx.unionByName(mx) if listed is None else listed.unionByName(hx).unionByName(mx)
+    listed = listed.groupBy("idx", "idy").agg(F.min("d").alias("d"), F.max("ny").alias("n"), F.max("sidex").alias("side"))
+    listed = listed.select(F.col("idx").alias("id"), "d", (F.col("n") - F.when((F.col("idx") == F.col("idy")) & (F.col("side") == 3), 1).otherwise(0)).alias("k"))
+    every = by_hash.where("k > 0").unionByName(by_digest.where("k > 0")).unionByName(by_both).unionByName(listed.where("k > 0"))
+    return every.groupBy("id").agg(F.sum("k").alias("partners"), F.min("d").alias("apart")).where("partners > 0")
+
+
 def overlap_by_record(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(``path``, ``split``, ``dataset_source``, ``partners``, ``coverage``): for every row's image in an evaluation split, how many train images it meets and how closely at best."""
-    pairs = cross_split_pairs(rows, radius)
-    spark = rows.sparkSession
-    pairs = Scratch(spark, "overlap-record").write(pairs, "pairs")
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("path_a").alias("path"), F.col("path_b").alias("other")), F.struct(F.col("path_b").alias("path"), F.col("path_a").alias("other")))).alias("e"), "coverage").select("e.*", "coverage")
+    """(``path``, ``split``, ``dataset_source``, ``partners``, ``coverage``): for every row's image in an evaluation split, how many train images it meets and how closely at best.
+
+    The same relation as ``cross_split_pairs``, but counted on kinds of images (equal digests, hashes and sides) and never listed for images with one digest and one hash.
+    """
+    scratch = Scratch(rows.sparkSession, "overlap-record")
+    images = sided_images(rows).groupBy("path").agg(F.array_sort(F.collect_set("md5")).alias("ms"), F.array_sort(F.collect_set("h")).alias("hs"), F.max("side").alias("side"))
+    images = scratch.write(images, "images")
+    kinds = images.groupBy("ms", "hs", "side").agg(F.count(F.lit(1)).alias("n")).withColumn("several", (F.size("ms") > 1) | (F.size("hs") > 1)).withColumn("id", F.monotonically_increasing_id())
+    kinds = scratch.write(kinds, "kinds")
+    met = kinds.join(_met_kinds(kinds, radius, scratch), "id").select("ms", "hs", "side", "partners", (1 - F.col("apart") / 64).alias("coverage"))
+    found = images.where("side & 2 > 0").join(met, ["ms", "hs", "side"]).select("path", "partners", "coverage")
     each = rows.select("path", folded(F.col("split")).alias("split"), folded_source(F.col("dataset_source")).alias("dataset_source")).where("path is not null").distinct()
-    train = each.where("split = 'train'").select(F.col("path").alias("other")).distinct()
-    met = ends.join(train, "other").groupBy("path").agg(F.count(F.lit(1)).alias("partners"), F.max("coverage").alias("coverage"))
     held = each.where(F.col("split").isin("val", "test"))
-    return held.join(met, "path", "left").select("path", "split", "dataset_source", F.coalesce("partners", F.lit(0)).cast("long").alias("partners"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    return held.join(found, "path", "left").select("path", "split", "dataset_source", F.coalesce("partners", F.lit(0)).cast("long").alias("partners"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
 def overlap_report(rows: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.functions import col as spark_col
 from lumenset.llm.ballhash import TWO, image_pairs, near_groups, near_pairs
 from lumenset.llm.components import connected_components
 from lumenset.llm.matches import grouped_images, match_groups
-from lumenset.llm.overlap import aligned_coverage, common_chain, common_length, cross_split_pairs, document_overlaps, overlap_report, text_overlaps, winnow
+from lumenset.llm.overlap import aligned_coverage, common_chain, common_length, cross_split_pairs, document_overlaps, overlap_by_record, overlap_report, text_overlaps, winnow
 from lumenset.llm.splits import related_groups, split_conflicts, split_shares, stratified_splits, stratify
 
 
@@ -302,3 +302,26 @@ def test_document_overlaps(spark):
     assert [(x["evaluation_id"], x["train_id"], x["evaluation_copies"], x["train_copies"]) for x in out.orderBy("train_id").collect()] == [(100, 101, 2, 1), (100, 102, 2, 1)]
     assert out.orderBy("train_id").collect()[1]["coverage"] == 1.0
     assert document_overlaps(t.where("false"), spark_col("doc_id") % 100 == 0).collect() == []
+
+
+def test_overlaps_are_counted_as_if_listed(spark):
+    """Few digests and hashes among many images, some delivered with several of them or in several splits, against the listed pairs."""
+    r = random.Random(12)
+    hashes = [f"{r.getrandbits(64):016x}" for _ in range(6)]
+    hashes += [f"{int(h, 16) ^ 0b1011:016x}" for h in hashes[:4]] + [f"{int(hashes[0], 16) ^ 0x1F0000:016x}"]
+    data = [(f"p{r.randrange(90):03}", r.choice(["m1", "m2", "m3", "M1 ", None, ""]), r.choice([*hashes, None, "bad"]), r.choice(["train", "train", "val", "test", None]), r.choice(["s", "t", None]), "") for _ in range(140)]
+    data += [(f"hot{i:03}", f"d{i % 40}", hashes[0], "train" if i % 3 else "test", "hot", "") for i in range(200)]
+    t = spark.createDataFrame(data, EXPORT)
+    side = {}
+    for p, _, _, s, _, _ in data:
+        if s:
+            side[p] = side.get(p, 0) | (1 if s == "train" else 2)
+    want = {}
+    for a, b, c in rows(cross_split_pairs(t)):
+        for x, y in ((a, b), (b, a)):
+            if side[x] & 2 and side[y] & 1:
+                n, best = want.get(x, (0, 0.0))
+                want[x] = (n + 1, max(best, c))
+    got = {x["path"]: (x["partners"], x["coverage"]) for x in overlap_by_record(t).collect()}
+    assert got == {p: want.get(p, (0, 0.0)) for p, k in side.items() if k & 2}
+    assert overlap_by_record(t.where("false")).collect() == []
