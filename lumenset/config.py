@@ -7,6 +7,9 @@ from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 
+#: The keys of the configuration and their defaults.
+
+
 @dataclass(frozen=True)
 class ImageRules:
     min_width: int = 256

@@ -7,6 +7,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenset import scratch
 from lumenset.config import Config
 from lumenset.operators import audit, dedup, export, manifest, quality, sample, split
 from lumenset.schema import normal_form
@@ -58,6 +59,15 @@ def plan_export(rows: DataFrame, config: Config) -> DataFrame:
 
 
 def run(spark: SparkSession, config: Config, artifacts: str, copy: bool = True, split_mode: str = "delta", dry_run: bool = False) -> dict:
+    """``run_stages``, after which the tables that its operators left in the shared folder are deleted, also if it fails."""
+    mark = scratch.made()
+    try:
+        return run_stages(spark, config, artifacts, copy, split_mode, dry_run)
+    finally:
+        scratch.clear_since(spark, mark)
+
+
+def run_stages(spark: SparkSession, config: Config, artifacts: str, copy: bool = True, split_mode: str = "delta", dry_run: bool = False) -> dict:
     """Runs all stages and returns the audit report. A stage whose table is in ``artifacts`` is read, not made again; the audit
     looks up every exported file anew, also without ``copy``.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenset.functions.text import blank_to_null, finite_score, folded, folded_source
 
 
+#: The columns of the manifests and logs, in their order, and their types.
 INDEX_COLUMNS = ("path", "dataset_source", "class_label", "width", "height", "aspect_ratio", "format", "file_size_bytes", "md5_hash", "sha256", "quality_score", "phash")
 VALIDATED_COLUMNS = (*INDEX_COLUMNS, "quality_flag", "blur_score", "resolution_ok", "aspect_ratio_ok")
 SPLIT_COLUMNS = (*VALIDATED_COLUMNS, "cluster_id", "split")

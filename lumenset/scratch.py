@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -42,12 +43,26 @@ def clear(spark: SparkSession) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def made() -> int:
+    """How many folders of tables were begun so far; a mark for ``clear_since``."""
+    return len(_MADE)
+
+
+def clear_since(spark: SparkSession, mark: int) -> None:
+    """Deletes the tables of operators that ran after the mark, once nothing reads them any more."""
+    for root in _MADE[mark:]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(root)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    del _MADE[mark:]
+
+
 class Scratch:
     """Named tables of one operator run. ``drop`` removes those no longer read."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        _MADE.append(self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"

@@ -106,6 +106,19 @@ def test_planes_of_images(spark):
     assert made == [x["plane"] for x in images.augmentation_preview(some, "strong", 12).collect() if x["path"] == "p"]
 
 
+def test_logs_and_marks_of_scratch_tables(spark, tmp_path):
+    from lumenset import scratch
+
+    sinks.write_log(spark.createDataFrame([("real", 3), ("fake", 1)], "label string, n long"), str(tmp_path / "stats"))
+    assert sorted(tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "stats")).collect()) == [("fake", "1"), ("real", "3")]
+    kept = scratch.Scratch(spark, "kept").write(spark.range(3), "t")
+    mark = scratch.made()
+    gone = scratch.Scratch(spark, "gone")
+    gone.write(spark.range(3), "t")
+    scratch.clear_since(spark, mark)
+    assert not tables.exists(spark, gone.root) and kept.count() == 3 and scratch.made() == mark
+
+
 def test_predictions_round_trip(spark, tmp_path):
     p = spark.createDataFrame([("a", 3, 1, 2), ("a", 1, 0, 0), ("b", 1, 2, 2), ("b", 2, None, 1), (None, 1, 1, 1)], "run string, sample_id long, y_true int, y_pred int")
     assert sorted(tuple(r) for r in sinks.write_predictions(p, str(tmp_path)).collect()) == [("a", 2), ("b", 1)]
