@@ -77,9 +77,9 @@ def quality_by_group(rows: DataFrame) -> DataFrame:
 
 
 def flag_frequency(rows: DataFrame) -> DataFrame:
-    """(``flag``, ``n``, ``pct`` of all rows); the known flags appear even with no row, unknown ones as they occur."""
+    """(``flag``, ``n``, ``pct`` of all rows); the original's flags appear even with no row, others as they occur."""
     total = rows.agg(F.count(F.lit(1)).alias("rows"))
-    known = rows.sparkSession.createDataFrame([(f,) for f in PENALTIES], "flag string")
+    known = rows.sparkSession.createDataFrame([(f,) for f in PENALTIES if f != "not_decoded"], "flag string")  # a flag of this engine alone
     counts = rows.select(F.explode("quality_flag").alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
     # One row is broadcast.
     return known.join(counts, "flag", "full").crossJoin(F.broadcast(total)).select("flag", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(F.coalesce(F.try_divide(F.coalesce("n", F.lit(0)) * 100.0, F.col("rows")), F.lit(0.0)), 6).alias("pct"))
