@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,17 +61,21 @@ def greedy_split(rows: DataFrame, ratios: dict[str, float], key: str = "cluster_
     """
     spark = rows.sparkSession
     counts = rows.groupBy(key, F.coalesce("class_label", F.lit("")).alias("c"), F.coalesce("dataset_source", F.lit("")).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    vectors = counts.groupBy(key).agg(F.collect_list(F.struct("c", "s", "n")).alias("v")).limit(max_clusters + 1).collect()
-    if len(vectors) > max_clusters:
+    vectors = counts.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(F.struct("c", "s", "n")))).alias("v")).limit(max_clusters + 1).toArrow()
+    if vectors.num_rows > max_clusters:
         raise ValueError(f"more than {max_clusters} clusters")
-    clusters = []
-    for r in vectors:
+    # Clusters of one composition share its counts, so a cluster costs little more than its key.
+    coded = vectors.column("v").combine_chunks().dictionary_encode()
+    parsed = []
+    for text in coded.dictionary.to_pylist():
         k, s = Counter(), Counter()
-        for x in r["v"]:
+        for x in json.loads(text):
             k[x["c"]] += x["n"]
             s[x["s"]] += x["n"]
-        clusters.append((r[key], sum(k.values()), k, s))
-    placed = spark.createDataFrame(list(greedy_assign(clusters, ratios, seed, mode).items()), f"{key} string, split string")
+        parsed.append((sum(k.values()), k, s))
+    clusters = [(name, *parsed[i]) for name, i in zip(vectors.column(key).to_pylist(), coded.indices.to_pylist())]
+    placed = greedy_assign(clusters, ratios, seed, mode)
+    placed = spark.createDataFrame(pa.table({key: pa.array(list(placed), pa.string()), "split": pa.array(list(placed.values()), pa.string())}))
     return rows.drop("split").join(placed, key)
 
 
