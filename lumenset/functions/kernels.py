@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,8 +101,17 @@ def jet(x: Column) -> Column:
     return F.array(up(3), up(2), up(1))
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once: an expression inside a lambda would be for each element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def resize_bilinear(plane: Column, height: int, width: int, new_height: int, new_width: int) -> Column:
     """A row-major plane at another size: half-pixel centres, edges repeated."""
+    return _once(plane, lambda p: _resized(p, height, width, new_height, new_width))
+
+
+def _resized(plane: Column, height: int, width: int, new_height: int, new_width: int) -> Column:
 
     def axis(i: Column, old: int, new: int) -> tuple[Column, Column, Column]:
         at = F.least(F.lit(old - 1.0), F.greatest(F.lit(0.0), (i + 0.5) * old / new - 0.5))
