@@ -23,6 +23,36 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _grams(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k consecutive characters along the last axis."""
+    n = codes.shape[-1] - k + 1
+    grams = np.zeros((*codes.shape[:-1], n), np.uint64)
+    for i in range(k):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + codes[..., i : i + n] + np.uint64(1)
+    grams ^= grams >> np.uint64(29)
+    grams *= np.uint64(0xBF58476D1CE4E5B9)
+    grams ^= grams >> np.uint64(32)
+    return grams
+
+
+def winnow_all(texts: list[str], k: int, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``winnow`` of each text; texts of one length that fill no more than one window, as digests do, are hashed together."""
+    out: list = [None] * len(texts)
+    short: dict[int, list[int]] = {}
+    for i, t in enumerate(texts):
+        if len(t) < window + k:
+            short.setdefault(len(t), []).append(i)
+        else:
+            out[i] = winnow(_codes(t), k, window)
+    for n, at in short.items():
+        grams = _grams(_codes("".join(texts[i] for i in at)).reshape(len(at), n), min(k, n))
+        place = grams.shape[1] - 1 - grams[:, ::-1].argmin(1)
+        least = grams[np.arange(len(at)), place]
+        for row, i in enumerate(at):
+            out[i] = (least[row : row + 1], place[row : row + 1])
+    return out
+
+
 def winnow(codes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, positions): of each ``window`` consecutive rolling hashes of k characters the smallest, each place once.
 
@@ -30,13 +60,7 @@ def winnow(codes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarr
     before selected stays, else the last is taken, so a monotonous text has one seed a window and not one a place. A text
     shorter than k has one seed, the hash of all it holds.
     """
-    k = min(k, len(codes))
-    grams = np.zeros(len(codes) - k + 1, np.uint64)
-    for i in range(k):
-        grams = grams * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(grams)] + np.uint64(1)
-    grams ^= grams >> np.uint64(29)
-    grams *= np.uint64(0xBF58476D1CE4E5B9)
-    grams ^= grams >> np.uint64(32)
+    grams = _grams(codes, min(k, len(codes)))
     w = min(window, len(grams))
     spans = np.lib.stride_tricks.sliding_window_view(grams, w)
     best = np.arange(len(spans)) + w - 1 - spans[:, ::-1].argmin(1)
@@ -56,7 +80,7 @@ def text_seeds(texts: DataFrame, k: int, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seeds = [winnow(_codes(t), k, window) for t in b.column("text").to_pylist()]
+            seeds = winnow_all(b.column("text").to_pylist(), k, window)
             hashes = pa.array([h.view(np.int64) for h, _ in seeds], pa.list_(pa.int64()))
             places = pa.array([p.astype(np.int32) for _, p in seeds], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, hashes, places], names=[*b.schema.names, "hashes", "places"])

@@ -11,7 +11,7 @@ from pyspark.sql.functions import col as spark_col
 from lumenset.llm.ballhash import TWO, image_pairs, near_groups, near_pairs
 from lumenset.llm.components import connected_components
 from lumenset.llm.matches import grouped_images, match_groups
-from lumenset.llm.overlap import aligned_coverage, common_chain, common_length, cross_split_pairs, document_overlaps, overlap_by_record, overlap_report, text_overlaps, winnow
+from lumenset.llm.overlap import aligned_coverage, common_chain, common_length, cross_split_pairs, document_overlaps, overlap_by_record, overlap_report, text_overlaps, winnow, winnow_all
 from lumenset.llm.splits import related_groups, split_conflicts, split_shares, stratified_splits, stratify
 
 
@@ -272,6 +272,10 @@ def test_seeds_keep_every_place():
     h, at = winnow(np.frombuffer(text.encode("utf-32-le"), np.uint32), 16, 17)
     inner = {x for x, p in zip(h.tolist(), at.tolist()) if p + 33 <= 60}
     assert inner and all(h.tolist().count(x) == 4 for x in inner)
+    some = ["a", "tiny", "0123456789abcdef" * 2, "fedcba9876543210" * 2, "same" * 8, text, "x" * 33, "x" * 32, "é😀" * 10]
+    for (g, p), t in zip(winnow_all(some, 16, 17), some):
+        one = winnow(np.frombuffer(t.encode("utf-32-le"), np.uint32), 16, 17)
+        assert g.tolist() == one[0].tolist() and p.tolist() == one[1].tolist(), t
     same = winnow(np.frombuffer(("=" * 1000).encode("utf-32-le"), np.uint32), 16, 17)[1]
     assert np.diff(same).max() <= 17 and len(same) < 70
 
