@@ -43,8 +43,8 @@ def draw(rows: DataFrame, config: Config) -> DataFrame:
 
 
 def divide(rows: DataFrame, config: Config, mode: str = "delta") -> DataFrame:
-    """Adds ``cluster_id`` and ``split``; ``mode``: the greedy ``delta`` or ``compat``, which balance size, class and source and
-    raise ValueError beyond their largest number of clusters, or ``hash`` by cluster, which has no such bound and balances nothing."""
+    """Adds ``cluster_id`` and ``split``; ``mode``: the greedy ``delta`` or ``compat``, which balance size, class and source
+    one cluster after the other on the driver, or ``hash`` by cluster, which works in parallel and balances nothing."""
     clustered = dedup.near_clusters(split.usable_rows(rows), config.phash_bucket_chars, config.phash_cluster_threshold, singles=True)
     clustered = dedup.numbered_clusters(clustered)
     if mode == "hash":

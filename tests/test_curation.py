@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,6 +195,50 @@ def test_splits_keep_clusters(spark):
         split.greedy_split(out.drop("split"), {"train": 1.0}, max_clusters=3)
 
 
+def plain_greedy(clusters, ratios, seed, mode):
+    """The rule word by word: each cluster in seeded order to the split of least distance, or of least growth of it."""
+    whole = [sum((c[p] for c in clusters.values()), Counter()) for p in range(3)]
+    held = {s: [Counter(), Counter(), Counter()] for s in ratios}
+    miss = lambda s, add: sum(abs(held[s][p][x] + add[p][x] - ratios[s] * n) / (ratios[s] * n + 1e-9) for p in range(3) for x, n in whole[p].items())
+    order, none, out = sorted(clusters), [Counter()] * 3, {}
+    random.Random(seed).shuffle(order)
+    for key in order:
+        cost = {s: miss(s, clusters[key]) - (miss(s, none) if mode == "delta" else 0) for s in ratios}
+        out[key] = min(sorted(ratios), key=lambda s: round(cost[s], 9))
+        for p in range(3):
+            held[out[key]][p].update(clusters[key][p])
+    return out
+
+
+@pytest.mark.parametrize("mode", ["delta", "compat"])
+def test_greedy_split_is_the_plain_rule(spark, monkeypatch, mode):
+    monkeypatch.setattr(split, "CHUNK", 7)  # places of many chunks, the last one not full
+    r = random.Random(3)
+    rows = [(f"{'kKé'[r.randrange(3)]}{r.randrange(60)}", r.choice(["a", "b", None]), r.choice("uvwxyz"), "old") for _ in range(150)]
+    clusters = defaultdict(lambda: [Counter(), Counter(), Counter()])
+    for key, label, source, _ in rows:
+        for p, x in enumerate(("", label or "", source)):
+            clusters[key][p][x] += 1
+    ratios = {"train": 0.53, "val": 0.29, "test": 0.18}
+    got = split.greedy_split(spark.createDataFrame(rows, "cluster_key string, class_label string, dataset_source string, split string"), ratios, seed=5, mode=mode).collect()
+    assert len(got) == 150 and {(x["cluster_key"], x["split"]) for x in got} == set(plain_greedy(clusters, ratios, 5, mode).items())
+
+
+def test_greedy_split_of_no_rows_and_no_keys(spark):
+    bare = spark.createDataFrame([(None, "a", "s"), ("k", "a", "s")], "cluster_key string, class_label string, dataset_source string")
+    assert split.greedy_split(bare.where("false"), {"train": 1.0}).collect() == []
+    with pytest.raises(ValueError):
+        split.greedy_split(bare, {"train": 1.0})
+
+
+def test_greedy_split_of_more_than_a_million_clusters(spark):
+    label = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 3 + 1).cast("int"))
+    rows = spark.range(1_000_001).select(F.format_string("k%d", "id").alias("cluster_key"), label.alias("class_label"), F.lit("s").alias("dataset_source"))
+    ratios = {"train": 0.7, "val": 0.15, "test": 0.15}
+    n = {r["split"]: r["n"] for r in split.greedy_split(rows, ratios).groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(n.values()) == 1_000_001 and all(abs(n[s] / 1_000_001 - r) < 0.001 for s, r in ratios.items())
+
+
 def test_pipeline_balances_splits(spark):
     rows = [dict(phash="ab" * 8, class_label="fake")] * 10 + [dict(class_label="rare")] * 4 + [dict(class_label="real")] * 26
     c = conf.Config(split_ratios={"train": 0.5, "val": 0.25, "test": 0.25})
