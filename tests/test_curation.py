@@ -12,7 +12,7 @@ from lumenset import config as conf
 from lumenset.operators import audit, dedup, export, manifest, quality, sample, split
 from lumenset.operators.components import components
 from lumenset.operators.ranking import grouped_rank
-from lumenset.plans import pipeline
+from lumenset.plans import pipeline, queries
 from lumenset.schema import normal_form
 
 ROWS = "row_idx long, path string, dataset_source string, class_label string, width int, height int, aspect_ratio double, format string, file_size_bytes long, md5_hash string, sha256 string, quality_score double, phash string, quality_flag array<string>, blur_score double, split string, cluster_id string, export_path string"
@@ -239,6 +239,14 @@ def test_greedy_split_of_more_than_a_million_clusters(spark):
     assert sum(n.values()) == 1_000_001 and all(abs(n[s] / 1_000_001 - r) < 0.001 for s, r in ratios.items())
 
 
+def test_greedy_split_facts_of_more_than_a_million_clusters(spark, tmp_path):
+    few = lambda n: F.concat(F.lit("s"), F.col("id") % n)
+    rows = spark.range(1_000_005).select(F.col("id").alias("row_idx"), F.format_string("p%d", "id").alias("path"), few(5).alias("dataset_source"), few(3).alias("class_label"), F.when(F.col("id") < 4, "ab" * 8).alias("phash"))
+    rows.write.parquet(f"{tmp_path}/deduped_index.parquet")
+    facts = queries.greedy_split_facts(spark, str(tmp_path)).first().asDict()
+    assert facts == {"images": 1_000_005, "splits": 3, "clusters": 1_000_002, "divided": 0, "far_splits": 0, "far_classes": 0}
+
+
 def test_pipeline_balances_splits(spark):
     rows = [dict(phash="ab" * 8, class_label="fake")] * 10 + [dict(class_label="rare")] * 4 + [dict(class_label="real")] * 26
     c = conf.Config(split_ratios={"train": 0.5, "val": 0.25, "test": 0.25})
